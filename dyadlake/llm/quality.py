@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dyadlake.llm import common, subword
 
@@ -53,3 +54,14 @@ def op4_quality_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     out = scored(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")))
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+
+
+def filtered(docs: DataFrame, model, least: float = CUT) -> DataFrame:
+    """The rows of docs, all columns as they are, whose text scores least or more."""
+    table, bias = model
+
+    @F.pandas_udf(T.DoubleType())
+    def score(text: pd.Series) -> pd.Series:
+        return pd.Series(subword.softmax(subword.scores([t or "" for t in text], table, bias))[:, 1], dtype="float64")
+
+    return docs.where(score(F.col("text")) >= least)
