@@ -34,6 +34,7 @@ from dyadlake.llm import common
 from dyadlake.llm.hashing import _BYTE, _STEP, mix, pieces, powers, utf8
 
 WIDTH, K = 50, 20
+LOT = 500_000  # contexts that a task looks at together
 _INVERSE = np.uint64(pow(int(_STEP), -1, 1 << 64))
 _tables: dict[str, np.ndarray] = {}
 
@@ -159,22 +160,16 @@ def _tag(blob: bytes) -> int:
 def _slices(pdf: pd.DataFrame):
     """(rows, blobs, prefixes, lengths, begins) of slices of a batch."""
     blobs = [utf8(t) for t in pdf["text"]]
-    for lo, hi in pieces(blobs, 1 << 21):
+    for lo, hi in pieces(blobs, 1 << 19):
         part = blobs[lo:hi]
         size = np.array([len(b) for b in part], np.int64)
         yield pdf.iloc[lo:hi], part, Prefixes(np.frombuffer(b"".join(part), np.uint8)), size, np.cumsum(size) - size
 
 
 def _anchors(batches):
-    """Texts to (a, c, doc_id, at); at < 0 where a smaller document of the batch has the context already."""
-    for pdf in batches:
-        parts = []
-        for rows, part, p, size, _ in _slices(pdf):
-            doc, ordinal, _, _, a, c = contexts(p, size)
-            tags = np.array([_tag(b) for b in part], np.int64)
-            parts.append((a.astype(np.int64), c.astype(np.int64), rows["doc_id"].to_numpy(np.int64)[doc], (ordinal << 13) | tags[doc]))
-        if not parts:
-            continue
+    """Texts to (a, c, doc_id, at); at < 0 where a smaller document near by has the context already."""
+
+    def settled(parts):
         a, c, d, at = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(c, kind="stable")
         first = np.flatnonzero(np.append(True, c[order][1:] != c[order][:-1]))[: len(c)]
@@ -182,10 +177,23 @@ def _anchors(batches):
         if len(c):
             low[order] = np.repeat(np.minimum.reduceat(d[order], first), np.diff(np.append(first, len(c))))
         gone = d > low
-        # settled rows carry no key any more: they are spread, so a frequent context is a row for each batch
+        # settled rows carry no key any more: they are spread, so a frequent context is a row for each lot
         a[gone] = mix((d[gone] ^ at[gone]).astype(np.uint64)).astype(np.int64)
         at[gone] = ~at[gone]
-        yield pd.DataFrame({"a": a, "c": c, "doc_id": d, "at": at})
+        return pd.DataFrame({"a": a, "c": c, "doc_id": d, "at": at})
+
+    parts, n = [], 0
+    for pdf in batches:
+        for rows, part, p, size, _ in _slices(pdf):
+            doc, ordinal, _, _, a, c = contexts(p, size)
+            tags = np.array([_tag(b) for b in part], np.int64)
+            parts.append((a.astype(np.int64), c.astype(np.int64), rows["doc_id"].to_numpy(np.int64)[doc], (ordinal << 13) | tags[doc]))
+            n += len(doc)
+            if n >= LOT:
+                yield settled(parts)
+                parts, n = [], 0
+    if parts:
+        yield settled(parts)
 
 
 def _shared_contexts(batches):
