@@ -238,7 +238,7 @@ _KINDS = ["age", "height", "weight", "distance", "position", "body_type", "relat
 @register(O.sql(*O.A1, O.STATS, f"pr AS ({_DIRECTIONS})", f"pt AS (SELECT x.*, h.horizon FROM ({O.traits('c', 'age', 'distance', 'cutoff_at, viewer_id, candidate_id', 'pr')}) x, (VALUES ('long'), ('recent')) h(horizon))",
     "ks AS (SELECT pt.cutoff_at, viewer_id, candidate_id, pt.horizon, pt.kind, coalesce(avg(score), 0.5) AS s FROM pt LEFT JOIN state ON state.cutoff_at = pt.cutoff_at AND state.user_id = viewer_id AND state.horizon = pt.horizon AND state.kind = pt.kind AND state.key = pt.key GROUP BY 1, 2, 3, 4, 5)",
     "wide AS (SELECT cutoff_at, viewer_id, candidate_id, horizon, " + ", ".join(f"max(s) FILTER (WHERE kind = '{k}') AS {k}" for k in _KINDS) + ", avg(s) AS overall FROM ks GROUP BY 1, 2, 3, 4)",
-    body="SELECT pr.cutoff_at, pr.viewer_id, pr.candidate_id, h.horizon, " + ", ".join(f"round(coalesce({k}, 0.5), 6) AS {k}_affinity" for k in [*_KINDS, "overall"]) + ", round(coalesce(strength, 0.0), 6) AS evidence_strength FROM pr CROSS JOIN (VALUES ('long'), ('recent')) h(horizon) LEFT JOIN wide ON wide.cutoff_at = pr.cutoff_at AND wide.viewer_id = pr.viewer_id AND wide.candidate_id = pr.candidate_id AND wide.horizon = h.horizon LEFT JOIN strength ON strength.user_id = pr.viewer_id AND strength.cutoff_at = pr.cutoff_at AND strength.horizon = h.horizon"))
+    body="SELECT pr.cutoff_at, pr.viewer_id, pr.candidate_id, h.horizon, " + ", ".join(f"round(coalesce(wide.{k}, 0.5), 6) AS {k}_affinity" for k in [*_KINDS, "overall"]) + ", round(coalesce(strength, 0.0), 6) AS evidence_strength FROM pr CROSS JOIN (VALUES ('long'), ('recent')) h(horizon) LEFT JOIN wide ON wide.cutoff_at = pr.cutoff_at AND wide.viewer_id = pr.viewer_id AND wide.candidate_id = pr.candidate_id AND wide.horizon = h.horizon LEFT JOIN strength ON strength.user_id = pr.viewer_id AND strength.cutoff_at = pr.cutoff_at AND strength.horizon = h.horizon"))
 def directional_affinities(spark, sf_dir):
     seen = _seen(spark, sf_dir)
     return _rounded(AF.directional(E.exposed_pairs(_events(spark, sf_dir)), Inputs(spark, sf_dir).users, AF.affinity_state(seen), AF.affinity_strength(seen)))
@@ -317,10 +317,10 @@ def class_weights(spark, sf_dir):
 
 
 _VOC_SINGLE, _VOC_MULTI = ["position", "body_type"], ["my_types", "body_hair"]
-_VOC = " UNION ALL ".join([f"SELECT '{f}' AS field, regexp_replace({f}, '^\\s+|\\s+$', '', 'g') AS token, id, 0 AS at FROM users" for f in _VOC_SINGLE] + [f"SELECT '{f}', regexp_replace(x.t, '^\\s+|\\s+$', '', 'g'), id, x.i - 1 FROM (SELECT id, unnest(list_transform(range(1, len({f}) + 1), lambda i: {{'t': {f}[i], 'i': i}})) AS x FROM users WHERE {f} IS NOT NULL)" for f in _VOC_MULTI])
+_VOC = " UNION ALL ".join([f"SELECT '{f}' AS field, regexp_replace({f}, '^\\s+|\\s+$', '', 'g') AS token, id, 0 AS place FROM users" for f in _VOC_SINGLE] + [f"SELECT '{f}', regexp_replace(x.t, '^\\s+|\\s+$', '', 'g'), id, x.i - 1 FROM (SELECT id, unnest(list_transform(range(1, len({f}) + 1), lambda i: struct_pack(t := {f}[i], i := i))) AS x FROM users WHERE {f} IS NOT NULL) y" for f in _VOC_MULTI])
 
 
-@register(O.sql(O.USERS, f"tk AS ({_VOC})", "fs AS (SELECT field, token, min(id * 1000 + at) AS f FROM tk WHERE token IS NOT NULL AND token <> '' GROUP BY 1, 2)", body="SELECT field, token, CAST(1 + row_number() OVER (PARTITION BY field ORDER BY f, token) AS INT) AS id FROM fs"))
+@register(O.sql(O.USERS, f"tk AS ({_VOC})", "fs AS (SELECT field, token, min(id * 1000 + place) AS f FROM tk WHERE token IS NOT NULL AND token <> '' GROUP BY 1, 2)", body="SELECT field, token, CAST(1 + row_number() OVER (PARTITION BY field ORDER BY f, token) AS INT) AS id FROM fs"))
 def vocabulary(spark, sf_dir):
     """Token ids by first appearance in order of user id."""
     return PR.build_vocab(Inputs(spark, sf_dir).users, _VOC_SINGLE, _VOC_MULTI, [F.col("id")])
@@ -350,7 +350,7 @@ def average_precision(spark, sf_dir):
     return _rounded(EV.average_precision(_marked(spark, sf_dir)))
 
 
-@register(O.sql(*O.P1, O.MARKS, "rk AS (SELECT *, row_number() OVER (PARTITION BY viewer_id ORDER BY score DESC, candidate_id) AS r FROM um WHERE target = 'any_positive')", "per AS (SELECT viewer_id, sum(label) AS p, sum(label) FILTER (WHERE r <= 20) AS hits, count(*) FILTER (WHERE r <= 20) AS shown, sum(label / log2(r + 1)) FILTER (WHERE r <= 20) AS dcg FROM rk GROUP BY 1)", body="SELECT count(*) AS viewers, round(avg(CASE WHEN p > 0 THEN dcg / list_sum(list_transform(range(1, least(p, 20) + 1), lambda i: 1 / log2(i + 1))) END), 6) AS ndcg, round(avg(hits / shown), 6) AS precision, round(avg(CASE WHEN p > 0 THEN hits / p END), 6) AS recall FROM per"))
+@register(O.sql(*O.P1, O.MARKS, "rk AS (SELECT *, row_number() OVER (PARTITION BY viewer_id ORDER BY score DESC, candidate_id) AS r FROM um WHERE target = 'any_positive')", "per AS (SELECT viewer_id, sum(label) AS p, sum(label) FILTER (WHERE r <= 20) AS hits, count(*) FILTER (WHERE r <= 20) AS shown, sum(label / log2(r + 1)) FILTER (WHERE r <= 20) AS dcg FROM rk GROUP BY 1)", body="SELECT count(*) AS viewers, round(avg(CASE WHEN p > 0 THEN dcg / list_sum(list_transform(range(1, CAST(least(p, 20) AS BIGINT) + 1), lambda i: 1 / log2(i + 1))) END), 6) AS ndcg, round(avg(hits / shown), 6) AS precision, round(avg(CASE WHEN p > 0 THEN hits / p END), 6) AS recall FROM per"))
 def ranking_metrics(spark, sf_dir):
     return _rounded(EV.ranking_metrics(_marked(spark, sf_dir).where("target = 'any_positive'")))
 
