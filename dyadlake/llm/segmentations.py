@@ -148,7 +148,9 @@ class Lattice:
         self.logp = np.empty((n, width), np.float32)
         for k in range(width):
             self.logp[:, k] = score[k] + back[k + 1 : n + k + 1] - back[:n]
-        self.cum = np.cumsum(np.exp(self.logp), axis=1)
+        del score, back, h
+        self.cum = np.exp(self.logp)
+        np.cumsum(self.cum, axis=1, out=self.cum)
         self.single = (self.piece != -1).sum(axis=1) < 2
 
     def edge(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -351,7 +353,7 @@ def decode(ids, v: Vocabulary) -> str:
     return text[1:] if text[:1] == " " else text
 
 
-def _slices(texts: list[str], limit: int = 1 << 22):
+def _slices(texts: list[str], limit: int = 3 << 19):
     first, size = 0, 0
     for i, t in enumerate(texts):
         size += len(t)
@@ -362,8 +364,12 @@ def _slices(texts: list[str], limit: int = 1 << 22):
         yield first, len(texts)
 
 
-def encoded(docs: DataFrame, model: str, k: int = SAMPLES, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
-    """(doc_id, sample, ids, log_prob, score, inclusion): up to k distinct segmentations of every text."""
+def encoded(docs: DataFrame, model: str, k: int = SAMPLES, alpha: float = ALPHA, seed: int = SEED, text_too: bool = False) -> DataFrame:
+    """(doc_id, sample, ids, log_prob, score, inclusion): up to k distinct segmentations of every text.
+
+    With text_too, decoded has the text that the ids spell, without another pass through Python.
+    """
+    names = ["doc_id", "sample", "ids", "log_prob", "score", "inclusion"]
 
     def run(batches):
         v = vocabulary(model, alpha)
@@ -373,9 +379,11 @@ def encoded(docs: DataFrame, model: str, k: int = SAMPLES, alpha: float = ALPHA,
             null = pdf["doc_id"].isna().to_numpy()
             for lo, hi in _slices(texts):
                 rows = [(None if null[lo + i] else keys[lo + i], j, *s) for i, got in enumerate(sample(texts[lo:hi], keys[lo:hi], v, k, seed)) for j, s in enumerate(got)]
-                yield pd.DataFrame(rows, columns=["doc_id", "sample", "ids", "log_prob", "score", "inclusion"]).astype({"doc_id": "Int64"})
+                out = pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+                yield out.assign(decoded=[decode(i, v) for i in out["ids"]]) if text_too else out
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, sample int, ids array<int>, log_prob double, score double, inclusion double")
+    schema = "doc_id long, sample int, ids array<int>, log_prob double, score double, inclusion double"
+    return docs.select("doc_id", "text").mapInPandas(run, schema + (", decoded string" if text_too else ""))
 
 
 def decoded(rows: DataFrame, model: str) -> DataFrame:
@@ -398,5 +406,5 @@ def model_path() -> str:
 
 def op5_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sampled segmentation of every document with a digest of the text that it decodes to."""
-    rows = decoded(encoded(common.documents(spark, sf_dir), model_path()), model_path())
+    rows = encoded(common.documents(spark, sf_dir), model_path(), text_too=True)
     return rows.select("doc_id", "sample", F.size("ids").alias("n_pieces"), "log_prob", "inclusion", "ids", F.sha2("decoded", 256).alias("text_sha256"))
