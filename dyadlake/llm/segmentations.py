@@ -353,7 +353,7 @@ def decode(ids, v: Vocabulary) -> str:
     return text[1:] if text[:1] == " " else text
 
 
-def _slices(texts: list[str], limit: int = 3 << 19):
+def _slices(texts: list[str], limit: int = 1 << 20):
     first, size = 0, 0
     for i, t in enumerate(texts):
         size += len(t)
