@@ -85,7 +85,7 @@ def bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         keys, n = np.unique(d * BUCKETS + b, return_counts=True)
         bound = np.searchsorted(keys, np.arange(hi - lo + 1) * BUCKETS)
         for i, j in zip(bound[:-1], bound[1:], strict=True):
-            out.append(((keys[i:j] % BUCKETS).astype(np.int64), n[i:j] / max(1, n[i:j].sum())))
+            out.append(((keys[i:j] % BUCKETS).astype(np.uint16), (n[i:j] / max(1, n[i:j].sum())).astype(np.float32)))
     return out
 
 
