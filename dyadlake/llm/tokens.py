@@ -105,25 +105,32 @@ def encoder(path: str, most: int = 400_000):
     """A function from a list of texts to lists of id bytes (little-endian, 4 each), for a task.
 
     Byte-level BPE never merges across the blank before a word, so ids of blank-separated parts are kept
-    in a bounded table; texts with a blank before another white space are encoded as they are.
+    in a table of at most `most` parts; once full, it keeps the parts that were met again since the last
+    time. Texts with a blank before another white space are encoded as they are.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     if path not in _kept:
         _kept.clear()
-        _kept[path] = (Tokenizer.from_file(path), {}, {})
+        _kept[path] = (Tokenizer.from_file(path), ({}, set()), ({}, set()))
     tok, first, later = _kept[path]
 
     def plain(texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def fill(table: dict, keys: set, lead: str) -> None:
-        new = list(keys.difference(table))
+    def fill(kept: tuple[dict, set], keys: set, lead: str) -> dict:
+        table, again = kept
+        new = keys.difference(table)
+        again |= keys.difference(new)
         if len(table) + len(new) > most:
+            held = {x: table[x] for x in again} if len(again) + len(new) <= most else {x: table[x] for x in keys if x in table}
             table.clear()
-            new = list(keys)
+            table.update(held)
+            again.clear()
+        new = list(new)
         table.update(zip(new, plain([lead + x for x in new]), strict=True))
+        return table
 
     def run(texts: list[str]) -> list[bytes]:
         out: list = [None] * len(texts)
@@ -131,13 +138,13 @@ def encoder(path: str, most: int = 400_000):
         odd = [i for i in range(len(texts)) if i not in parts]
         for i, x in zip(odd, plain([texts[i] for i in odd]), strict=True):
             out[i] = x
-        fill(first, {p[0] for p in parts.values()}, "")
+        head = fill(first, {p[0] for p in parts.values()}, "")
         some: set = set()
         for p in parts.values():
             some.update(p[1:])
-        fill(later, some, " ")
+        tail = fill(later, some, " ")
         for i, p in parts.items():
-            out[i] = first[p[0]] + b"".join(map(later.__getitem__, p[1:]))
+            out[i] = head[p[0]] + b"".join(map(tail.__getitem__, p[1:]))
         return out
 
     return run
