@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from dyadlake.llm import common, subword
 
 PER_LANGUAGE = 500
+PARTS = 8
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -30,9 +31,14 @@ def held_out() -> F.Column:
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE):
     """(languages, table, bias, temperature, threshold) from docs (doc_id, text, lang)."""
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    known = docs.where("lang is not null and text is not null").where(~held_out()).select("doc_id", "lang")
-    chosen = known.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).drop("r")
+    known = docs.where("lang is not null and text is not null").where(~held_out()).select("doc_id", "lang").withColumn("part", F.pmod(F.hash("doc_id"), F.lit(PARTS)))
+
+    def first(rows: DataFrame, *by: str) -> DataFrame:
+        rank = F.row_number().over(W.partitionBy(*by).orderBy(F.xxhash64("doc_id"), "doc_id"))
+        return rows.withColumn("r", rank).where(F.col("r") <= per_language).drop("r")
+
+    # the first of a language are among the first of its parts, so no task ranks a whole language
+    chosen = first(first(known, "lang", "part"), "lang").drop("part")
     # at most per_language keys of each language
     rows = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").orderBy("doc_id").collect()
     langs = sorted({r.lang for r in rows})
