@@ -1,35 +1,41 @@
 """Quality rules: surface statistics and an n-gram perplexity band for each language.
 
-The language model is a modified Kneser-Ney trigram over characters, reduced to 64 classes (letters without
-case, digits, blanks, the usual marks, and hashed slots for the rest), with a model for each of 64 slots
-of languages. Spark counts the trigrams of all documents; the number of keys is at most 2^18 a slot however large the
-corpus is, so the finished model, sorted hash arrays of keys and log probabilities, has a proven
-bound and is sent to the tasks. A document's mean log probability is compared with its language's
+The language model is a modified Kneser-Ney model of five code points in a row, case, script and marks kept, for each
+language itself. A sequence's count is the number of other documents that hold it (documents that hold it, less one),
+so that no document vouches for itself, however often it repeats a phrase. Spark counts sequences, and
+computes every order by joins and windows; the tables grow with the corpus. Every sequence
+of every document has a row with its finished log probability. Tasks look them up by 64-bit hashes of
+language and sequence, in sorted arrays sent PIECE keys at a time: a larger model takes more passes over the documents,
+not more memory, and a document's sums over the passes are added up.
+
+A document's mean log probability is compared with its language's
 band: FENCE interquartile ranges around the quartiles of all documents of that language, but never nearer
 than a factor of LEAST in perplexity (mixed-language prose stays inside, noise doesn't), and widened for short
 texts by what their length alone makes the mean vary.
 
 Defined results: null and blank texts have no words and fail the base rules; a null language is a language
-of its own; languages that hash to one slot share a model and a band; rows with a null or repeated
-doc_id are judged row by row; empty tables give no rows; other columns are not read. Texts are
-counted and scored whole.
+of its own; rows with a null or repeated doc_id are judged row by row; empty tables give no rows; other columns are
+not read. Texts are counted and scored whole.
 """
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dyadlake.llm import common
-from dyadlake.llm.hashing import pieces, utf8, word_hashes
+from dyadlake.llm.hashing import mix, pieces, utf8, word_hashes
 
 SLOTS, CLASSES = 64, 64
 KEYS = CLASSES**3
+ORDER, PIECE = 5, 2_000_000
 FENCE, LEAST = 6.0, 2.2
 SYMBOLS = "#*$%&|<>"
 _BLANKS = " \t\n\x0b\x0c\r"
@@ -73,28 +79,101 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return key[keep], np.repeat(np.arange(len(texts)), size)
 
 
-def slot(lang) -> F.Column:
-    return (F.coalesce(F.crc32(F.coalesce(lang, F.lit("")).cast("string")), F.lit(0)) % SLOTS).cast("int")
+def key_of(lang: F.Column) -> F.Column:
+    """A text for each language, null included."""
+    return F.coalesce(F.concat(F.lit("="), lang.cast("string")), F.lit(""))
+
+
+def grams(texts: list[str], langs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of language and sequence, its code points' end in the last array, that array) for every character in order."""
+    size = np.array([len(t) for t in texts], np.int64)
+    c = np.frombuffer("".join(" " * (ORDER - 1) + t for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    h = np.zeros(max(0, len(c) - ORDER + 1), np.uint64)
+    for i in range(ORDER):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + mix(c[i : i + len(h)].astype(np.uint64) + np.uint64(1))
+    seeds = {x: np.uint64(int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "big")) for x in set(langs)}
+    begin = np.cumsum(size + ORDER - 1) - size - ORDER + 1
+    at = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+    return mix(h[at] + np.repeat(np.array([seeds[x] for x in langs], np.uint64), size)), at + ORDER, c
+
+
+def _merged(parts: list[tuple]) -> tuple:
+    """(hash, language's number, sequence, documents) with one row a hash."""
+    h, lang, gram, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    key, first, back = np.unique(h, return_index=True, return_inverse=True)
+    return key, lang[first], gram[first], np.bincount(back, weights=n, minlength=len(key)).astype(np.int64)
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """(slot, key, n): trigram counts over all documents, summed in each task before they are shuffled."""
+    """(h, lang, gram, n): the documents that hold each sequence, summed in tasks before they are shuffled."""
+
+    def rows(total, names):
+        h, lang, gram, n = total
+        for lo in range(0, len(h), 200_000):
+            at = slice(lo, lo + 200_000)
+            text = np.ascontiguousarray(gram[at]).view(f"<U{ORDER}").reshape(-1)
+            # numpy drops trailing U+0000, which a sequence may end with
+            yield pd.DataFrame({"h": h[at].view(np.int64), "lang": [names[i] for i in lang[at]], "gram": [g.ljust(ORDER, "\0") for g in text.tolist()], "n": n[at]})
 
     def run(batches):
-        total: dict[int, np.ndarray] = {}
+        names: dict[str, int] = {}
+        parts, size = [], 0
         for pdf in batches:
-            for s, part in pdf.groupby("slot"):
-                texts = [t or "" for t in part["text"]]
-                for lo, hi in pieces([t for t in texts]):
-                    key, _ = trigrams(texts[lo:hi])
-                    total.setdefault(int(s), np.zeros(KEYS, np.int64))
-                    total[int(s)] += np.bincount(key, minlength=KEYS)
-        for s, n in total.items():
-            key = np.flatnonzero(n)
-            yield pd.DataFrame({"slot": np.full(len(key), s, np.int32), "key": key.astype(np.int32), "n": n[key]})
-
-    rows = docs.select(slot(F.col("lang")).alias("slot"), "text").mapInPandas(run, "slot int, key int, n long")
-    return rows.groupBy("slot", "key").agg(F.sum("n").alias("n"))
+            texts, langs = [t or "" for t in pdf["text"]], list(pdf["lang"])
+            for lo, hi in pieces(texts):
+                h, end, c = grams(texts[lo:hi], langs[lo:hi])
+                bound = np.cumsum([0, *map(len, texts[lo:hi])])
+                once = []
+                for k in range(hi - lo):
+                    x = np.sort(h[bound[k] : bound[k + 1]])
+                    once.append(x[np.diff(x, prepend=x[:1] + np.uint64(1)) != 0])
+                key, n = np.unique(np.concatenate(once), return_counts=True)
+                order = np.argsort(h)
+                first = order[np.searchsorted(h[order], key)]
+                number = np.array([names.setdefault(x, len(names)) for x in langs[lo:hi]], np.int32)
+                lang = number[np.searchsorted(bound, first, "right") - 1]
+                gram = c[end[first][:, None] - np.arange(ORDER, 0, -1)]
+                parts.append((key, lang, gram, n))
+                size += len(key)
+                if size > 2_000_000:
+                    parts = [_merged(parts)]
+                    if len(parts[0][0]) > 1_500_000:
+                        yield from rows(parts.pop(), list(names))
+                    size = sum(len(p[0]) for p in parts)
+        if parts:
+            yield from rows(_merged(parts), list(names))
+
+    found = docs.select(key_of(F.col("lang")).alias("lang"), "text").mapInPandas(run, "h long, lang string, gram string, n long")
+    return found.groupBy("h").agg(F.first("lang").alias("lang"), F.first("gram").alias("gram"), F.sum("n").alias("n"))
+
+
+def smoothed(found: DataFrame) -> DataFrame:
+    """(h, logp): modified Kneser-Ney over all orders, for every sequence that a document holds."""
+    top = found.select("h", "lang", "gram", (F.col("n") - 1).alias("c"))
+    levels = [top]
+    for _ in range(ORDER - 1):
+        up = levels[-1]
+        levels.append(up.groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.sum((F.col("c") > 0).cast("long")).alias("c")))
+        if len(levels) == 2:
+            levels[-1] = common.cut(levels[-1])
+    below = None
+    for k, rows in zip(range(1, ORDER + 1), reversed(levels), strict=True):
+        of = [F.greatest(F.sum((F.col("c") == i).cast("long")), F.lit(1)).alias(f"n{i}") for i in range(1, 5)]
+        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+        cuts = [F.greatest(F.least(i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}"), F.lit(i - 0.1)), F.lit(0.1)).alias(f"d{i}") for i in (1, 2, 3)]
+        x = rows.join(rows.groupBy("lang").agg(*of).select("lang", *cuts), "lang")
+        x = x.withColumn("d", F.when(F.col("c") == 0, 0.0).when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
+        w = W.partitionBy("lang", F.expr(f"substring(gram, 1, {k - 1})"))
+        x = x.withColumns({"total": F.sum("c").over(w), "taken": F.sum("d").over(w)})
+        if below is None:
+            x = x.withColumn("low", 1 / (1 + F.count("*").over(W.partitionBy("lang"))))
+        else:
+            x = x.withColumn("end", F.expr("substring(gram, 2)")).join(below.select("lang", F.col("gram").alias("end"), F.col("p").alias("low")).hint("merge"), ["lang", "end"])
+        p = F.when(F.col("total") > 0, (F.col("c") - F.col("d") + F.col("taken") * F.col("low")) / F.col("total")).otherwise(F.col("low"))
+        below = x.select(*(["h"] if k == ORDER else []), "lang", "gram", p.alias("p"))
+        if k < ORDER:
+            below = common.cut(below)  # one plan for all orders takes the driver's memory
+    return below.select("h", F.log("p").cast("float").alias("logp"))
 
 
 class Model(NamedTuple):
@@ -185,52 +264,75 @@ def repeated_lines(text: str) -> int:
     return n
 
 
-def measured(docs: DataFrame, model: Model) -> DataFrame:
-    """A row of statistics for each document, with its number of characters and mean log probability."""
+def measured(docs: DataFrame) -> DataFrame:
+    """A row of statistics for each row of docs (doc_id, lang, text, a, b)."""
 
     def run(batches):
-        dense: dict[int, np.ndarray | None] = {}
         for pdf in batches:
             texts = [t or "" for t in pdf["text"]]
             blobs = [utf8(t) for t in texts]
             words, repeats = [], []
             for lo, hi in pieces(blobs):
-                a, b = repeated_words(blobs[lo:hi])
-                words.append(a)
-                repeats.append(b)
-            mean = np.full(len(texts), np.nan)
-            for s, at in pdf.groupby("slot").indices.items():
-                if s not in dense:
-                    dense[s] = model.dense(int(s))
-                if dense[s] is None:
-                    continue
-                part = [texts[i] for i in at]
-                for lo, hi in pieces(part):
-                    key, owner = trigrams(part[lo:hi])
-                    total = np.bincount(owner, weights=dense[s][key], minlength=hi - lo)
-                    size = np.array([len(t) for t in part[lo:hi]])
-                    mean[at[lo:hi]] = np.where(size > 0, total / np.maximum(size, 1), np.nan)
+                x, y = repeated_words(blobs[lo:hi])
+                words.append(x)
+                repeats.append(y)
             yield pd.DataFrame({
-                "doc_id": pdf["doc_id"], "slot": pdf["slot"], "n_words": np.concatenate(words or [np.zeros(0, int)]), "n_repeat_words": np.concatenate(repeats or [np.zeros(0, int)]),
+                "doc_id": pdf["doc_id"], "lang": pdf["lang"], "a": pdf["a"], "b": pdf["b"], "n_words": np.concatenate(words or [np.zeros(0, int)]), "n_repeat_words": np.concatenate(repeats or [np.zeros(0, int)]),
                 "word_chars": [len(t) - sum(map(t.count, _BLANKS)) for t in texts], "n_symbols": [sum(map(t.count, SYMBOLS)) for t in texts], "n_dup_lines": [repeated_lines(t) for t in texts],
-                "n_chars": [len(t) for t in texts], "logp": mean,
+                "n_chars": [len(t) for t in texts],
             }).astype({"doc_id": "Int64"})
 
-    return docs.select("doc_id", slot(F.col("lang")).alias("slot"), "text").mapInPandas(run, "doc_id long, slot int, n_words long, n_repeat_words long, word_chars long, n_symbols long, n_dup_lines long, n_chars long, logp double")
-
-
-def judged(docs: DataFrame, fence: float = FENCE, least: float = LEAST) -> DataFrame:
+    return docs.mapInPandas(run, "doc_id long, lang string, a long, b long, n_words long, n_repeat_words long, word_chars long, n_symbols long, n_dup_lines long, n_chars long")
+
+
+def scored(docs: DataFrame, model: DataFrame, piece: int = PIECE) -> DataFrame:
+    """(a, b, total): the log probability of each distinct language and text of docs (lang, text, a, b), by its hashes."""
+    spark = docs.sparkSession
+    passes = max(1, -(-model.count() // piece))
+    edges = [-(2**63) + (2**64 * i) // passes for i in range(passes + 1)]
+    sums = None
+    for i in range(passes):
+        parts = []
+        for lo in range(edges[i], edges[i + 1], step := -(-(edges[i + 1] - edges[i]) // 4)):
+            got = model.where((F.col("h") >= lo) & (F.col("h") <= min(lo + step, edges[i + 1]) - 1)).toPandas()  # about piece / 4 rows
+            order = np.argsort(got["h"].to_numpy(np.int64))
+            parts.append((got["h"].to_numpy(np.int64)[order], got["logp"].to_numpy(np.float32)[order]))
+        sent = spark.sparkContext.broadcast(tuple(np.concatenate(x) for x in zip(*parts, strict=True)))
+        del parts
+
+        def run(batches, sent=sent):
+            keys, logp = sent.value
+            for pdf in batches:
+                texts, langs = [t or "" for t in pdf["text"]], list(pdf["lang"])
+                total = np.zeros(len(texts))
+                for lo, hi in pieces(texts) if len(keys) else ():
+                    h = grams(texts[lo:hi], langs[lo:hi])[0].view(np.int64)
+                    owner = np.repeat(np.arange(hi - lo), [len(t) for t in texts[lo:hi]])
+                    order = np.argsort(h)
+                    at = np.minimum(np.searchsorted(keys, h[order]), len(keys) - 1)
+                    value = np.where(keys[at] == h[order], logp[at], 0.0)
+                    total[lo:hi] = np.bincount(owner[order], weights=value, minlength=hi - lo)
+                yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "total": total})
+
+        rows = common.cut(docs.select("lang", "text", "a", "b").mapInPandas(run, "a long, b long, total double").groupBy("a", "b").agg(F.max("total").alias("total")))
+        sent.destroy()
+        sums = rows if sums is None else sums.unionByName(rows)
+    return sums.groupBy("a", "b").agg(F.sum("total").alias("total"))
+
+
+def judged(docs: DataFrame, fence: float = FENCE, least: float = LEAST, piece: int = PIECE) -> DataFrame:
     """Statistics and verdicts of docs (doc_id, text, lang), with each one's perplexity and band."""
-    model = kneser_ney(counted(docs).toPandas())  # at most 2^18 rows a slot, 64 slots
-    rows = common.cut(measured(docs, model))
+    lang = key_of(F.col("lang"))
+    keyed = docs.select("doc_id", lang.alias("lang"), "text", F.xxhash64(lang, "text").alias("a"), F.xxhash64(F.lit("b"), "text", lang).alias("b"))
+    model = common.cut(smoothed(common.cut(counted(docs))))
+    rows = measured(keyed).join(scored(keyed, model, piece), ["a", "b"], "left")
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    rows = rows.withColumn("base_failed", base).withColumn("logp", F.nanvl("logp", F.lit(None).cast("double")))
-    q = rows.where("not base_failed").groupBy("slot").agg(F.percentile_approx("logp", [0.25, 0.75], 10000).alias("q"))
-    # at most 64 rows
+    rows = common.cut(rows.withColumn("base_failed", base).withColumn("logp", F.when(F.col("n_chars") > 0, F.col("total") / F.col("n_chars"))))
+    q = rows.where("not base_failed").groupBy("lang").agg(F.percentile_approx("logp", [0.25, 0.75], 10000).alias("q"))
     wide = F.greatest(fence * (F.col("q")[1] - F.col("q")[0]), F.lit(float(np.log(least))))
-    band = q.select("slot", (F.col("q")[0] - wide).alias("low"), (F.col("q")[1] + wide).alias("high"))
+    band = q.select("lang", (F.col("q")[0] - wide).alias("low"), (F.col("q")[1] + wide).alias("high"))
     slack = 2.0 / F.sqrt(F.greatest("n_chars", F.lit(1)))
-    out = rows.join(F.broadcast(band), "slot", "left")
+    out = rows.join(band, "lang", "left")
     inside = F.coalesce(F.col("logp").between(F.col("low") - slack, F.col("high") + slack), F.lit(True))
     perplexity = F.exp(-F.col("logp"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"), perplexity.alias("perplexity"), F.exp(-F.col("high")).alias("perplexity_low"), F.exp(-F.col("low")).alias("perplexity_high"))

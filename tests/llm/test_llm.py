@@ -119,6 +119,45 @@ def test_perplexity_rules(spark):
     assert perplexity.judged(docs.where("false")).count() == 0
 
 
+def test_language_model_is_kneser_ney_of_each_language(spark):
+    """Against brute force over sequences of code points, counted by the other documents that hold them."""
+    # en and ro had one model when languages were dealt to 64 slots by crc32
+    texts = [("en", "the cat sat on the mat"), ("en", "The cat; the mat"), ("en", "the the the hat"), ("ro", "pisica şade pe covor"), ("ro", "pisica şi covorul 漢字 𠀀"), ("ro", "漢字 𠀀 pe"), (None, "the cat")]
+    docs = spark.createDataFrame([(i, t, x) for i, (x, t) in enumerate(texts)], "doc_id long, text string, lang string")
+    n = perplexity.ORDER
+
+    def grams(t):
+        t = " " * (n - 1) + t
+        return [t[i : i + n] for i in range(len(t) - n + 1)]
+
+    want = {}
+    for lang in ("en", "ro", None):
+        own = [t for x, t in texts if x == lang]
+        level = {g: sum(g in grams(t) for t in own) - 1 for t in own for g in grams(t)}
+        levels = [level]
+        while len(levels) < n:
+            below = {}
+            for g, c in levels[-1].items():
+                below[g[1:]] = below.get(g[1:], 0) + (c > 0)
+            levels.append(below)
+        low = {"": 1 / (1 + len(levels[-1]))}
+        for level in reversed(levels):
+            k = [max(1, sum(c == i for c in level.values())) for i in range(1, 5)]
+            y = k[0] / (k[0] + 2 * k[1])
+            d = [0.0, *(max(min(i - (i + 1) * y * k[i] / k[i - 1], i - 0.1), 0.1) for i in (1, 2, 3))]
+            now = {}
+            for g, c in level.items():
+                near = [v for x, v in level.items() if x[:-1] == g[:-1]]
+                total, taken = sum(near), sum(d[min(v, 3)] for v in near)
+                now[g] = (c - d[min(c, 3)] + taken * low[g[1:]]) / total if total else low[g[1:]]
+            low = now
+        want |= {i: np.exp(-np.mean([np.log(low[g]) for g in grams(t)])) for i, (x, t) in enumerate(texts) if x == lang}
+    got = {r.doc_id: r.perplexity for r in perplexity.judged(docs).collect()}
+    assert got == pytest.approx(want, rel=1e-5)
+    # a model sent in many parts gives the same
+    assert {r.doc_id: r.perplexity for r in perplexity.judged(docs, piece=30).collect()} == pytest.approx(want, rel=1e-5)
+
+
 def test_kneser_ney_sums_to_one():
     import pandas as pd
 
