@@ -8,10 +8,12 @@ of every document has a row with its finished log probability. Tasks look them u
 language and sequence, in sorted arrays sent PIECE keys at a time: a larger model takes more passes over the documents,
 not more memory, and a document's sums over the passes are added up.
 
-A document's mean log probability is compared with its language's
-band: FENCE interquartile ranges around the quartiles of all documents of that language, but never nearer
-than a factor of LEAST in perplexity (mixed-language prose stays inside, noise doesn't), and widened for short
-texts by what their length alone makes the mean vary.
+A document is compared with its language twice, by its mean log probability of a character and of a word
+(all characters of the text over its words): symbols strung to words are cheap for each character but not for each
+word, broken sentences and shuffled words the other way round. Each band lies FENCE interquartile ranges
+around the quartiles of the documents of that language that pass the base rules, and is widened for short texts by SLACK
+over the root of the length, which is about what their length alone makes the mean vary. kept asks for both; the
+perplexity columns are those of a character.
 
 Defined results: null and blank texts have no words and fail the base rules; a null language is a language
 of its own; rows with a null or repeated doc_id are judged row by row; empty tables give no rows; other columns are
@@ -36,7 +38,7 @@ from dyadlake.llm.hashing import mix, pieces, utf8, word_hashes
 SLOTS, CLASSES = 64, 64
 KEYS = CLASSES**3
 ORDER, PIECE = 5, 2_000_000
-FENCE, LEAST = 6.0, 2.2
+FENCE, SLACK = 1.5, {"logp": (1.0, "n_chars"), "word_logp": (8.0, "n_words")}
 SYMBOLS = "#*$%&|<>"
 _BLANKS = " \t\n\x0b\x0c\r"
 _MARKS = ".,!?;:'\"-()|*$%&#/"
@@ -320,20 +322,24 @@ def scored(docs: DataFrame, model: DataFrame, piece: int = PIECE) -> DataFrame:
     return sums.groupBy("a", "b").agg(F.sum("total").alias("total"))
 
 
-def judged(docs: DataFrame, fence: float = FENCE, least: float = LEAST, piece: int = PIECE) -> DataFrame:
+def judged(docs: DataFrame, fence: float = FENCE, piece: int = PIECE) -> DataFrame:
     """Statistics and verdicts of docs (doc_id, text, lang), with each one's perplexity and band."""
     lang = key_of(F.col("lang"))
     keyed = docs.select("doc_id", lang.alias("lang"), "text", F.xxhash64(lang, "text").alias("a"), F.xxhash64(F.lit("b"), "text", lang).alias("b"))
     model = common.cut(smoothed(common.cut(counted(docs))))
     rows = measured(keyed).join(scored(keyed, model, piece), ["a", "b"], "left")
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    rows = common.cut(rows.withColumn("base_failed", base).withColumn("logp", F.when(F.col("n_chars") > 0, F.col("total") / F.col("n_chars"))))
-    q = rows.where("not base_failed").groupBy("lang").agg(F.percentile_approx("logp", [0.25, 0.75], 10000).alias("q"))
-    wide = F.greatest(fence * (F.col("q")[1] - F.col("q")[0]), F.lit(float(np.log(least))))
-    band = q.select("lang", (F.col("q")[0] - wide).alias("low"), (F.col("q")[1] + wide).alias("high"))
-    slack = 2.0 / F.sqrt(F.greatest("n_chars", F.lit(1)))
-    out = rows.join(band, "lang", "left")
-    inside = F.coalesce(F.col("logp").between(F.col("low") - slack, F.col("high") + slack), F.lit(True))
+    means = {"base_failed": base, "logp": F.when(F.col("n_chars") > 0, F.col("total") / F.col("n_chars")), "word_logp": F.when(F.col("n_words") > 0, F.col("total") / F.col("n_words"))}
+    rows = common.cut(rows.withColumns(means))
+    of = [F.percentile_approx(c, [0.25, 0.75], 10000).alias(c) for c in SLACK]
+    q = rows.where("not base_failed").groupBy("lang").agg(*of)
+    wide = {c: fence * (F.col(c)[1] - F.col(c)[0]) for c in SLACK}
+    band = q.select("lang", *((F.col(c)[0] - wide[c]).alias(f"{c}_low") for c in SLACK), *((F.col(c)[1] + wide[c]).alias(f"{c}_high") for c in SLACK))
+    out = rows.join(band, "lang", "left").withColumns({"low": F.col("logp_low"), "high": F.col("logp_high")})
+    inside = F.lit(True)
+    for c, (scale, size) in SLACK.items():
+        slack = scale / F.sqrt(F.greatest(size, F.lit(1)))
+        inside = inside & F.coalesce(F.col(c).between(F.col(f"{c}_low") - slack, F.col(f"{c}_high") + slack), F.lit(True))
     perplexity = F.exp(-F.col("logp"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"), perplexity.alias("perplexity"), F.exp(-F.col("high")).alias("perplexity_low"), F.exp(-F.col("low")).alias("perplexity_high"))
 

@@ -158,6 +158,29 @@ def test_language_model_is_kneser_ney_of_each_language(spark):
     assert {r.doc_id: r.perplexity for r in perplexity.judged(docs, piece=30).collect()} == pytest.approx(want, rel=1e-5)
 
 
+def test_band_rejects_planted_noise(spark):
+    rng = np.random.default_rng(5)
+    vocabulary = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(3, 9))) for _ in range(300)]
+    follow = rng.integers(0, 300, (300, 3))
+
+    def prose(n=500):
+        out, at, first = [], int(rng.integers(300)), True
+        for i in range(n):
+            last = i % 10 == 9
+            out.append((vocabulary[at].capitalize() if first else vocabulary[at]) + "." * last)
+            at, first = int(follow[at, rng.integers(3)]), last
+        return out
+
+    clean = [prose() for _ in range(60)]
+    shuffled = [list(rng.permutation(prose())) for _ in range(3)]
+    symbols = [[w + "#$%&"[i % 4] * 3 for i, w in enumerate(prose())] for _ in range(3)]
+    repetitive = [prose(20) * 25 for _ in range(3)]
+    texts = [" ".join(w) for w in clean + shuffled + symbols + repetitive]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in perplexity.judged(docs).collect() if r.kept}
+    assert not kept & set(range(60, 69)) and len(kept & set(range(60))) >= 58
+
+
 def test_kneser_ney_sums_to_one():
     import pandas as pd
 
