@@ -26,11 +26,13 @@ def two_hop(edges: DataFrame) -> DataFrame:
     return a.join(b, "m").where("src <> dst AND m <> src AND m <> dst").groupBy("src", "dst").agg((x / (1 + x)).alias("two_hop"), F.count("*").alias("paths"))
 
 
-def _peers(edges: DataFrame, most_in: int = 1000) -> DataFrame:
-    """Pairs of users with a common target, by target; a target's in-edges beyond most_in carry no signal of taste."""
-    ranked = edges.withColumn("r", F.row_number().over(W.partitionBy("dst").orderBy(F.desc("w"), "src"))).where(F.col("r") <= most_in)
-    a, b = ranked.select(F.col("src").alias("u"), "dst", F.col("w").alias("wu")), ranked.select(F.col("src").alias("v"), "dst", F.col("w").alias("wv"))
-    return a.join(b, "dst").where("u <> v")
+def _peers(edges: DataFrame, block: int = 1000) -> DataFrame:
+    """Pairs of users with a common target, by target; a target with more than block in-edges is joined in several parts."""
+    blocks = edges.groupBy("dst").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    rows = edges.join(blocks, "dst")
+    a = rows.select(F.col("src").alias("u"), "dst", F.col("w").alias("wu"), F.pmod(F.xxhash64("src"), "blocks").cast("int").alias("part"))
+    b = rows.select(F.col("src").alias("v"), "dst", F.col("w").alias("wv"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
+    return a.join(b, ["dst", "part"]).where("u <> v").drop("part")
 
 
 def shared_neighbours(edges: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Queries against their SQL at the smallest size, and micro-fixtures for edge cases."""
 
+import math
 from datetime import datetime
 from pathlib import Path
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from dyadlake.functions import scalar as S
 from dyadlake.operators import events as E
+from dyadlake.operators import graph as G
 from dyadlake.operators import ranking as R
 from dyadlake.plans import queries as Q
 from dyadlake.streaming.impressions import validated
@@ -71,3 +73,13 @@ def test_impressions_reject(spark):
     df = spark.sql(f"SELECT 'a' AS request_id, 1L AS viewer_id, ' Home ' AS surface, '' AS context_key, array({good}, {nan}) AS items UNION ALL SELECT 'b', 1L, 'home', NULL, array({good}, {again})")
     got = {(r.request_id, r.candidate_id): r.reject_reason for r in validated(df).collect()}
     assert got == {("a", 2): None, ("a", 3): "score", ("b", 2): "repeated_rank", ("b", 4): "repeated_rank"}
+
+
+def test_hot_targets_keep_all_pairs(spark):
+    n = 1100
+    edges = spark.range(1, n + 1).select(F.col("id").alias("src"), F.lit(0).cast("long").alias("dst"), F.col("id").cast("double").alias("w"), F.lit(0.5).alias("d"))
+    x = 1 / math.log(1 + n)
+    got = G.shared_neighbours(edges).agg(F.count("*"), F.countDistinct("src"), F.min("shared"), F.max("shared")).first()
+    assert tuple(got) == (n * (n - 1), n, pytest.approx(x / (1 + x)), pytest.approx(x / (1 + x)))
+    got = G.similarity(edges).agg(F.count("*"), F.min("similarity")).first()
+    assert tuple(got) == (n * (n - 1), pytest.approx(1.0))
