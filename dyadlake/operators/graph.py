@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 MOST_EDGES, MOST_PEERS = 100, 50
 
 
-def build_edges(signals: DataFrame, most: int = MOST_EDGES) -> DataFrame:
+def build_edges(signals: DataFrame, most: int | None = MOST_EDGES) -> DataFrame:
     """(src, dst, w, d): the heaviest edges of each user; d = 1 - exp(-w / 5).
 
-    The limit on out-edges is part of the definition: it bounds every two-hop join.
+    The limit on out-edges is part of the definition: it bounds every two-hop join. None keeps all edges.
     """
     w = W.partitionBy("actor_id").orderBy(F.desc("raw"), "target_id")
-    top = signals.where("horizon = 'long'").withColumn("r", F.row_number().over(w)).where(F.col("r") <= most)
+    top = signals.where("horizon = 'long'")
+    if most is not None:
+        top = top.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most)
     return top.select(F.col("actor_id").alias("src"), F.col("target_id").alias("dst"), F.col("raw").alias("w"), (1 - F.exp(-F.col("raw") / 5)).alias("d"))
 
 
@@ -60,10 +62,10 @@ def collaborative(edges: DataFrame, similar: DataFrame, most: int = MOST_PEERS)
     return sums.join(total, "src").select("src", "dst", (F.col("x") / F.col("total")).alias("collaborative"), "support")
 
 
-def pair_features(edges: DataFrame) -> DataFrame:
-    """All features of every pair that any of them reaches, with the retrieval score."""
+def pair_features(edges: DataFrame, whole: DataFrame | None = None) -> DataFrame:
+    """Features of every pair that any of them reaches, with the retrieval score; direct and reverse are read from whole, all edges."""
     similar = similarity(edges)
-    direct = edges.select("src", "dst", F.col("d").alias("direct"))
+    direct = (edges if whole is None else whole).select("src", "dst", F.col("d").alias("direct"))
     parts = [direct, direct.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("direct").alias("reverse")), two_hop(edges), shared_neighbours(edges), similar, collaborative(edges, similar)]
     # one shuffle on the pair instead of five outer joins
     names = ["direct", "reverse", "two_hop", "paths", "shared", "similarity", "collaborative", "support"]

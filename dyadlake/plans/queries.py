@@ -269,14 +269,19 @@ def graph_similarity(spark, sf_dir):
     return _rounded(G.similarity(G.build_edges(_signal(spark, sf_dir))))
 
 
+def _pair_features(spark, sf_dir):
+    signals = _signal(spark, sf_dir)
+    return G.pair_features(G.build_edges(signals), G.build_edges(signals, None))
+
+
 @register()
 def graph_pair_features(spark, sf_dir):
-    return _rounded(G.pair_features(G.build_edges(_signal(spark, sf_dir))))
+    return _rounded(_pair_features(spark, sf_dir))
 
 
 @register()
 def graph_candidates(spark, sf_dir):
-    return G.candidates(G.pair_features(G.build_edges(_signal(spark, sf_dir))), 50)
+    return G.candidates(_pair_features(spark, sf_dir), 50)
 
 
 @register(O.sql(O.LOG, body="SELECT DISTINCT viewer_id, candidate_id FROM (SELECT actor_id AS viewer_id, target_id AS candidate_id FROM valid WHERE event_type IN ('block', 'report') AND ts < TIMESTAMP '2024-01-23' UNION ALL SELECT target_id, actor_id FROM valid WHERE event_type IN ('block', 'report') AND ts < TIMESTAMP '2024-01-23')"))

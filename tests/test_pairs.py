@@ -83,3 +83,11 @@ def test_hot_targets_keep_all_pairs(spark):
     assert tuple(got) == (n * (n - 1), n, pytest.approx(x / (1 + x)), pytest.approx(x / (1 + x)))
     got = G.similarity(edges).agg(F.count("*"), F.min("similarity")).first()
     assert tuple(got) == (n * (n - 1), pytest.approx(1.0))
+
+
+def test_a_reached_user_is_no_candidate(spark, monkeypatch):
+    signals = spark.sql("SELECT 1L AS actor_id, id AS target_id, CAST(1000 - id AS DOUBLE) AS raw, 'long' AS horizon FROM range(2, 110) UNION ALL SELECT 2L, 109L, 5.0D, 'long'")
+    monkeypatch.setattr(Q, "_signal", lambda spark, sf_dir: signals)
+    got = Q.graph_pair_features(spark, "").where("src = 1 AND dst = 109 OR src = 109 AND dst = 1").collect()
+    assert len(got) == 2 and {(r.src, r.direct > 0, r.reverse > 0) for r in got} == {(1, True, False), (109, False, True)}
+    assert Q.graph_candidates(spark, "").where("src = 1 AND dst = 109").count() == 0
