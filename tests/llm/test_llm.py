@@ -70,6 +70,44 @@ def _components(rows, n=3, num=85, den=100):
     return {k: (len(sets[k]), root(k)) for k in keys}
 
 
+def _linked(texts, n=3, num=85, den=100):
+    """The least index that each text reaches, by overlaps of all pairs in blocks."""
+    sets = [{tuple(w[i : i + n]) for i in range(len(w) - n + 1)} for w in (t.split() for t in texts)]
+    held = {}
+    for s in sets:
+        for g in s:
+            held[g] = held.get(g, 0) + 1
+    column = {g: i for i, g in enumerate(g for g, c in held.items() if c > 1)}
+    m = np.zeros((len(texts), len(column)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [column[g] for g in s if g in column]] = 1
+    size, best = np.array([len(s) for s in sets]), np.arange(len(texts))
+    both = (m @ m.T).astype(np.int64)
+    link = (den * both >= num * (size[:, None] + size - both)) | np.eye(len(texts), dtype=bool)
+    while True:
+        new = np.array([best[link[i]].min() for i in range(len(texts))])
+        if (new == best).all():
+            return best
+        best = new
+
+
+def test_families_at_the_threshold(spark):
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(160)]
+    texts = []
+    for i in range(2000):  # four to twelve words of one text replaced, so most copies lie near the threshold
+        w = list(base)
+        for at in rng.choice(len(w), rng.integers(4, 13), replace=False):
+            w[at] = f"x{rng.integers(0, 40)}"
+        texts.append(" ".join(w))
+    texts += [" ".join(t.split()[: 160 - i % 30]) for i, t in enumerate(texts[:300])]
+    order = rng.permutation(len(texts))
+    rows = [(int(i), texts[i]) for i in order]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    want = _linked(texts)
+    assert len(set(want)) > 20 and [got[i] for i in range(len(texts))] == list(want)
+
+
 def test_near_duplicates(spark):
     rng = np.random.default_rng(5)
     rows = [(1, None), (2, ""), (3, "one two"), (4, "One TWO"), (5, "alpha")]
