@@ -28,11 +28,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the smallest doc_id, and one row of those that repeat it."""
-    found = minhash.near_duplicates(docs, **NEAR).where("component_id is not null")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    """One row of each group: the one with the smallest doc_id, then hash of the text; texts without words and null keys stay."""
+    found = common.cut(minhash.near_duplicates(docs, **NEAR).where("component_id is not null"))
+    least = found.where("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "mark")).alias("least"))
+    gone = found.join(least, "group").where("struct(doc_id, mark) <> least").select("doc_id", "mark").distinct()
+    mark = next(name for i in range(len(docs.columns) + 1) if (name := f"mark{i}") not in docs.columns)
+    kept = docs.withColumn(mark, F.xxhash64(F.coalesce("text", F.lit(""))))
+    gone = gone.select(F.col("doc_id").alias("_gone"), F.col("mark").alias("_mark"))
+    kept = kept.join(gone, (kept["doc_id"] == gone["_gone"]) & (kept[mark] == gone["_mark"]), "left_anti")
+    if found.groupBy("doc_id", "mark").count().where("count > 1").limit(1).count():  # rows that repeat others as a whole
+        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id", mark]).unionByName(kept.where("doc_id is null"))
+    return kept.select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
