@@ -31,52 +31,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dyadlake.llm import common
-from dyadlake.llm.hashing import _BYTE, _STEP, mix, pieces, powers, utf8
+from dyadlake.llm.hashing import Prefixes, mix, pieces, utf8
 
 WIDTH, K = 50, 20
 LOT = 500_000  # contexts that a task looks at together
-_INVERSE = np.uint64(pow(int(_STEP), -1, 1 << 64))
-_tables: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_tables.get("up", ())) < n:
-        size = max(n, 1 << 20)
-        down = np.full(size, _INVERSE, np.uint64)
-        down[0] = 1
-        _tables.update(up=powers(size), down=np.multiply.accumulate(down))
-    return _tables["up"], _tables["down"]
-
-
-class Prefixes:
-    """Prefix polynomial hashes of a buffer: the hash of any substring in constant time."""
-
-    def __init__(self, buf: np.ndarray):
-        up, self.down = _powers(len(buf) + 1)
-        self.sums = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(_BYTE[buf] * up[: len(buf)], out=self.sums[1:])
-        self.buf = buf
-
-    def hash(self, start: np.ndarray, size) -> np.ndarray:
-        return mix((self.sums[start + size] - self.sums[start]) * self.down[start])
-
-    def common(self, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-        """Length of the common extension of suffixes a and b, up to most, by binary search."""
-        lo, hi = np.zeros(len(a), np.int64), np.full(len(a), most)
-        while (open_ := lo < hi).any():
-            mid = (lo + hi + 1) >> 1
-            same = (self.sums[a + mid] - self.sums[a]) * self.down[a] == (self.sums[b + mid] - self.sums[b]) * self.down[b]
-            lo = np.where(open_ & same, mid, lo)
-            hi = np.where(open_ & ~same, mid - 1, hi)
-        return lo
-
-    def less(self, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-        """Whether suffix a comes before suffix b by their first bytes; ties go to a."""
-        n = self.common(a, b, most)
-        at = np.minimum(n, most - 1)
-        return (n == most) | (self.buf[a + at] < self.buf[b + at])
-
-
 def suffix_order(p: Prefixes, starts: np.ndarray, most: int = WIDTH) -> np.ndarray:
     """The order of suffixes by their first most bytes (stable): runs by 24 bytes, then a hash-compared mergesort."""
     n = len(starts)
