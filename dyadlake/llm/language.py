@@ -31,7 +31,7 @@ def held_out() -> F.Column:
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE):
     """(languages, table, bias, temperature, threshold) from docs (doc_id, text, lang)."""
-    known = docs.where("lang is not null and text is not null").where(~held_out()).select("doc_id", "lang").withColumn("part", F.pmod(F.hash("doc_id"), F.lit(PARTS)))
+    known = docs.where("doc_id is not null and lang is not null and text is not null").where(~held_out()).select("doc_id", "lang").distinct().withColumn("part", F.pmod(F.hash("doc_id"), F.lit(PARTS)))
 
     def first(rows: DataFrame, *by: str) -> DataFrame:
         rank = F.row_number().over(W.partitionBy(*by).orderBy(F.xxhash64("doc_id"), "doc_id"))
@@ -39,18 +39,18 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE):
 
     # the first of a language are among the first of its parts, so no task ranks a whole language
     chosen = first(first(known, "lang", "part"), "lang").drop("part")
-    # at most per_language keys of each language
-    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").orderBy("doc_id").collect()
-    langs = sorted({r.lang for r in rows})
+    # at most per_language keys of each language; texts stay in tasks, the driver gets their bags
+    texts = docs.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"], "left_semi").groupBy("doc_id", F.col("lang").alias("label")).agg(F.lower(F.min_by("text", F.xxhash64("text"))).alias("text"))
+    rows = sorted(texts.mapInPandas(subword.bag_rows, "doc_id long, label string, buckets binary, shares binary").collect(), key=lambda r: (r.doc_id, r.label))
+    langs = sorted({r.label for r in rows})
     if not langs:
         return [], np.zeros((subword.BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0
-    texts, y = [r.text.lower() for r in rows], np.array([langs.index(r.lang) for r in rows])
+    bags, y = subword.unpacked(rows), np.array([langs.index(r.label) for r in rows])
     aside = np.arange(len(rows)) % 5 == 4
-    keep = np.flatnonzero(~aside)
-    table, bias = subword.train([texts[i] for i in keep], [int(y[i]) for i in keep], len(langs))
+    table, bias = subword.train([bags[i] for i in np.flatnonzero(~aside)], [int(k) for k in y[~aside]], len(langs))
     if not aside.any():
         return langs, table, bias, 1.0, 0.0
-    z = subword.scores([texts[i] for i in np.flatnonzero(aside)], table, bias)
+    z = subword.bag_scores([bags[i] for i in np.flatnonzero(aside)], table, bias)
     goal = y[aside]
     loss = {t: -np.log(subword.softmax(z / t)[np.arange(len(goal)), goal] + 1e-12).mean() for t in 2.0 ** np.arange(-3, 4.1, 0.25)}
     heat = min(loss, key=loss.get)

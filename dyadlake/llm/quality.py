@@ -5,7 +5,7 @@ is scored on its whole text. Labels of held-out rows (crc32 of the key as text d
 never read; language, source and key are never inputs.
 
 Defined results: null and blank texts have the score of the bias; rows with a null doc_id are held
-out and scored; repeated rows are scored alike; labels that are null are not learned from; without any
+out and scored; repeated rows are scored alike and, of several texts under a doc_id, one is learned from (the least by hash); labels that are null are not learned from; without any
 label the score is 0.5; an empty table gives an empty table; other columns are not read.
 """
 
@@ -30,12 +30,14 @@ def held_out() -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN):
     """The model learned from documents with labels (doc_id, quality) that are not held out."""
     known = labels.where("doc_id is not null and quality is not null").where(~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    # at most max_train rows of two numbers, so they may be broadcast
+    # at most max_train rows of two numbers
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    texts = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id", F.col("quality").alias("label")).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    # texts stay in tasks; the driver gets at most max_train bags
+    rows = sorted(texts.mapInPandas(subword.bag_rows, "doc_id long, label long, buckets binary, shares binary").collect(), key=lambda r: r.doc_id)
     if not rows:
         return np.zeros((subword.BUCKETS, 2), np.float32), np.zeros(2)
-    return subword.train([r.text or "" for r in rows], [int(r.quality > 0) for r in rows], 2)
+    return subword.train(subword.unpacked(rows), [int(r.label > 0) for r in rows], 2)
 
 
 def scored(docs: DataFrame, model) -> DataFrame:

@@ -1,7 +1,7 @@
 """Supervised subword embeddings: hashed word and character n-gram vectors, averaged per document.
 
-A document's features are its words, whether a word repeats the one before it, and the character n-grams inside them (a blank at either end marks
-a word's edge), hashed to 2^16 rows of an embedding table. Their average goes through a linear softmax;
+A document's features are its words, pairs of neighbouring words and the character n-grams inside words (a
+blank at either end marks a word's edge), hashed to 2^16 rows of an embedding table. Their average goes through a linear softmax;
 both are trained by stochastic gradient descent in numpy with per-coordinate steps. Since the model is
 linear after the average, a feature's contribution to every class can be computed once: a document
 is then scored by table look-ups over its whole text.
@@ -10,10 +10,10 @@ is then scored by table look-ups over its whole text.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 
 BUCKETS = 1 << 16
 GRAMS = (2, 3, 4)
-REPEAT = 16
 _BLANK = np.zeros(0x110000, bool)
 _BLANK[[0x20, 9, 10, 11, 12, 13]] = True
 _P = np.uint32(0x01000193)
@@ -28,7 +28,6 @@ def _chars(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
-    """Bucket 0 is left to repeated words but for chance."""
     return ((h ^ (h >> np.uint32(15))) * _K) >> np.uint32(16)
 
 
@@ -58,10 +57,9 @@ def features(texts: list[str]):
         at = np.arange(len(own)) - np.repeat(first, size)
         h = np.add.reduceat((own * _K ^ (own >> np.uint32(7))) * step[at], first, dtype=np.uint32)
         b, d = _bucket(h + np.uint32(77)), doc[starts]
-        again = (h[1:] == h[:-1]) & (d[1:] == d[:-1])
         yield b, d
-        # word bigrams of a word with itself share one bucket, and weigh as much as a word's n-grams
-        yield np.zeros(REPEAT * int(again.sum()), np.uint32), np.repeat(d[1:][again], REPEAT)
+        pair = d[1:] == d[:-1]
+        yield _bucket(h[:-1][pair] * _P + h[1:][pair] * _K), d[1:][pair]
 
 
 def _slices(texts: list[str], limit: int = 1 << 19):
@@ -89,18 +87,29 @@ def bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def bag_rows(batches):
+    """mapInPandas: (doc_id, label, text) to (doc_id, label, buckets, shares), both packed; what training needs of a text."""
+    for pdf in batches:
+        got = bags([t or "" for t in pdf["text"]])
+        yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "buckets": [b.tobytes() for b, _ in got], "shares": [s.tobytes() for _, s in got]})
+
+
+def unpacked(rows) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [(np.frombuffer(r.buckets, np.uint16), np.frombuffer(r.shares, np.float32)) for r in rows]
+
+
 def softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=-1, keepdims=True))
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(texts: list[str], labels: list[int], classes: int, width: int = 8, epochs: int = 4, rate: float = 0.2, seed: int = 1):
-    """(table, bias): what each bucket adds to each class, times its share in a text."""
+def train(data: list[tuple[np.ndarray, np.ndarray]], labels: list[int], classes: int, width: int = 8, epochs: int = 4, rate: float = 0.2, seed: int = 1):
+    """(table, bias) from bags: what each bucket adds to each class, times its share in a text."""
     rng = np.random.default_rng(seed)
     emb = rng.uniform(-0.5, 0.5, (BUCKETS, width))
     out, bias = rng.normal(0, 0.3, (width, classes)), np.zeros(classes)
     past_e, past_o, past_b = np.full((BUCKETS, width), 1e-8), np.full((width, classes), 1e-3), np.full(classes, 1e-1)
-    data, goal = bags(texts), np.eye(classes)
+    goal = np.eye(classes)
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for i in rng.permutation(len(data)):
@@ -130,3 +139,8 @@ def scores(texts: list[str], table: np.ndarray, bias: np.ndarray) -> np.ndarray:
                 total[:, k] += np.bincount(d, weights=table[b, k], minlength=hi - lo)
         out[lo:hi] = total / np.maximum(count, 1)[:, None]
     return out + bias
+
+
+def bag_scores(data: list[tuple[np.ndarray, np.ndarray]], table: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """The same from bags."""
+    return np.array([s @ table[b] for b, s in data]).reshape(-1, len(bias)) + bias
