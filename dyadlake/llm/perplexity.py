@@ -23,8 +23,6 @@ not read. Texts are counted and scored whole.
 from __future__ import annotations
 
 import hashlib
-import unicodedata
-from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -35,50 +33,10 @@ from pyspark.sql import functions as F
 from dyadlake.llm import common
 from dyadlake.llm.hashing import mix, pieces, utf8, word_hashes
 
-SLOTS, CLASSES = 64, 64
-KEYS = CLASSES**3
-ORDER, PIECE = 5, 2_000_000
+ORDER, PIECE = 5, 4_000_000
 FENCE, SLACK = 1.5, {"logp": (1.0, "n_chars"), "word_logp": (8.0, "n_words")}
 SYMBOLS = "#*$%&|<>"
 _BLANKS = " \t\n\x0b\x0c\r"
-_MARKS = ".,!?;:'\"-()|*$%&#/"
-_table: list[np.ndarray] = []
-
-
-def classes_of() -> np.ndarray:
-    """The class of each code point below 65536; 26 letters, digits, blank, line end, marks, 16 hashed slots."""
-    if not _table:
-        t = np.full(0x10000, 47, np.uint8)
-        for i in range(0x10000):
-            c = chr(i)
-            low = c.lower()
-            if "a" <= low <= "z" and len(low) == 1:
-                t[i] = ord(low) - 97
-            elif c in "\n\r":
-                t[i] = 28
-            elif c in _BLANKS:
-                t[i] = 27
-            elif c in _MARKS:
-                t[i] = 29 + _MARKS.index(c)
-            elif unicodedata.category(c)[0] == "N":
-                t[i] = 26
-            elif unicodedata.category(c)[0] == "L":
-                t[i] = 48 + (ord(low[0]) * 40503 >> 4) % 16
-        _table.append(t)
-    return _table[0]
-
-
-def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The key of the trigram that ends at each character, after two blanks, and each character's text."""
-    size = np.array([len(t) for t in texts], np.int64)
-    c = np.frombuffer("".join(f"  {t}" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    k = classes_of()[np.minimum(c, 0xFFFF)].astype(np.int32)
-    key = (k[:-2] << 12) + (k[1:-1] << 6) + k[2:] if len(k) > 2 else np.zeros(0, np.int32)
-    first = np.cumsum(size + 2) - size - 2
-    keep = np.ones(len(key), bool)
-    for b in (first[1:] - 2, first[1:] - 1):
-        keep[b[(b >= 0) & (b < len(key))]] = False
-    return key[keep], np.repeat(np.arange(len(texts)), size)
 
 
 def key_of(lang: F.Column) -> F.Column:
@@ -178,63 +136,6 @@ def smoothed(found: DataFrame) -> DataFrame:
     return below.select("h", F.log("p").cast("float").alias("logp"))
 
 
-class Model(NamedTuple):
-    """Sorted keys of all seen trigrams (slot, then classes) with log probabilities, and what unseen ones need."""
-
-    keys: np.ndarray
-    logp: np.ndarray
-    slots: np.ndarray
-    back: np.ndarray  # log backoff weight of each context, by slot
-    lower: np.ndarray  # log probability of each bigram, by slot
-
-    def dense(self, s: int) -> np.ndarray | None:
-        """Log probabilities of all trigrams of a slot."""
-        at = np.searchsorted(self.slots, s)
-        if at == len(self.slots) or self.slots[at] != s:
-            return None
-        out = (self.back[at][:, None] + np.tile(self.lower[at].reshape(CLASSES, CLASSES), (CLASSES, 1))).astype(np.float32).reshape(-1)
-        lo, hi = np.searchsorted(self.keys, [s * KEYS, (s + 1) * KEYS])
-        out[self.keys[lo:hi] - s * KEYS] = self.logp[lo:hi]
-        return out
-
-
-def _discounts(n: np.ndarray) -> np.ndarray:
-    """Discounts for counts 0, 1, 2, 3 or more, from counts of counts."""
-    c = [max(1, int((n == i).sum())) for i in range(1, 5)]
-    y = c[0] / (c[0] + 2 * c[1])
-    return np.array([0.0, *(min(max(i - (i + 1) * y * c[i] / c[i - 1], 0.1), i - 0.1) for i in (1, 2, 3))])
-
-
-def _smoothed(n: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(probabilities, backoff weights) of counts (contexts x classes) over lower-order probabilities."""
-    d = _discounts(n)[np.minimum(n, 3).astype(int)]
-    total = n.sum(axis=1, keepdims=True)
-    weight = np.where(total > 0, d.sum(axis=1, keepdims=True) / np.maximum(total, 1), 1.0)
-    return np.maximum(n - d, 0) / np.maximum(total, 1) + weight * lower, weight[:, 0]
-
-
-def kneser_ney(counts: pd.DataFrame) -> Model:
-    """The model from (slot, key, n) rows: at most 2^18 of them a slot."""
-    keys, logp, slots, backs, lowers = [], [], [], [], []
-    for s, part in counts.sort_values(["slot", "key"]).groupby("slot"):
-        n = np.zeros(KEYS)
-        n[part["key"]] = part["n"]
-        tri = n.reshape(CLASSES**2, CLASSES)
-        pair = (tri.reshape(CLASSES, CLASSES, CLASSES) > 0).sum(axis=0).astype(float)  # distinct classes before a bigram
-        one = (pair > 0).sum(axis=0).astype(float)[None, :]
-        p1, _ = _smoothed(one, np.full((1, CLASSES), 1 / CLASSES))
-        p2, _ = _smoothed(pair, p1)
-        p3, back = _smoothed(tri, np.tile(p2, (CLASSES, 1)))
-        key = part["key"].to_numpy()
-        keys.append(key.astype(np.int64) + int(s) * KEYS)
-        logp.append(np.log(p3.reshape(-1)[key]).astype(np.float32))
-        slots.append(int(s))
-        backs.append(np.log(np.maximum(back, 1e-9)).astype(np.float32))
-        lowers.append(np.log(p2.reshape(-1)).astype(np.float32))
-    none = np.zeros(0)
-    return Model(np.concatenate(keys or [none]).astype(np.int64), np.concatenate(logp or [none]), np.array(slots, np.int64), np.array(backs), np.array(lowers))
-
-
 def repeated_words(blobs: list[bytes], width: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """(words, words in width-word windows that occur twice or more) of each text."""
     h, doc = word_hashes(blobs)
@@ -295,10 +196,12 @@ def scored(docs: DataFrame, model: DataFrame, piece: int = PIECE) -> DataFrame:
     sums = None
     for i in range(passes):
         parts = []
-        for lo in range(edges[i], edges[i + 1], step := -(-(edges[i + 1] - edges[i]) // 4)):
-            got = model.where((F.col("h") >= lo) & (F.col("h") <= min(lo + step, edges[i + 1]) - 1)).toPandas()  # about piece / 4 rows
-            order = np.argsort(got["h"].to_numpy(np.int64))
-            parts.append((got["h"].to_numpy(np.int64)[order], got["logp"].to_numpy(np.float32)[order]))
+        for lo in range(edges[i], edges[i + 1], step := -(-(edges[i + 1] - edges[i]) // 8)):
+            got = model.where((F.col("h") >= lo) & (F.col("h") <= min(lo + step, edges[i + 1]) - 1)).toArrow()  # about piece / 8 rows
+            h, logp = got["h"].to_numpy(), got["logp"].to_numpy()
+            order = np.argsort(h)
+            parts.append((h[order], logp[order]))
+        del got, h, logp, order
         sent = spark.sparkContext.broadcast(tuple(np.concatenate(x) for x in zip(*parts, strict=True)))
         del parts
 

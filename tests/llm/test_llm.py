@@ -219,21 +219,27 @@ def test_band_rejects_planted_noise(spark):
     assert not kept & set(range(60, 69)) and len(kept & set(range(60))) >= 58
 
 
-def test_kneser_ney_sums_to_one():
-    import pandas as pd
-
-    key, _ = perplexity.trigrams(["abracadabra and a cadabra", "banana"])
-    k, n = np.unique(key, return_counts=True)
-    dense = perplexity.kneser_ney(pd.DataFrame({"slot": 3, "key": k, "n": n})).dense(3)
-    assert np.allclose(np.exp(dense.astype(float)).reshape(-1, perplexity.CLASSES).sum(axis=1), 1, atol=1e-4)
-
-
 def test_codes_round_trip():
     for x in (np.array([], int), np.array([0, 255, 256, 70000, 2**32 - 1]), np.random.default_rng(1).integers(0, 60000, 5000)):
         c = tokens.Codes(tokens.pack(x))
         assert (c.all() == x).all() and (c.take(np.arange(len(x))) == x).all()
 
 
+def test_parts_equal_the_library():
+    import random
+
+    import public_tokenizers
+
+    work = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"), most=300)  # small, so that it starts anew
+    assert work.parted
+    pick = random.Random(4)
+    bits = ["a", "b", "Zed", " ", "  ", "\n", "\n\n", ",", ".", "!?", "'s", "é", "漢", "\xa0", "\u3000", "😀", "1", "23", "<|endoftext|>", "\t", " \n", "\r\n", "_", "“", "\x85", "\u2028", "x" * 60]
+    texts = ["".join(pick.choices(bits, k=pick.randrange(30))) for _ in range(4000)]
+    want = [e.ids for e in work.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    got = [x.tolist() for i in range(0, 4000, 50) for x in work.encode([t.encode() for t in texts[i : i + 50]])]
+    assert got == want
+
+
 def test_token_codes(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
