@@ -291,17 +291,65 @@ def test_quotes(spark):
     assert (1, 2, 0, 1, 2, 2, "Nice") in got and (1, 1, 0, 0, 1, 1, "Good.") in got and (1, 3, 3, None, 0, 0, "") in got and (None, 0, 0, None, 0, 1, "") in got and len(got) == 6
 
 
+def _samples(texts, keys, lat, k, seed):
+    """(ids, log probability, inclusion) of each text's samples."""
+    out = [[] for _ in texts]
+    for who, size, ids, lp, _, inclusion in segmentations.sample([t.encode() for t in texts], keys, lat, k, seed):
+        for t, x, p, i in zip(who, np.split(ids, np.cumsum(size)[:-1]), lp, inclusion, strict=True):
+            out[t].append((tuple(x.tolist()), p, i))
+    return out
+
+
+def _paths(text, v):
+    """Every segmentation of a text by the rules of the lattice, with its probability."""
+    weight = {v.pieces[i]: v.weights[i] for i in np.flatnonzero(v.weights)}
+    text = "▁" + text.replace(" ", "▁")
+
+    def walk(at):
+        if at == len(text):
+            yield (), 0.0
+        for n in range(1, segmentations.LONGEST + 1):
+            if at + n <= len(text) and text[at : at + n] in weight:
+                for rest, w in walk(at + n):
+                    yield (text[at : at + n], *rest), w + weight[text[at : at + n]]
+
+    found = list(walk(0))
+    total = np.logaddexp.reduce([w for _, w in found])
+    return {p: float(np.exp(w - total)) for p, w in found}
+
+
 def test_sampled_segmentations(spark):
-    v = segmentations.Vocabulary(segmentations.model_path())
-    texts = ["", "a", " a  b\nc é 😀 *** the*** 12", "hello   world \n\n y", "the on"]
-    for text, got in zip(texts, segmentations.sample(texts, np.arange(5), v, 3, 1), strict=True):
-        assert all(segmentations.decode(s[0], v) == text for s in got) and len({tuple(s[0]) for s in got}) == len(got)
-    many = segmentations.sample(["the on"] * 3000, np.arange(3000), v, 2, 5)
-    assert abs(np.mean([sum(np.exp(s[1]) / s[3] for s in r) for r in many]) - 1) < 0.02
-    rows = segmentations.decoded(segmentations.encoded(odd(spark), segmentations.model_path()), segmentations.model_path())
+    lat = segmentations.Lattices(segmentations.Vocabulary(segmentations.model_path()))
+    texts = ["", "a", " a  b\nc é 😀 *** the*** 12", "hello   world \n\n y", "the on", "漢字かな交じり文テスト" * 200, "x" * 5000]
+    for text, got in zip(texts, _samples(texts, np.arange(7), lat, 3, 1), strict=True):
+        assert got and all(segmentations.decode(s[0], lat.v) == text for s in got) and len({s[0] for s in got}) == len(got)
+    many = _samples(["the on"] * 3000, np.arange(3000), lat, 2, 5)
+    assert abs(np.mean([sum(np.exp(s[1]) / s[2] for s in r) for r in many]) - 1) < 0.02
+    rows = segmentations.encoded(odd(spark), segmentations.model_path(), text_too=True)
+    rows = segmentations.decoded(rows.withColumnRenamed("decoded", "spelled"), segmentations.model_path())
+    assert rows.where("decoded <> spelled").count() == 0
     assert rows.join(odd(spark).dropDuplicates(["doc_id"]), "doc_id").where("decoded <> text").count() == 0 and segmentations.encoded(empty(spark), segmentations.model_path()).count() == 0
 
 
+def test_sampling_probabilities():
+    """First samples and ordered pairs of samples against the law of drawing without replacement."""
+    lat = segmentations.Lattices(segmentations.Vocabulary(segmentations.model_path()))
+    want, n = _paths("on it", lat.v), 40_000
+    got = _samples(["on it"] * n, np.arange(n), lat, 2, 9)
+    first, both = {}, {}
+    for (a, p, _), (b, _, _) in got:
+        a, b = (tuple(lat.v.pieces[i] for i in x) for x in (a, b))
+        assert abs(np.exp(p) - want[a]) < 1e-4
+        first[a] = first.get(a, 0) + 1
+        both[a, b] = both.get((a, b), 0) + 1
+    for a, p in want.items():
+        assert abs(first.get(a, 0) / n - p) < 5 * (p / n) ** 0.5 + 1e-4
+        for b, q in want.items():
+            if a != b:
+                r = p * q / (1 - p)
+                assert abs(both.get((a, b), 0) / n - r) < 5 * (r / n) ** 0.5 + 1e-4
+
+
 @needs
 def test_pipeline(spark):
     import corpus_pipeline
