@@ -13,8 +13,8 @@ At similarity 0.8 the expected distance of fingerprints is 9.7 bits, deviation 2
 of 19 lies over three deviations above, and verbatim passages have distance 0.
 
 Defined results: null and blank texts and items match nothing; items of fewer words than a shingle
-have one shingle of all their words; rows with a null or repeated doc_id are handled like others and
-reported once per (doc_id, item, start); empty tables give no rows; other columns are not read.
+have one shingle of all their words; rows with a null or repeated doc_id are handled one by one
+and reported once per (doc_id, item, start), the most similar of them; empty tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -68,7 +68,8 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = SHINGLE, similarity: float
     start counts words from 0. docs has doc_id and text, items has item_id and text.
     """
     items = common.cut(items.select("item_id", common.words(F.lower("text")).alias("words")).where(F.size("words") > 0).distinct())
-    docs = docs.select("doc_id", common.words(F.lower("text")).alias("words"))
+    # a text of its own for each mark: rows that repeat a doc_id don't mix
+    docs = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), common.words(F.lower("text")).alias("words"))
     # at most n values: the shingle sizes that items ask for
     sizes = [r[0] for r in items.select(F.least(F.size("words"), F.lit(n))).distinct().collect()]
     small = items.select(F.sum(F.size("words"))).first()[0] or 0
@@ -77,29 +78,30 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = SHINGLE, similarity: float
     for k in sizes:
         mine = items.where(F.least(F.size("words"), F.lit(n)) == k).withColumn("len", F.size("words"))
         keys = _keyed(mine, k, "item_id", "len").groupBy("key", "item_id", "len").agg(F.min("pos").alias("at")).select("key", "len", "at").distinct()
-        part = _keyed(docs, k, "doc_id").join(sent(keys), "key").select("doc_id", "len", F.greatest(F.col("pos") - F.col("at"), F.lit(0)).alias("start"))
+        part = _keyed(docs, k, "doc_id", "mark").join(sent(keys), "key").select("doc_id", "mark", "len", F.greatest(F.col("pos") - F.col("at"), F.lit(0)).alias("start"))
         hits = part if hits is None else hits.union(part)
     if hits is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, start int, n_words int, distance int, similarity double")
     # a document's windows: bounded by its own words and the items' lengths
-    places = hits.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("start", "len")).alias("places"))
+    places = hits.groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(F.collect_set(F.struct("start", "len")).alias("places"))
     cutouts = F.transform("places", lambda p: F.struct(p["start"].alias("start"), p["len"].alias("len"), F.slice("words", p["start"] + 1, p["len"]).alias("words")))
-    windows = docs.join(places, docs["doc_id"].eqNullSafe(places["_id"])).select("doc_id", F.explode(cutouts).alias("w")).select("doc_id", "w.start", "w.len", F.col("w.words"))
-    windows = common.cut(windows.select("doc_id", "start", "len", _shingles("words", n).alias("shingles")).withColumn("print", simhash("shingles")))
+    windows = docs.join(places, docs["doc_id"].eqNullSafe(places["_id"]) & (docs["mark"] == places["_mark"])).select("doc_id", "mark", F.explode(cutouts).alias("w")).select("doc_id", "mark", "w.start", "w.len", F.col("w.words"))
+    windows = common.cut(windows.select("doc_id", "mark", "start", "len", _shingles("words", n).alias("shingles")).distinct().withColumn("print", simhash("shingles")))
     prints = items.select("item_id", F.size("words").alias("len"), _shingles("words", n).alias("shingles")).withColumn("print", simhash("shingles"))
     cells = F.array(*(F.struct(F.lit(i).alias("block"), F.expr(f"shiftright(print, {at}) & {(1 << size) - 1}L").alias("cell")) for i, (at, size) in enumerate(_blocks(radius))))
-    left = windows.select("doc_id", "start", "len", "print", F.explode(cells).alias("c"))
+    left = windows.select("doc_id", "mark", "start", "len", "print", F.explode(cells).alias("c"))
     right = prints.select("item_id", "len", F.col("print").alias("other"), F.explode(cells).alias("c"))
     near = left.join(sent(right), ["len", "c"]).withColumn("distance", F.bit_count(F.col("print").bitwiseXOR(F.col("other"))))
-    near = near.where(F.col("distance") <= radius).select("doc_id", "start", "len", "item_id", "distance").distinct()
-    named = [F.col(c) for c in ("doc_id", "start", "len", "item_id", "distance")]
-    same = near["doc_id"].eqNullSafe(windows["doc_id"]) & (near["start"] == windows["start"]) & (near["len"] == windows["len"])
-    mine = near.join(windows.select("doc_id", "start", "len", "shingles").distinct(), same).select(*(near[c] for c in near.columns), F.explode("shingles").alias("s"), F.lit(1).alias("a"), F.lit(0).alias("b"))
+    near = near.where(F.col("distance") <= radius).select("doc_id", "mark", "start", "len", "item_id", "distance").distinct()
+    named = [F.col(c) for c in ("doc_id", "mark", "start", "len", "item_id", "distance")]
+    same = near["doc_id"].eqNullSafe(windows["doc_id"]) & (near["mark"] == windows["mark"]) & (near["start"] == windows["start"]) & (near["len"] == windows["len"])
+    mine = near.join(windows.select("doc_id", "mark", "start", "len", "shingles"), same).select(*(near[c] for c in near.columns), F.explode("shingles").alias("s"), F.lit(1).alias("a"), F.lit(0).alias("b"))
     theirs = near.join(sent(prints.select("item_id", "shingles")), "item_id").select(*named, F.explode("shingles").alias("s"), F.lit(0).alias("a"), F.lit(1).alias("b"))
     each = mine.union(theirs).groupBy(*named, "s").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     ratio = (F.sum(F.least("a", "b")) / F.sum(F.greatest("a", "b"))).alias("similarity")
     found = each.groupBy(*named).agg(ratio).where(F.col("similarity") >= similarity)
-    return found.select("doc_id", "item_id", "start", F.col("len").alias("n_words"), "distance", "similarity")
+    best = found.groupBy("doc_id", "item_id", "start", F.col("len").alias("n_words")).agg(F.max(F.struct("similarity", -F.col("distance"))).alias("b"))
+    return best.select("doc_id", "item_id", "start", "n_words", (-F.col("b.col2")).alias("distance"), "b.similarity")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

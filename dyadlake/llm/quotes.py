@@ -9,8 +9,8 @@ and every message is formatted without its quotes.
 Defined results: a null or blank text is a message without body or quotes; a null role is "unknown";
 repeated messages each keep their row; rows with a null conversation form one conversation; a passage
 that no earlier message says links nothing; ties go to the lowest level, whole passages first, then
-the first passage. Only the scope, turn, role and text columns are read, others are kept unless they
-clash with a result column, in which case the result column wins. Empty tables give empty tables.
+the first passage. Only the scope, turn, role and text columns are read, others are kept, whatever their names, unless
+they clash with a result column, in which case the result column wins. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -54,9 +54,11 @@ def passages(messages: DataFrame) -> DataFrame:
 def link(messages: DataFrame, scope: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """messages with thread and parent (turns), depth, n_quotes, body and chat."""
     kept = [c for c in messages.columns if c not in RESULT]
-    m = messages.select(*kept, F.col(scope).alias("conv"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("mark"))
-    m = m.select(*kept, "conv", "mark", unquoted(F.col(text)).alias("body"))
-    base = m.select("conv", F.col(turn).alias("turn"), "mark", F.col(text).alias("text"), "body")
+    # kept columns travel as one, so that no name of the input meets ours
+    mark = F.xxhash64(F.coalesce(text, F.lit(""))).alias("mark")
+    m = messages.select(F.struct(*kept).alias("row"), F.col(scope).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"), mark)
+    m = m.withColumn("body", unquoted(F.col("text")))
+    base = m.select("conv", "turn", "mark", "text", "body")
     lines = passages(base)
     whole = lines.groupBy("conv", "turn", "mark", "run", "level").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "said"))), lambda x: x["said"]), " ").alias("said"))
     asks = whole.select("*", F.lit(0).alias("part")).unionByName(lines.drop("pos").withColumn("part", F.lit(1)))
@@ -71,10 +73,10 @@ def link(messages: DataFrame, scope: str = "conv_id", turn: str = "turn", role:
     links = common.cut(links)
     roots = _roots(links.where("parent is not null").groupBy("conv", "turn").agg(F.min("parent").alias("up")))
     links = links.select(F.col("conv").alias("_c"), F.col("turn").alias("_t"), F.col("mark").alias("_m"), "n", "parent")
-    out = m.join(links, m["conv"].eqNullSafe(links["_c"]) & m[turn].eqNullSafe(links["_t"]) & (m["mark"] == links["_m"]), "left")
-    out = out.join(roots, out["conv"].eqNullSafe(roots["_rc"]) & out[turn].eqNullSafe(roots["_rt"]), "left")
-    chat = F.concat(F.lit("<|"), F.coalesce(F.col(role), F.lit("unknown")), F.lit("|>\n"), F.col("body"), F.lit("\n<|end|>"))
-    return out.select(*kept, F.coalesce("root", F.col(turn)).alias("thread"), "parent", F.coalesce("hops", F.lit(0)).alias("depth"), F.coalesce("n", F.lit(0)).cast("long").alias("n_quotes"), "body", chat.alias("chat"))
+    out = m.join(links, m["conv"].eqNullSafe(links["_c"]) & m["turn"].eqNullSafe(links["_t"]) & (m["mark"] == links["_m"]), "left")
+    out = out.join(roots, out["conv"].eqNullSafe(roots["_rc"]) & out["turn"].eqNullSafe(roots["_rt"]), "left")
+    chat = F.concat(F.lit("<|"), F.coalesce(F.col("role"), F.lit("unknown")), F.lit("|>\n"), F.col("body"), F.lit("\n<|end|>"))
+    return out.select("row.*", F.coalesce("root", "turn").alias("thread"), "parent", F.coalesce("hops", F.lit(0)).alias("depth"), F.coalesce("n", F.lit(0)).cast("long").alias("n_quotes"), "body", chat.alias("chat"))
 
 
 def _roots(up: DataFrame) -> DataFrame:

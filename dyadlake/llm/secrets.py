@@ -8,8 +8,8 @@ verified on the text. Rules with no mandatory trigram (such as runs of hex digit
 
 Defined results: a null text is empty and has no spans; repeated keys and null keys are scanned row by
 row (candidates of equal keys are united, verification is per row); empty tables give empty tables;
-further columns of the input are kept as they are, and ours never clash with them, since the scan
-adds one column whose name the caller chooses. Very long texts are scanned whole; one task holds one text.
+further columns of the input are kept as they are, whatever their names, but for one with the name that the caller
+chooses for the spans, which is replaced. Very long texts are scanned whole; one task holds one text.
 """
 
 from __future__ import annotations
@@ -116,7 +116,7 @@ def candidates(docs: DataFrame, rules=RULES, key: str = "doc_id", text: str = "t
     # the query table is a constant of the rules (a few hundred rows), so it may be broadcast
     hits = postings(docs, grams, key, text).join(F.broadcast(table), "trigram")
     met = hits.groupBy(key, "rule", "alt").agg(F.bit_or("bit").alias("got"), F.first("full").alias("full")).where("got = full")
-    return met.groupBy(F.col(key).alias("_key")).agg(F.collect_set("rule").alias("_rules"))
+    return met.groupBy(key).agg(F.collect_set("rule").alias("rules")).select(F.col(key).alias("key"), "rules")
 
 
 def _spans(text: Column, order: int, rule: Rule) -> Column:
@@ -141,20 +141,22 @@ def scan(docs: DataFrame, rules=RULES, key: str = "doc_id", text: str = "text",
     Starts and ends count code points, ends are exclusive; ord is the rule's place in rules.
     """
     none = F.array().cast("array<struct<start:int,ord:int,end:int>>")
-    found = candidates(docs, rules, key, text)
+    # all columns travel as one, so that no name of the input meets ours
+    kept = docs.select(F.struct(*(c for c in docs.columns if c != out)).alias("row"), F.col(key).alias("id"), F.col(text).alias("body"))
+    found = candidates(docs.select(F.col(key).alias("id"), F.col(text).alias("body")), rules, "id", "body")
     if found is None:
-        both = docs.withColumn("_rules", F.array().cast("array<string>")).withColumn("_key", F.lit(None))
+        both = kept.withColumn("rules", F.array().cast("array<string>"))
     else:
-        both = docs.join(found, docs[key].eqNullSafe(found["_key"]), "left")
-    body = F.coalesce(F.col(text), F.lit(""))
+        both = kept.join(found, kept["id"].eqNullSafe(found["key"]), "left")
+    body = F.coalesce(F.col("body"), F.lit(""))
     each = []
     for i, rule in enumerate(rules):
         if trigram_query(rule.pattern):
-            test = F.array_contains("_rules", rule.kind)
+            test = F.array_contains("rules", rule.kind)
         else:  # scanned in full
             test = F.rlike(body, F.lit(_at_least(rule)))
         each.append(F.when(test, _spans(body, i, rule)).otherwise(none))
-    return both.withColumn(out, F.array_sort(F.concat(*each))).drop("_rules", "_key")
+    return both.select("row.*", F.array_sort(F.concat(*each)).alias(out))
 
 
 def _at_least(rule: Rule) -> str:

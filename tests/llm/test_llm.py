@@ -35,6 +35,65 @@ def test_secrets(spark):
     assert got[1].s == "" and got[1].t is None and secrets.scan(empty(spark)).count() == 0
 
 
+def test_names_of_the_input_do_not_clash(spark):
+    docs = spark.createDataFrame([(1, "token=abcdefgh1", 1, 2, 3, 4, 5)], "doc_id long, text string, _rules int, _key int, secrets int, row int, body int")
+    out = secrets.scan(docs).first()
+    assert (out._rules, out._key, out.row, out.body, len(out.secrets)) == (1, 2, 4, 5, 1)
+    talk = spark.createDataFrame([(1, 0, "user", "hi there", 7, 8, 9, 10, 11), (1, 1, "bot", "> hi there\nyes", 7, 8, 9, 10, 11)], "conv_id long, turn int, role string, text string, mark int, conv int, n int, root int, hops int")
+    got = {r.turn: r for r in quotes.link(talk).collect()}
+    assert got[1].parent == 0 and (got[1].mark, got[1].conv, got[1].n, got[1].root, got[1].hops) == (7, 8, 9, 10, 11)
+
+
+def _threads(messages):
+    """(parent, thread, depth, quotes) of each message by brute force."""
+    import regex
+
+    norm = lambda t: regex.sub(r"[^\p{L}\p{N}]+", " ", t.lower()).strip(" ")
+    own, out = {}, {}
+    for (conv, turn), text in sorted(messages.items()):
+        lines = text.split("\n")
+        runs, last = [], 0
+        for line in lines:
+            m = re.match(r"[ \t]*(>[> \t]*)", line)
+            level = m[1].count(">") if m else 0
+            if level and level != last:
+                runs.append((level, []))
+            if level and norm(line[m.end() :]):
+                runs[-1][1].append(norm(line[m.end() :]))
+            last = level
+        body = [x for x in lines if not re.match(r"[ \t]*>", x)]
+        text = "\n".join(body).strip()
+        runs = [r for r in runs if r[1]]
+        best = None
+        for part in (0, 1):
+            for i, (level, said) in enumerate(runs):
+                for s in [" ".join(said)] if part == 0 else said:
+                    origin = own.get((conv, s))
+                    if origin is not None and origin < turn:
+                        best = min(best or (9, 9, 9, 9), (level, part, i, origin))
+        for s in {norm(x) for x in [*text.split("\n"), text]} - {""}:
+            own.setdefault((conv, s), turn)
+        up = best and best[3]
+        out[conv, turn] = (up, out[conv, up][1], out[conv, up][2] + 1, len(runs)) if best else (None, turn, 0, len(runs))
+    return out
+
+
+def test_generated_threads(spark):
+    rng = np.random.default_rng(8)
+    vocabulary = ["alpha", "Beta", "gamma?", "delta", "eta!", "theta"]
+    messages = {}
+    for conv in range(60):
+        for turn in range(int(rng.integers(1, 9))):
+            lines = [" ".join(rng.choice(vocabulary, rng.integers(2, 5))) for _ in range(rng.integers(1, 3))]
+            if turn and rng.random() < 0.7:
+                said = messages[conv, int(rng.integers(turn))].split("\n")
+                lines = [("> " if rng.random() < 0.5 else ">") + x for x in said[: int(rng.integers(1, len(said) + 1))]] + lines
+            messages[conv, turn] = "\n".join(lines)
+    rows = [(c, t, "user", x) for (c, t), x in messages.items()]
+    got = {(r.conv_id, r.turn): (r.parent, r.thread, r.depth, r.n_quotes) for r in quotes.link(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()}
+    assert got == _threads(messages) and sum(v[2] > 1 for v in got.values()) > 20
+
+
 def test_trigram_queries():
     assert secrets.trigram_query("[0-9a-f]+") == [] and secrets.trigram_query("AKIA[A-Z]+") == [frozenset({"aki", "kia"})]
 
@@ -46,6 +105,9 @@ def test_leaks(spark):
     docs = odd(spark, (20, "before words " + item.upper() + " after"), (21, "x " + changed), (22, "quick brown fox jumps over a fence"), (23, "see only three words"))
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).collect()}
     assert got == {(20, 1), (21, 1), (23, 4)}
+    twice = spark.createDataFrame([(1, item, "x"), (1, changed, "y"), (1, item, "z")], "doc_id long, text string, mark string")
+    assert [(r.item_id, r.start, r.similarity) for r in decontaminate.leaks(twice, items).collect()] == [(1, 0, 1.0)]
+    assert [r.item_id for r in decontaminate.leaks(twice.where("text like '%now%'").union(twice.where("mark = 'z'").withColumn("text", F.lit("other words"))), items).collect()] == [1]
     assert decontaminate.leaks(empty(spark), items).count() == 0 and decontaminate.leaks(docs, items.where("false")).count() == 0
 
 
