@@ -34,7 +34,7 @@ def height_inches(text: Column) -> Column:
     """Feet and inches (0 to 11) or a plain number of inches from 36 to 96."""
     t = strip(text)
     shape = "^(\\d+)\\s*'\\s*(\\d{1,2})\\s*\"?$"
-    feet, inches = F.regexp_extract(t, shape, 1).try_cast("int"), F.regexp_extract(t, shape, 2).try_cast("int")
+    feet, inches = F.regexp_extract(t, shape, 1).try_cast("double"), F.regexp_extract(t, shape, 2).try_cast("int")
     plain = t.try_cast("double")
     return F.when(feet.isNotNull() & (inches <= 11), (feet * 12 + inches).cast("double")).when(plain.between(36, 96), plain)
 
@@ -43,10 +43,10 @@ def height_inches_search(text: Column) -> Column:
     """The search form: inches may be left out, whole inches from 48 to 90."""
     t = strip(text)
     shape = "^(\\d+)\\s*'\\s*(\\d{0,2})\\s*\"?$"
-    feet, inches = F.regexp_extract(t, shape, 1).try_cast("int"), F.coalesce(F.regexp_extract(t, shape, 2).try_cast("int"), F.lit(0))
-    plain = t.try_cast("double").cast("int")
+    feet, inches = F.regexp_extract(t, shape, 1).try_cast("double"), F.coalesce(F.regexp_extract(t, shape, 2).try_cast("int"), F.lit(0))
+    plain = F.when(t.try_cast("double").between(-1e6, 1e6), F.floor(t.try_cast("double")))
     value = F.when(feet.isNotNull(), F.when(inches <= 11, feet * 12 + inches)).otherwise(plain)
-    return F.when(value.between(48, 90), value)
+    return F.when(value.between(48, 90), value).cast("int")
 
 
 def band(value: Column, bands: list[tuple[float | None, str]]) -> Column:
@@ -88,12 +88,12 @@ def search_values(values: Column) -> Column:
 def proximity_mode(text: Column) -> Column:
     """any, city or radius; unknown text restricts nothing."""
     t = F.lower(strip(F.coalesce(text, F.lit(""))))
-    return F.when(t == "same city", "city").when((t == "same neighborhood") | F.rlike(t, F.lit("^within \\d+ miles?$")), "radius").otherwise("any")
+    return F.when(t == "same city", "city").when((t == "same neighborhood") | F.rlike(t, F.lit("^within\\s+\\d+(\\.\\d+)?\\s+miles?$")), "radius").otherwise("any")
 
 
 def proximity_metres(text: Column) -> Column:
     t = F.lower(strip(F.coalesce(text, F.lit(""))))
-    miles = F.when(t == "same neighborhood", 5).otherwise(F.regexp_extract(t, "^within (\\d+) miles?$", 1).try_cast("int"))
+    miles = F.when(t == "same neighborhood", 5).otherwise(F.regexp_extract(t, "^within\\s+(\\d+(\\.\\d+)?)\\s+miles?$", 1).try_cast("double"))
     return miles * 1609.344
 
 

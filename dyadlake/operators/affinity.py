@@ -48,11 +48,14 @@ def _struct_of(kind: str):
     return lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("key"))
 
 
-def observations(signals: DataFrame, users: DataFrame) -> DataFrame:
-    """Signals between eligible users with the target's profile and the distance between both."""
-    people = eligible(users)
+def observations(signals: DataFrame, users: DataFrame, point_in_time: bool = False) -> DataFrame:
+    """Signals with the target's profile and the distance between both.
+
+    The job takes eligible users on both ends; the point-in-time state of a dataset leaves out targets that are bots, and no others.
+    """
+    people, known = (users.where("is_bot = false"), users) if point_in_time else (eligible(users), eligible(users))
     place = lambda axis: F.coalesce(axis, f"home_{axis}")
-    actors = people.select(F.col("id").alias("actor_id"), place("lat").alias("alat"), place("lon").alias("alon"))
+    actors = known.select(F.col("id").alias("actor_id"), place("lat").alias("alat"), place("lon").alias("alon"))
     targets = people.select(F.col("id").alias("target_id"), "date_of_birth", "height", "weight", "position", "body_type", "relationship_status", "body_hair", "my_types", "my_fetishes", place("lat").alias("tlat"), place("lon").alias("tlon"))
     return signals.join(actors, "actor_id").join(targets, "target_id").withColumn("distance_km", S.distance_km(F.col("alat"), F.col("alon"), F.col("tlat"), F.col("tlon")))
 
@@ -68,6 +71,16 @@ def affinity_strength(seen: DataFrame) -> DataFrame:
     return seen.groupBy("cutoff_at", F.col("actor_id").alias("user_id"), "horizon").agg(F.count("*").alias("observation_count"), F.sum("evidence").alias("evidence_weight"), (1 - F.exp(-F.sum("evidence") / SATURATION)).alias("strength"))
 
 
+def all_strengths(type_counts: DataFrame, users: DataFrame, strength: DataFrame) -> DataFrame:
+    """strength with rows of 0 for users whose events between eligible users are none of them positive."""
+    people = eligible(users).select("id")
+    met = type_counts.select("cutoff_at", "actor_id", "target_id").join(people.withColumnRenamed("id", "actor_id"), "actor_id", "left_semi")
+    met = met.join(people.withColumnRenamed("id", "target_id"), "target_id", "left_semi").select("cutoff_at", F.col("actor_id").alias("user_id")).distinct()
+    every = met.select("*", F.explode(F.array(F.lit("long"), F.lit("recent"))).alias("horizon"))
+    zero = {"observation_count": 0, "evidence_weight": 0.0, "strength": 0.0}
+    return every.join(strength, ["cutoff_at", "user_id", "horizon"], "left").fillna(zero)
+
+
 def exported(state: DataFrame, strength: DataFrame) -> DataFrame:
     """The persisted form: recent kinds carry a prefix, strengths are meta rows."""
     prefix = F.when(F.col("horizon") == "recent", "recent_").otherwise("")
@@ -112,6 +125,23 @@ def directional(pairs: DataFrame, users: DataFrame, state: DataFrame, strength:
     return out.select(*key, *(F.coalesce(f"{k}_affinity", F.lit(0.5)).alias(f"{k}_affinity") for k in [*names, "overall"]), F.coalesce("strength", F.lit(0.0)).alias("evidence_strength"))
 
 
+def both_directions(pairs: DataFrame, users: DataFrame, state: DataFrame, strength: DataFrame) -> DataFrame:
+    """directional for the viewer's state on the candidate and the candidate's on the viewer, told apart by side."""
+    turned = pairs.select("cutoff_at", F.col("candidate_id").alias("viewer_id"), F.col("viewer_id").alias("candidate_id"))
+    one = directional(pairs, users, state, strength).withColumn("side", F.lit("viewer"))
+    two = directional(turned, users, state, strength).withColumn("side", F.lit("candidate"))
+    return one.unionByName(two.withColumnsRenamed({"viewer_id": "_v", "candidate_id": "viewer_id"}).withColumnRenamed("_v", "candidate_id"))
+
+
+def profile(directions: DataFrame) -> DataFrame:
+    """(field, viewer_mean, candidate_mean) of every affinity of both_directions, recent ones with a prefix."""
+    names = [*(f"{k}_affinity" for k in [*SINGLE_KINDS, *MULTI_KINDS, "overall"]), "evidence_strength"]
+    each = F.explode(F.array(*(F.struct(F.concat(F.when(F.col("horizon") == "recent", "recent_").otherwise(""), F.lit(n)).alias("field"), F.col(n).alias("value")) for n in names)))
+    long = directions.select("side", each.alias("x")).select("side", "x.*")
+    mean = lambda side: F.avg(F.when(F.col("side") == side, F.col("value"))).alias(f"{side}_mean")
+    return long.groupBy("field").agg(mean("viewer"), mean("candidate"))
+
+
 def contract(rows: DataFrame, fields: list[str]) -> DataFrame:
     """Violations of each field: missing, not finite or outside 0 to 1."""
     wrong = lambda f: F.col(f).isNull() | F.isnan(f) | ~F.col(f).between(0, 1)

@@ -7,6 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+BINS = 1024
+#: Targets whose rates among the shown rows are reported.
+TRACKED = ["favorite", "message_started", "reciprocal_message", "block", "report"]
+
+
 def unpivoted(rows: DataFrame, targets: list[str]) -> DataFrame:
     """A row for each target of rows with outcome_ and p_ columns."""
     each = F.explode(F.array(*(F.struct(F.lit(t).alias("target"), F.col(f"outcome_{t}").cast("int").alias("label"), F.col(f"p_{t}").alias("score")) for t in targets)))
@@ -21,32 +26,44 @@ def binary_metrics(rows: DataFrame) -> DataFrame:
     return rows.groupBy("target").agg(n.alias("n_rows"), p.alias("positives"), (p / n).alias("positive_rate"), (F.count_if(hit == pos) / n).alias("accuracy"), part(tp, F.count_if(hit)).alias("precision"), part(tp, p).alias("recall"))
 
 
+def _binned(rows: DataFrame, sums: dict[str, F.Column]) -> DataFrame:
+    """rows with the score's bin and what lies in higher bins; sums before a bin come from at most BINS rows a target, so no task orders a whole target."""
+    bin_ = F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor(F.col("score") * BINS))).cast("int")
+    rows = rows.withColumn("bin", F.coalesce(bin_, F.lit(-1)))
+    per = rows.groupBy("target", "bin").agg(*(F.sum(v).alias(k) for k, v in sums.items()))
+    above = W.partitionBy("target").orderBy(F.desc("bin")).rowsBetween(W.unboundedPreceding, -1)
+    return rows.join(per.select("target", "bin", *(F.coalesce(F.sum(k).over(above), F.lit(0)).alias(f"{k}_above") for k in sums)), ["target", "bin"])
+
+
 def roc_auc(rows: DataFrame) -> DataFrame:
-    """Rank-sum AUC with mean ranks for ties: rows are folded to distinct scores before they are ordered."""
+    """Rank-sum AUC with mean ranks for ties: rows are folded to distinct scores before they are ordered, bin by bin."""
     fold = rows.groupBy("target", "score").agg(F.count("*").alias("n"), F.sum("label").alias("p"))
-    before = F.sum("n").over(W.partitionBy("target").orderBy("score")) - F.col("n")
-    ranked = fold.withColumn("mean_rank", before + (F.col("n") + 1) / 2)
-    out = ranked.groupBy("target").agg(F.sum(F.col("p") * F.col("mean_rank")).alias("s"), F.sum("p").alias("p"), F.sum("n").alias("n"))
-    auc = (F.col("s") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * (F.col("n") - F.col("p")))
+    own = F.sum("n").over(W.partitionBy("target", "bin").orderBy(F.desc("score"))) - F.col("n")
+    ranked = _binned(fold, {"n": F.col("n")}).withColumn("worse", F.col("n_above") + own + (F.col("n") + 1) / 2)  # mean rank from the top
+    out = ranked.groupBy("target").agg(F.sum(F.col("p") * F.col("worse")).alias("s"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    total = F.col("p") * (F.col("n") + 1) - F.col("s")
+    auc = (total - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * (F.col("n") - F.col("p")))
     return out.select("target", F.when((F.col("p") > 0) & (F.col("p") < F.col("n")), auc).alias("auc"))
 
 
 def average_precision(rows: DataFrame) -> DataFrame:
     """Mean precision at the positives; ties in order of viewer and candidate."""
-    w = W.partitionBy("target").orderBy(F.desc("score"), "viewer_id", "candidate_id")
-    run = rows.select("target", "label", F.row_number().over(w).alias("k"), F.sum("label").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("hits"))
+    w = W.partitionBy("target", "bin").orderBy(F.desc("score"), "viewer_id", "candidate_id")
+    run = _binned(rows, {"n": F.lit(1), "p": F.col("label")})
+    run = run.select("target", "label", (F.col("n_above") + F.row_number().over(w)).alias("k"), (F.col("p_above") + F.sum("label").over(w.rowsBetween(W.unboundedPreceding, 0))).alias("hits"))
     return run.groupBy("target").agg((F.sum(F.when(F.col("label") == 1, F.col("hits") / F.col("k"))) / F.when(F.sum("label") > 0, F.sum("label"))).alias("average_precision"))
 
 
 def ranking_metrics(rows: DataFrame, k: int = 20) -> DataFrame:
-    """NDCG, precision and recall at k, averaged over the viewers that define them."""
+    """NDCG, precision and recall at k, averaged over the viewers that define them; rates of tracked outcome_ columns among all rows in a top k."""
+    tracked = [t for t in TRACKED if f"outcome_{t}" in rows.columns]
     w = W.partitionBy("viewer_id").orderBy(F.desc("score"), "candidate_id")
     ranked = rows.withColumn("r", F.row_number().over(w))
     top = F.col("r") <= k
-    per = ranked.groupBy("viewer_id").agg(F.sum("label").alias("p"), F.sum(F.when(top, F.col("label"))).alias("hits"), F.count_if(top).alias("shown"), F.sum(F.when(top, F.col("label") / F.log2(F.col("r") + 1))).alias("dcg"))
+    per = ranked.groupBy("viewer_id").agg(F.sum("label").alias("p"), F.sum(F.when(top, F.col("label"))).alias("hits"), F.count_if(top).alias("shown"), F.sum(F.when(top, F.col("label") / F.log2(F.col("r") + 1))).alias("dcg"), *(F.count_if(top & F.col(f"outcome_{t}")).alias(f"n_{t}") for t in tracked))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("p"), F.lit(k)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))
     some = F.col("p") > 0
-    return per.agg(F.count("*").alias("viewers"), F.avg(F.when(some, F.col("dcg") / F.when(some, ideal))).alias("ndcg"), F.avg(F.col("hits") / F.col("shown")).alias("precision"), F.avg(F.when(some, F.col("hits") / F.col("p"))).alias("recall"))
+    return per.agg(F.count("*").alias("viewers"), F.avg(F.when(some, F.col("dcg") / F.when(some, ideal))).alias("ndcg"), F.avg(F.col("hits") / F.col("shown")).alias("precision"), F.avg(F.when(some, F.col("hits") / F.col("p"))).alias("recall"), *((F.sum(f"n_{t}") / F.sum("shown")).alias(f"{t}_rate") for t in tracked))
 
 
 def weighted_logloss(rows: DataFrame, weights: DataFrame) -> DataFrame:

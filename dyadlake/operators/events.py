@@ -115,6 +115,13 @@ def windowed(log: DataFrame, windows: DataFrame) -> DataFrame:
     return valid_events(log).join(F.broadcast(windows), (F.col("ts") >= F.col("load_start_at")) & (F.col("ts") < F.col("outcome_end_at")))
 
 
+def windowed_log(t: dict[str, DataFrame], windows: DataFrame) -> DataFrame:
+    """The windowed log of the sources; the outer bounds of all windows reach every scan as literals."""
+    # one row of two timestamps from a few dozen rows
+    start, end = windows.agg(F.min("load_start_at"), F.max("outcome_end_at")).first()
+    return windowed(unify_interactions(t, start, end), windows)
+
+
 def exposed_pairs(events: DataFrame) -> DataFrame:
     """(cutoff_at, viewer_id, candidate_id): pairs with a profile view in the outcome window."""
     seen = events.where("event_type = 'profile_view' AND ts >= cutoff_at")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from dyadlake.functions import scalar as S
+
 MOST_EDGES, MOST_PEERS = 100, 50
 
 
@@ -62,10 +64,48 @@ def collaborative(edges: DataFrame, similar: DataFrame, most: int = MOST_PEERS)
     return sums.join(total, "src").select("src", "dst", (F.col("x") / F.col("total")).alias("collaborative"), "support")
 
 
-def pair_features(edges: DataFrame, whole: DataFrame | None = None) -> DataFrame:
-    """Features of every pair that any of them reaches, with the retrieval score; direct and reverse are read from whole, all edges."""
+def summary(edges: DataFrame) -> DataFrame:
+    """One row: nodes and edges."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("n"))
+    return ends.agg(F.count_distinct("n").alias("nodes"), (F.count("*") / 2).cast("long").alias("edges"))
+
+
+def community(whole: DataFrame, users: DataFrame) -> DataFrame:
+    """(src, position, community): the share of a user's out-weight that goes to users of a position."""
+    w = F.round(F.col("w") * 100).cast("long")
+    of = users.select(F.col("id").alias("dst"), S.token(F.col("position")).alias("position")).where("position IS NOT NULL")
+    total = whole.groupBy("src").agg(F.sum(w).alias("total"))
+    return whole.join(of, "dst").groupBy("src", "position").agg(F.sum(w).alias("own")).join(total, "src").select("src", "position", (F.col("own") / F.col("total")).alias("community"))
+
+
+def novelty(whole: DataFrame) -> DataFrame:
+    """(dst, novelty): one minus the percent rank of in-weights, ranked over their distinct values (whole hundredths)."""
+    weight = whole.groupBy("dst").agg(F.sum(F.round(F.col("w") * 100).cast("long")).alias("inw"))
+    fold = weight.groupBy("inw").agg(F.count("*").alias("n"))
+    fold = fold.select("inw", (F.sum("n").over(W.orderBy("inw")) - F.col("n")).alias("below"), F.sum("n").over(W.partitionBy()).alias("all"))
+    return weight.join(fold, "inw").select("dst", F.when(F.col("all") > 1, 1 - F.col("below") / (F.col("all") - 1)).otherwise(1.0).alias("novelty"))
+
+
+def merged(rows: DataFrame, features: DataFrame) -> DataFrame:
+    """rows (viewer_id, candidate_id) with the features of their pairs; a pair without features has nulls."""
+    return rows.join(features.withColumnsRenamed({"src": "viewer_id", "dst": "candidate_id"}), ["viewer_id", "candidate_id"], "left")
+
+
+def merge_contract(rows: DataFrame, features: DataFrame) -> DataFrame:
+    """One row: pairs, pairs whose features are there twice, pairs without; the last two have to be 0 for a one-to-one merge."""
+    n = features.groupBy(F.col("src").alias("viewer_id"), F.col("dst").alias("candidate_id")).agg(F.count("*").alias("n"))
+    both = rows.select("viewer_id", "candidate_id").distinct().join(n, ["viewer_id", "candidate_id"], "left")
+    return both.agg(F.count("*").alias("pairs"), F.count_if(F.col("n") > 1).alias("repeated"), F.count_if(F.col("n").isNull()).alias("missing"))
+
+
+def pair_features(edges: DataFrame, whole: DataFrame | None = None, users: DataFrame | None = None) -> DataFrame:
+    """Features of every pair that any of them reaches, with the retrieval score; direct and reverse are read from whole, all edges.
+
+    Without users there is no position, and the community share is 0.
+    """
+    whole = edges if whole is None else whole
     similar = similarity(edges)
-    direct = (edges if whole is None else whole).select("src", "dst", F.col("d").alias("direct"))
+    direct = whole.select("src", "dst", F.col("d").alias("direct"))
     parts = [direct, direct.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("direct").alias("reverse")), two_hop(edges), shared_neighbours(edges), similar, collaborative(edges, similar)]
     # one shuffle on the pair instead of five outer joins
     names = ["direct", "reverse", "two_hop", "paths", "shared", "similarity", "collaborative", "support"]
@@ -74,7 +114,13 @@ def pair_features(edges: DataFrame, whole: DataFrame | None = None) -> DataFrame
         p = p.select("src", "dst", *((F.col(n) if n in p.columns else F.lit(None)).cast("double").alias(n) for n in names))
         rows = p if rows is None else rows.unionByName(p)
     wide = rows.groupBy("src", "dst").agg(*(F.coalesce(F.max(n), F.lit(0.0)).alias(n) for n in names))
-    score = 0.3 * F.col("direct") + 0.15 * F.col("reverse") + 0.15 * F.col("two_hop") + 0.1 * F.col("shared") + 0.1 * F.col("similarity") + 0.1 * F.col("collaborative")
+    wide = wide.join(novelty(whole), "dst", "left").withColumn("novelty", F.coalesce("novelty", F.lit(1.0)))
+    if users is None:
+        wide = wide.withColumn("community", F.lit(0.0))
+    else:
+        wide = wide.join(users.select(F.col("id").alias("dst"), S.token(F.col("position")).alias("position")), "dst", "left")
+        wide = wide.join(community(whole, users), ["src", "position"], "left").drop("position").withColumn("community", F.coalesce("community", F.lit(0.0)))
+    score = 0.3 * F.col("direct") + 0.15 * F.col("reverse") + 0.15 * F.col("two_hop") + 0.1 * F.col("shared") + 0.1 * F.col("similarity") + 0.1 * F.col("collaborative") + 0.05 * F.col("community") + 0.05 * F.col("novelty")
     return wide.withColumn("paths", F.col("paths").cast("long")).withColumn("support", F.col("support").cast("long")).withColumn("retrieval", score)
 
 

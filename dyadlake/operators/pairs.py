@@ -14,6 +14,7 @@ from dyadlake.operators import stats as A
 from dyadlake.schema import EVENT_TYPES
 
 POOL = 2000
+SPARE, STEP = 100, 1000
 
 
 def eligible(users: DataFrame) -> DataFrame:
@@ -48,9 +49,10 @@ def assemble(t: dict[str, DataFrame], windows: DataFrame) -> DataFrame:
     Every side table is aggregated to its key before it is joined, so all joins are equi-joins that keep
     the number of rows; counts that are missing are 0.
     """
-    events = E.windowed(E.unify_interactions(t), windows)
-    keys = E.exposed_pairs(events)
-    history, outcome = A.pair_history(events), A.pair_outcome(events)
+    # the log is aggregated once; all side tables come from these pair rows, which Spark keeps (and recomputes if they are lost)
+    stats = A.pair_stats(E.windowed_log(t, windows)).persist()
+    history, outcome = A.part(stats, "h_"), A.part(stats, "o_")
+    keys = stats.where("o_profile_view_count > 0").select("cutoff_at", F.col("actor_id").alias("viewer_id"), F.col("target_id").alias("candidate_id"))
     people = eligible(t["users"]).drop("is_bot", "is_banned")
     rows = keys
     for side in ("viewer", "candidate"):
@@ -76,21 +78,51 @@ def assemble(t: dict[str, DataFrame], windows: DataFrame) -> DataFrame:
     return rows.withColumns(extra).select("*", *labels())
 
 
-def eligible_candidates(viewers: DataFrame, users: DataFrame, settings: DataFrame, blocks: DataFrame, limit: int = POOL) -> DataFrame:
+def symmetric_blocks(blocks: DataFrame) -> DataFrame:
+    """(viewer_id, candidate_id) in both directions of every block."""
+    one, two = F.col("blocker_user_id"), F.col("blocked_user_id")
+    both = F.array(F.struct(one.alias("viewer_id"), two.alias("candidate_id")), F.struct(two.alias("viewer_id"), one.alias("candidate_id")))
+    return blocks.select(F.explode(both).alias("p")).select("p.*").distinct()
+
+
+def eligible_candidates(viewers: DataFrame, users: DataFrame, settings: DataFrame, blocks: DataFrame, limit: int = POOL, located: bool = False) -> DataFrame:
     """(viewer_id, candidate_id, pool_rank): the most recently seen candidates of each viewer.
 
-    Everyone shares one order of recency, so no viewer can need a candidate beyond the first limit + 1 +
-    its own number of exclusions: that prefix meets the viewers, not all users. The order's ranks come from
-    range-sorted partial counts, and blocks are made symmetric so that they are an equi anti-join.
+    Everyone shares one order of recency, so a viewer without more than SPARE blocks needs none beyond its first
+    limit + SPARE + 1 rows: that prefix, whose size the parameters fix, is broadcast. Viewers with more blocks meet
+    as many blocks of STEP rows of the order as their own number of blocks asks for. With located, viewers
+    that ask for their city or for a radius get candidates from there, by joins on city or grid cell, and the limit comes after.
     """
     hidden = settings.where("visible = false").select(F.col("user_id").alias("id"))
-    pool = eligible(users).join(hidden, "id", "left_anti").select(F.col("id").alias("candidate_id"), "last_seen_at")
-    shut = blocks.select(F.explode(F.array(F.struct(F.col("blocker_user_id").alias("viewer_id"), F.col("blocked_user_id").alias("candidate_id")), F.struct(F.col("blocked_user_id").alias("viewer_id"), F.col("blocker_user_id").alias("candidate_id")))).alias("p")).select("p.*").distinct()
-    most = shut.groupBy("viewer_id").count().agg(F.max("count")).first()[0] or 0
+    pool = eligible(users).join(hidden, "id", "left_anti").select(F.col("id").alias("candidate_id"), "last_seen_at", "city", "lat", "lon")
+    shut = symmetric_blocks(blocks)
     newest = [F.desc_nulls_last("last_seen_at"), "candidate_id"]
-    # limit + exclusions + 1 rows: bounded by the parameters, hence broadcast
-    prefix = pool.orderBy(*newest).limit(limit + most + 1)
-    pairs = viewers.select(F.col("id").alias("viewer_id")).crossJoin(F.broadcast(prefix)).where("viewer_id <> candidate_id").join(shut, ["viewer_id", "candidate_id"], "left_anti")
+    who = viewers.select(F.col("id").alias("viewer_id"))
+    parts = []
+    if located:
+        asks = users.select(F.col("id").alias("viewer_id"), S.proximity_mode(F.col("into_proximity")).alias("mode"), S.proximity_metres(F.col("into_proximity")).alias("metres"), F.lower(F.trim("city")).alias("place"), "lat", "lon")
+        asks = who.join(asks, "viewer_id")
+        near = within_radius(asks.where("mode = 'radius'").select(F.col("viewer_id").alias("id"), "lat", "lon", "metres"), pool.withColumnRenamed("candidate_id", "id"))
+        parts.append(near.join(pool.select("candidate_id", "last_seen_at"), "candidate_id").select("viewer_id", "candidate_id", "last_seen_at"))
+        # of each city as many as the viewer with most blocks may need
+        most = shut.groupBy("viewer_id").count().agg(F.max("count")).first()[0] or 0
+        city = pool.withColumn("place", F.lower(F.trim("city"))).where("place <> ''")
+        city = E.first_by(city, ["place"], newest, limit + most + 1)
+        parts.append(asks.where("mode = 'city' AND place <> ''").join(city, "place").select("viewer_id", "candidate_id", "last_seen_at"))
+        who = asks.where("mode = 'any'").select("viewer_id")
+    own = shut.groupBy("viewer_id").agg(F.count("*").alias("shut_n")).where(F.col("shut_n") > SPARE)
+    prefix = pool.orderBy(*newest).limit(limit + SPARE + 1).select("candidate_id", "last_seen_at")
+    parts.append(who.join(own, "viewer_id", "left_anti").crossJoin(F.broadcast(prefix)))
+    deep = own.agg(F.max("shut_n")).first()[0]
+    if deep:
+        order = pool.orderBy(*newest).limit(limit + deep + 1).withColumn("at", F.row_number().over(W.orderBy(*newest)) - 1)
+        order = order.select("candidate_id", "last_seen_at", F.floor(F.col("at") / STEP).alias("step"))
+        asked = who.join(own, "viewer_id").select("viewer_id", F.explode(F.sequence(F.lit(0), F.floor((F.col("shut_n") + limit + 1) / STEP))).alias("step"))
+        parts.append(asked.join(order, "step").select("viewer_id", "candidate_id", "last_seen_at"))
+    pairs = parts[0]
+    for p in parts[1:]:
+        pairs = pairs.unionByName(p)
+    pairs = pairs.where("viewer_id <> candidate_id").join(shut, ["viewer_id", "candidate_id"], "left_anti")
     ranked = pairs.withColumn("pool_rank", F.row_number().over(W.partitionBy("viewer_id").orderBy(*newest)))
     return ranked.where(F.col("pool_rank") <= limit).select("viewer_id", "candidate_id", "pool_rank")
 

@@ -51,7 +51,8 @@ def encode_multi(field: str, vocab_map: Column) -> Column:
 
 
 def missing_flags(fields: list[str]) -> list[Column]:
-    return [(F.col(f).isNull() | F.isnan(F.col(f).cast("double"))).cast("double").alias(f"{f}_missing") for f in fields]
+    value = lambda f: F.col(f).try_cast("double")
+    return [(value(f).isNull() | F.isnan(value(f))).cast("double").alias(f"{f}_missing") for f in fields]
 
 
 def _long(rows: DataFrame, fields: list[str]) -> DataFrame:
@@ -118,15 +119,46 @@ def random_split(rows: DataFrame, key: list[str], seed: str, validation: float =
         v, t = (v - 1, t) if v >= t else (v, t - 1)
     if n < 3:
         return rows.withColumn("split", F.lit("train"))
-    # positions come from a range-partitioned sort: only the boundary hashes are looked up
-    marks = rows.select(h.alias("h")).orderBy("h").limit(v + t)
-    edge = marks.orderBy("h").offset(t - 1).first()[0], marks.orderBy("h").offset(v + t - 1).first()[0]
-    return rows.withColumn("split", F.when(h <= edge[0], "test").when(h <= edge[1], "validation").otherwise("train"))
-
-
-def row_contract(rows: DataFrame, required: list[str], finite: list[str]) -> DataFrame:
-    """(rule, violations) over prepared rows."""
+    return rows.withColumn("split", F.when(h <= _kth(rows, h, t), "test").when(h <= _kth(rows, h, v + t), "validation").otherwise("train"))
+
+
+def _kth(rows: DataFrame, h: Column, k: int) -> str:
+    """The k-th smallest of hex hashes: counts of 4,096 prefixes name the one that holds it, and only its rows are sorted."""
+    start, before = F.substring(h, 1, 3), 0
+    for prefix, n in rows.groupBy(start.alias("p")).count().orderBy("p").collect():
+        if before + n >= k:
+            return rows.where(start == prefix).select(h.alias("h")).orderBy("h").offset(k - before - 1).first()[0]
+        before += n
+    raise ValueError("k is larger than the number of rows")
+
+
+SECTIONS = ["metadata", "categorical", "multi_categorical", "numeric", "numeric_missing", "compatibility", "compatibility_missing", "viewer_affinities", "candidate_affinities", "graph", "control", "targets", "target_counts"]
+
+
+def prepare_rows(rows: DataFrame, sections: dict[str, list[str]], vocab: DataFrame) -> DataFrame:
+    """rows as 13 nested sections of the named columns: tokens as ids, numbers with flags of what is missing; an unnamed section is null."""
+    single, multi = sections.get("categorical", []), sections.get("multi_categorical", [])
+    maps = vocab.groupBy("field").agg(F.map_from_entries(F.collect_list(F.struct("token", "id"))).alias("m"))
+    maps = maps.agg(F.map_from_entries(F.collect_list(F.struct("field", "m"))).alias("vocabulary"))  # one row, as large as the vocabulary
+    each = rows.crossJoin(maps)
+    of = lambda f: F.coalesce(F.try_element_at("vocabulary", F.lit(f)), F.create_map().cast("map<string,int>"))
+    one = {f: F.when(F.coalesce(strip(F.col(f)), F.lit("")) == "", PAD).otherwise(F.coalesce(F.try_element_at(of(f), strip(F.col(f))), F.lit(UNKNOWN))) for f in single}
+    built = {
+        "categorical": [v.alias(f) for f, v in one.items()],
+        "multi_categorical": [encode_multi(f, of(f)).alias(f) for f in multi],
+        "numeric_missing": [x for f in sections.get("numeric", []) for x in missing_flags([f])],
+        "compatibility_missing": [x for f in sections.get("compatibility", []) for x in missing_flags([f])],
+    }
+    struct = lambda name: F.struct(*built.get(name, [F.col(f) for f in sections.get(name, [])])).alias(name)
+    named = lambda name: bool(built.get(name) or sections.get(name))
+    return each.select(*(struct(n) if named(n) else F.lit(None).cast("string").alias(n) for n in SECTIONS))
+
+
+def row_contract(rows: DataFrame, required: list[str], finite: list[str], unit: tuple[str, ...] = (), flag: str | None = None) -> DataFrame:
+    """(rule, violations) over prepared rows: required and finite fields, affinities between 0 and 1, an exclusion flag."""
     rules = [(f"required:{f}", F.col(f).isNull()) for f in required]
     rules += [(f"finite:{f}", F.col(f).isNull() | F.isnan(F.col(f).cast("double")) | (F.abs(F.col(f).cast("double")) == float("inf"))) for f in finite]
+    rules += [(f"unit:{f}", F.col(f).isNull() | F.isnan(f) | ~F.col(f).between(0, 1)) for f in unit]
+    rules += [(f"flag:{flag}", F.col(flag).isNull())] if flag else []
     totals = rows.agg(*(F.count_if(c).alias(f"r{i}") for i, (_, c) in enumerate(rules)))
     return totals.select(F.explode(F.array(*(F.struct(F.lit(n).alias("rule"), F.col(f"r{i}").alias("violations")) for i, (n, _) in enumerate(rules)))).alias("r")).select("r.*")

@@ -24,6 +24,22 @@ def pair_history(events: DataFrame) -> DataFrame:
     return past.groupBy(*KEY).agg(F.min("ts").alias("first_at"), F.max("ts").alias("last_at"), *_counts(), *recent)
 
 
+def pair_stats(events: DataFrame) -> DataFrame:
+    """History (h_) and outcome (o_) statistics of each ordered pair in one aggregate of the log."""
+    past, late = F.expr("ts < cutoff_at AND ts >= history_start_at"), F.expr("ts >= cutoff_at")
+    since = lambda n: past & (F.col("ts") >= F.col(f"start_{n}d"))
+    ends = lambda p, when: [F.min(F.when(when, F.col("ts"))).alias(f"{p}first_at"), F.max(F.when(when, F.col("ts"))).alias(f"{p}last_at")]
+    recent = [F.count_if(since(n)).alias(f"h_all_events_{n}d") for n in (7, 30, 90)]
+    recent += [F.count_if((F.col("event_type") == t) & since(n)).alias(f"h_{t}s_{n}d") for t in ("profile_view", "favorite", "message") for n in (7, 30)]
+    return events.groupBy(*KEY).agg(*ends("h_", past), *_counts("h_", past), *recent, *ends("o_", late), *_counts("o_", late))
+
+
+def part(stats: DataFrame, prefix: str) -> DataFrame:
+    """The pairs with events on one side of the cutoff: what pair_history (h_) and pair_outcome (o_) give."""
+    names = [c for c in stats.columns if c.startswith(prefix)]
+    return stats.where(F.col(f"{prefix}first_at").isNotNull()).select(*KEY, *(F.col(c).alias(c[len(prefix) :]) for c in names))
+
+
 def pair_outcome(events: DataFrame) -> DataFrame:
     return events.where("ts >= cutoff_at").groupBy(*KEY).agg(F.min("ts").alias("first_at"), F.max("ts").alias("last_at"), *_counts())
 
@@ -66,7 +82,21 @@ def recent_pair_counts(events: DataFrame) -> DataFrame:
 def dataset_totals(rows: DataFrame) -> DataFrame:
     """One row over assembled pairs."""
     history = sum((F.col(f"history_{t}_count") for t in HISTORY_TYPES[1:]), F.col(f"history_{HISTORY_TYPES[0]}_count"))
-    return rows.agg(F.count("*").alias("n_rows"), F.count_if(history > 0).alias("pairs_with_history"), *(F.coalesce(F.sum(f"outcome_{t}_count"), F.lit(0)).alias(f"total_{t}") for t in EVENT_TYPES), F.count_if("outcome_reciprocal_message").alias("reciprocal_pairs"), F.count_if("outcome_any_positive").alias("positive_pairs"))
+    hard = [F.count_if("hard_exclusion").alias("hard_excluded")] if "hard_exclusion" in rows.columns else []
+    return rows.agg(F.count("*").alias("n_rows"), F.count_if(history > 0).alias("pairs_with_history"), *hard, *(F.coalesce(F.sum(f"outcome_{t}_count"), F.lit(0)).alias(f"total_{t}") for t in EVENT_TYPES), F.count_if("outcome_reciprocal_message").alias("reciprocal_pairs"), F.count_if("outcome_any_positive").alias("positive_pairs"))
+
+
+def evidence_counts(directions: DataFrame, by: list[str]) -> DataFrame:
+    """Rows with long-term and recent evidence on each side, from directional affinities (side, horizon, evidence_strength)."""
+    some = lambda side, horizon: F.count_if((F.col("side") == side) & (F.col("horizon") == horizon) & (F.col("evidence_strength") > 0))
+    counts = [some(s, h).alias(f"{s}_rows_with_{n}evidence") for s in ("viewer", "candidate") for h, n in (("long", ""), ("recent", "recent_"))]
+    return directions.groupBy(*by).agg(*counts)
+
+
+def affinity_users(strength: DataFrame) -> DataFrame:
+    """(cutoff_at, users_with_history, users_with_recent): users with evidence in each horizon."""
+    some = F.col("evidence_weight") > 0
+    return strength.groupBy("cutoff_at").agg(F.count_if(some & (F.col("horizon") == "long")).alias("users_with_history"), F.count_if(some & (F.col("horizon") == "recent")).alias("users_with_recent"))
 
 
 def snapshot_summary(rows: DataFrame) -> DataFrame:

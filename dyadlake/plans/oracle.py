@@ -49,6 +49,7 @@ users AS (SELECT c + 1 AS id, c % 50 = 7 AS is_bot, c % 60 = 11 AS is_banned,
   {_array(1)} AS body_hair, {_array(3)} AS my_types, {_array(5)} AS my_fetishes, {_array(6)} AS into_body_types, {_array(9)} AS into_body_hair, {_array(11)} AS into_types, {_array(13)} AS into_fetishes,
   CASE WHEN c % 10 <> 0 THEN CASE WHEN c % 3 = 0 THEN 'BUILDING' ELSE 'machinery' END END AS into_position, {_RELATION}[(c + 1) % 4 + 1] AS into_relationship_status,
   ['Any', '', 'Same city', 'Same neighborhood', 'Within 25 miles', 'within 300 mile', 'On request'][c % 7 + 1] AS into_proximity,
+  CASE WHEN c % 15 = 0 THEN NULL WHEN c % 2 = 1 THEN upper('City ' || k) ELSE 'City ' || k END AS city,
   CASE WHEN c % 13 <> 0 THEN -60 + 5 * k + (c % 100) * CAST(0.01 AS DOUBLE) END AS lat, CASE WHEN c % 13 <> 0 THEN -150 + 12 * k + (c % 90) * CAST(0.01 AS DOUBLE) END AS lon,
   CASE WHEN c % 26 = 0 THEN -60 + 5 * k + (c % 100) * CAST(0.01 AS DOUBLE) END AS hlat, CASE WHEN c % 26 = 0 THEN -150 + 12 * k + (c % 90) * CAST(0.01 AS DOUBLE) END AS hlon,
   TIMESTAMP '2022-01-01' + to_days(CAST(c * 101 % 800 AS INT)) AS created_at,

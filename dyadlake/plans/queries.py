@@ -47,7 +47,7 @@ def _one(spark):
 
 
 def _events(spark, sf_dir, windows=None):
-    return E.windowed(E.unify_interactions(_tables(spark, sf_dir)), _one(spark) if windows is None else windows)
+    return E.windowed_log(_tables(spark, sf_dir), _one(spark) if windows is None else windows)
 
 
 def _pairs(spark, sf_dir):
@@ -211,10 +211,10 @@ def affinity_state(spark, sf_dir):
     return _rounded(AF.affinity_state(_seen(spark, sf_dir)))
 
 
-@register(O.sql(O.LOG, O.USERS, O.THREE, O.SIGNAL, O.STATE, body="SELECT cutoff_at, user_id, horizon, kind, key, round(score, 6) AS score, evidence_count, round(evidence_weight, 6) AS evidence_weight FROM state"))
+@register(O.sql(O.LOG, O.USERS, O.THREE, O.SIGNAL, O.STATE.replace(O.SEEN, O.SEEN.replace("JOIN people v", "JOIN users v").replace("JOIN people c ON c.id = target_id", "JOIN users c ON c.id = target_id AND NOT c.is_bot")), body="SELECT cutoff_at, user_id, horizon, kind, key, round(score, 6) AS score, evidence_count, round(evidence_weight, 6) AS evidence_weight FROM state"))
 def affinity_point_in_time(spark, sf_dir):
     """The state of three cutoffs, each from events before it alone."""
-    return _rounded(AF.affinity_state(_seen(spark, sf_dir, E.snapshot_windows(spark, END, 3))))
+    return _rounded(AF.affinity_state(AF.observations(_signal(spark, sf_dir, E.snapshot_windows(spark, END, 3)), _users(spark, sf_dir), point_in_time=True)))
 
 
 @register(O.sql(*O.A1, body="SELECT cutoff_at, user_id, horizon, observation_count, round(evidence_weight, 6) AS evidence_weight, round(strength, 6) AS strength FROM strength"))
@@ -222,13 +222,35 @@ def affinity_strength(spark, sf_dir):
     return _rounded(AF.affinity_strength(_seen(spark, sf_dir)))
 
 
-_EXPORT = "SELECT cutoff_at, user_id, CASE horizon WHEN 'recent' THEN 'recent_' ELSE '' END || kind AS affinity_kind, key AS affinity_key, round(score, 6) AS score, evidence_count FROM state UNION ALL SELECT cutoff_at, user_id, CASE horizon WHEN 'recent' THEN '__recent_meta__' ELSE '__meta__' END, 'strength', round(strength, 6), observation_count FROM strength"
+_MET = "met AS (SELECT DISTINCT cutoff_at, actor_id AS user_id, h.horizon FROM wev JOIN people v ON v.id = actor_id JOIN people c ON c.id = target_id CROSS JOIN (VALUES ('long'), ('recent')) h(horizon) WHERE ts < cutoff_at AND ts >= d90)"
+_ALL = "alls AS (SELECT met.*, coalesce(strength, 0.0) AS strength, coalesce(observation_count, 0) AS observation_count FROM met LEFT JOIN strength USING (cutoff_at, user_id, horizon))"
+_EXPORT = "SELECT cutoff_at, user_id, CASE horizon WHEN 'recent' THEN 'recent_' ELSE '' END || kind AS affinity_kind, key AS affinity_key, round(score, 6) AS score, evidence_count FROM state UNION ALL SELECT cutoff_at, user_id, CASE horizon WHEN 'recent' THEN '__recent_meta__' ELSE '__meta__' END, 'strength', round(strength, 6), observation_count FROM alls"
 
 
-@register(O.sql(*O.A1, body=_EXPORT))
+def _exported(spark, sf_dir, windows=None):
+    counts, users = A.event_type_counts(_events(spark, sf_dir, windows)), _users(spark, sf_dir)
+    seen = AF.observations(AF.preference_signal(counts), users)
+    return AF.exported(AF.affinity_state(seen), AF.all_strengths(counts, users, AF.affinity_strength(seen)))
+
+
+@register(O.sql(*O.A1, _MET, _ALL, body=_EXPORT))
 def affinity_export(spark, sf_dir):
-    seen = _seen(spark, sf_dir)
-    return _rounded(AF.exported(AF.affinity_state(seen), AF.affinity_strength(seen)))
+    """The persisted form, with a meta row for every user with any event."""
+    return _rounded(_exported(spark, sf_dir))
+
+
+@register(O.sql(*O.A1, _MET, _ALL, body="SELECT cutoff_at, user_id, horizon, kind, key, round(score, 4) AS score, evidence_count, CAST(NULL AS DOUBLE) AS evidence_weight FROM state UNION ALL SELECT cutoff_at, user_id, horizon, '__meta__', 'strength', round(strength, 4), observation_count, round(-12 * ln(1 - least(strength, 1 - 1e-12)), 4) + 0.0 FROM alls"))
+def affinity_import(spark, sf_dir):
+    """The persisted form read back."""
+    return _rounded(AF.imported(_exported(spark, sf_dir)), 4).withColumn("evidence_weight", F.col("evidence_weight") + 0.0)
+
+
+@register(O.sql(O.LOG, O.USERS, O.THREE, O.SIGNAL, O.STATE, "two AS (SELECT user_id, horizon, kind, key, score, evidence_count, row_number() OVER (PARTITION BY user_id, horizon, kind, key ORDER BY cutoff_at DESC) AS r FROM state WHERE cutoff_at >= TIMESTAMP '2024-01-16')", body="SELECT user_id, horizon, kind, key, round(score, 6) AS score, evidence_count FROM two WHERE r = 1"))
+def affinity_upsert(spark, sf_dir):
+    """The state of one cutoff merged over that of the cutoff before."""
+    state = AF.affinity_state(_seen(spark, sf_dir, E.snapshot_windows(spark, END, 2)))
+    old, new = (state.where(F.col("cutoff_at") == E.ntz(d)).drop("cutoff_at", "evidence_weight") for d in (datetime(2024, 1, 16), CUTOFF))
+    return _rounded(AF.merged(old, new, ["user_id", "horizon", "kind", "key"]))
 
 
 _DIRECTIONS = f"SELECT p.cutoff_at, viewer_id, candidate_id, {O.AGE.format(a='p.cutoff_at', b='c.born')} AS age, {O.km('v', 'c')} AS distance, c AS c FROM keys p JOIN users v ON v.id = viewer_id JOIN users c ON c.id = candidate_id"
@@ -244,6 +266,49 @@ def directional_affinities(spark, sf_dir):
     return _rounded(AF.directional(E.exposed_pairs(_events(spark, sf_dir)), Inputs(spark, sf_dir).users, AF.affinity_state(seen), AF.affinity_strength(seen)))
 
 
+_SIDES = f"SELECT p.cutoff_at, viewer_id, candidate_id, side, {O.AGE.format(a='p.cutoff_at', b='c.born')} AS age, {O.km('v', 'c')} AS distance, c AS c FROM sided p JOIN users v ON v.id = viewer_id JOIN users c ON c.id = candidate_id"
+_FIELDS = [*(f"{k}_affinity" for k in [*_KINDS, "overall"]), "evidence_strength"]
+_BOTH = (
+    *O.A1, O.STATS, "sided AS (SELECT cutoff_at, viewer_id, candidate_id, 'viewer' AS side FROM keys UNION ALL SELECT cutoff_at, candidate_id, viewer_id, 'candidate' FROM keys)", f"pr AS ({_SIDES})",
+    f"pt AS (SELECT x.*, h.horizon FROM ({O.traits('c', 'age', 'distance', 'cutoff_at, viewer_id, candidate_id, side', 'pr')}) x, (VALUES ('long'), ('recent')) h(horizon))",
+    "ks AS (SELECT pt.cutoff_at, viewer_id, candidate_id, side, pt.horizon, pt.kind, coalesce(avg(score), 0.5) AS s FROM pt LEFT JOIN state ON state.cutoff_at = pt.cutoff_at AND state.user_id = viewer_id AND state.horizon = pt.horizon AND state.kind = pt.kind AND state.key = pt.key GROUP BY 1, 2, 3, 4, 5, 6)",
+    "wide AS (SELECT cutoff_at, viewer_id, candidate_id, side, horizon, " + ", ".join(f"max(s) FILTER (WHERE kind = '{k}') AS {k}" for k in _KINDS) + ", avg(s) AS overall FROM ks GROUP BY 1, 2, 3, 4, 5)",
+    "dirs AS (SELECT pr.cutoff_at, CASE pr.side WHEN 'viewer' THEN pr.viewer_id ELSE pr.candidate_id END AS viewer_id, CASE pr.side WHEN 'viewer' THEN pr.candidate_id ELSE pr.viewer_id END AS candidate_id, pr.side, h.horizon, " + ", ".join(f"coalesce(wide.{k}, 0.5) AS {k}_affinity" for k in [*_KINDS, "overall"]) + ", coalesce(strength, 0.0) AS evidence_strength FROM pr CROSS JOIN (VALUES ('long'), ('recent')) h(horizon) LEFT JOIN wide ON wide.cutoff_at = pr.cutoff_at AND wide.viewer_id = pr.viewer_id AND wide.candidate_id = pr.candidate_id AND wide.side = pr.side AND wide.horizon = h.horizon LEFT JOIN strength ON strength.user_id = pr.viewer_id AND strength.cutoff_at = pr.cutoff_at AND strength.horizon = h.horizon)",
+)
+
+
+def _both(spark, sf_dir, windows=None):
+    seen = _seen(spark, sf_dir, windows)
+    return AF.both_directions(E.exposed_pairs(_events(spark, sf_dir, windows)), _users(spark, sf_dir), AF.affinity_state(seen), AF.affinity_strength(seen))
+
+
+@register(O.sql(*_BOTH, body=f"SELECT cutoff_at, viewer_id, candidate_id, side, horizon, {', '.join(f'round({f}, 6) AS {f}' for f in _FIELDS)} FROM dirs"))
+def mutual_affinities(spark, sf_dir):
+    """24 affinities in each direction of every exposed pair."""
+    return _rounded(_both(spark, sf_dir))
+
+
+@register(O.sql(*_BOTH, body=" UNION ALL ".join(f"SELECT CASE horizon WHEN 'recent' THEN 'recent_' ELSE '' END || '{f}' AS field, round(avg({f}) FILTER (WHERE side = 'viewer'), 6) AS viewer_mean, round(avg({f}) FILTER (WHERE side = 'candidate'), 6) AS candidate_mean FROM dirs GROUP BY horizon" for f in _FIELDS)))
+def affinity_profile(spark, sf_dir):
+    return _rounded(AF.profile(_both(spark, sf_dir)))
+
+
+@register(O.sql(*_BOTH, body="SELECT cutoff_at, " + ", ".join(f"count(*) FILTER (WHERE side = '{s}' AND horizon = '{h}' AND evidence_strength > 0) AS {s}_rows_with_{n}evidence" for s in ("viewer", "candidate") for h, n in (("long", ""), ("recent", "recent_"))) + " FROM dirs GROUP BY 1"))
+def affinity_evidence(spark, sf_dir):
+    """Rows with evidence on each side: the manifest's and the summary's counts."""
+    return A.evidence_counts(_both(spark, sf_dir), ["cutoff_at"])
+
+
+@register(O.sql(O.LOG, O.USERS, O.THREE, O.SIGNAL, O.STATE, body="SELECT cutoff_at, count(*) FILTER (WHERE horizon = 'long' AND evidence_weight > 0) AS users_with_history, count(*) FILTER (WHERE horizon = 'recent' AND evidence_weight > 0) AS users_with_recent FROM strength GROUP BY 1"))
+def affinity_users(spark, sf_dir):
+    return A.affinity_users(AF.affinity_strength(_seen(spark, sf_dir, E.snapshot_windows(spark, END, 3))))
+
+
+@register(O.sql(*_BOTH, body=" UNION ALL ".join(f"SELECT '{f}' AS field, count(*) FILTER (WHERE {f} IS NULL OR NOT {f} BETWEEN 0 AND 1) AS violations FROM dirs" for f in _FIELDS)))
+def affinity_contract(spark, sf_dir):
+    return AF.contract(_both(spark, sf_dir), _FIELDS)
+
+
 _EDGES = "edges AS (SELECT actor_id AS src, target_id AS dst, raw AS w, 1 - exp(-raw / 5) AS d FROM (SELECT *, row_number() OVER (PARTITION BY actor_id ORDER BY raw DESC, target_id) AS r FROM signal WHERE horizon = 'long') WHERE r <= 100)"
 _G = (O.LOG, O.ONE, O.SIGNAL, _EDGES)
 _PEER = "peers AS (SELECT x.src AS u, y.src AS v, x.dst, x.w AS wu, y.w AS wv FROM edges x JOIN edges y ON x.dst = y.dst AND x.src <> y.src)"
@@ -271,17 +336,54 @@ def graph_similarity(spark, sf_dir):
 
 def _pair_features(spark, sf_dir):
     signals = _signal(spark, sf_dir)
-    return G.pair_features(G.build_edges(signals), G.build_edges(signals, None))
-
-
-@register()
+    return G.pair_features(G.build_edges(signals), G.build_edges(signals, None), _users(spark, sf_dir))
+
+
+def _users(spark, sf_dir):
+    return Inputs(spark, sf_dir).users
+
+
+_WHOLE = "whole AS (SELECT actor_id AS src, target_id AS dst, raw AS w, 1 - exp(-raw / 5) AS d FROM signal WHERE horizon = 'long')"
+_FEATURES = (
+    O.LOG, O.USERS, O.ONE, O.SIGNAL, _EDGES, _WHOLE, _PEER,
+    "th AS (SELECT src, dst, x / (1 + x) AS two_hop, paths FROM (SELECT a.src, b.dst, sum(a.d * b.d) AS x, count(*) AS paths FROM edges a JOIN edges b ON a.dst = b.src WHERE a.src <> b.dst GROUP BY 1, 2))",
+    "sn AS (SELECT u AS src, v AS dst, x / (1 + x) AS shared FROM (SELECT u, v, sum(1 / ln(1 + n)) AS x FROM peers JOIN (SELECT dst, count(*) AS n FROM edges GROUP BY 1) USING (dst) GROUP BY 1, 2))",
+    "nrm AS (SELECT src, sqrt(sum(w * w)) AS n FROM edges GROUP BY 1)",
+    "si AS (SELECT u AS src, v AS dst, least(1.0, dot / (a.n * b.n)) AS similarity FROM (SELECT u, v, sum(wu * wv) AS dot FROM peers GROUP BY 1, 2) JOIN nrm a ON a.src = u JOIN nrm b ON b.src = v)",
+    "cp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(similarity, 9) DESC, dst) AS r FROM si) WHERE r <= 50)",
+    "co AS (SELECT p.src, e.dst, sum(p.similarity * e.d) / any_value(t.total) AS collaborative, count(*) AS support FROM cp p JOIN edges e ON e.src = p.dst JOIN (SELECT src, sum(similarity) AS total FROM cp GROUP BY 1) t ON t.src = p.src WHERE p.src <> e.dst GROUP BY 1, 2)",
+    "every AS (SELECT src, dst FROM whole UNION SELECT dst, src FROM whole UNION SELECT src, dst FROM th UNION SELECT src, dst FROM sn UNION SELECT src, dst FROM si UNION SELECT src, dst FROM co)",
+    f"pos AS (SELECT id, {O.tok('position')} AS position FROM users)",
+    "cm AS (SELECT w.src, p.position, sum(w.w) / any_value(t.total) AS community FROM whole w JOIN pos p ON p.id = w.dst JOIN (SELECT src, sum(w) AS total FROM whole GROUP BY 1) t ON t.src = w.src WHERE p.position IS NOT NULL GROUP BY 1, 2)",
+    "nv AS (SELECT dst, 1 - percent_rank() OVER (ORDER BY round(inw * 100)) AS novelty FROM (SELECT dst, sum(w) AS inw FROM whole GROUP BY 1))",
+    """gf AS (SELECT e.src, e.dst, coalesce(a.d, 0.0) AS direct, coalesce(b.d, 0.0) AS reverse, coalesce(two_hop, 0.0) AS two_hop, coalesce(paths, 0) AS paths, coalesce(shared, 0.0) AS shared, coalesce(similarity, 0.0) AS similarity,
+      coalesce(collaborative, 0.0) AS collaborative, coalesce(support, 0) AS support, coalesce(novelty, 1.0) AS novelty, coalesce(community, 0.0) AS community FROM every e LEFT JOIN whole a ON a.src = e.src AND a.dst = e.dst LEFT JOIN whole b ON b.src = e.dst AND b.dst = e.src
+      LEFT JOIN th ON th.src = e.src AND th.dst = e.dst LEFT JOIN sn ON sn.src = e.src AND sn.dst = e.dst LEFT JOIN si ON si.src = e.src AND si.dst = e.dst LEFT JOIN co ON co.src = e.src AND co.dst = e.dst
+      LEFT JOIN nv ON nv.dst = e.dst LEFT JOIN pos ON pos.id = e.dst LEFT JOIN cm ON cm.src = e.src AND cm.position = pos.position)""",
+    "gs AS (SELECT *, 0.3 * direct + 0.15 * reverse + 0.15 * two_hop + 0.1 * shared + 0.1 * similarity + 0.1 * collaborative + 0.05 * community + 0.05 * novelty AS retrieval FROM gf)",
+)
+_GRAPH = ["direct", "reverse", "two_hop", "shared", "similarity", "collaborative", "community", "novelty", "retrieval"]
+
+
+@register(O.sql(*_FEATURES, body=f"SELECT src, dst, {', '.join(f'round({c}, 6) AS {c}' for c in _GRAPH)}, paths, support FROM gs"))
 def graph_pair_features(spark, sf_dir):
     return _rounded(_pair_features(spark, sf_dir))
 
 
-@register()
+@register(O.sql(*_FEATURES, body="SELECT src, dst, round(retrieval, 5) AS retrieval, rank FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(retrieval, 9) DESC, dst) AS rank FROM gs WHERE direct = 0 AND (reverse > 0 OR two_hop > 0 OR shared > 0 OR collaborative > 0)) WHERE rank <= 50"))
 def graph_candidates(spark, sf_dir):
-    return G.candidates(_pair_features(spark, sf_dir), 50)
+    return _rounded(G.candidates(_pair_features(spark, sf_dir), 50), 5).withColumn("rank", F.col("rank").cast("long"))
+
+
+@register(O.sql(*_FEATURES, body="SELECT count(DISTINCT n) AS nodes, count(*) // 2 AS edges FROM (SELECT src AS n FROM whole UNION ALL SELECT dst FROM whole)"))
+def graph_summary(spark, sf_dir):
+    return G.summary(G.build_edges(_signal(spark, sf_dir), None))
+
+
+@register(O.sql(*_FEATURES, O.STATS, body="SELECT count(*) AS pairs, 0 AS repeated, count(*) FILTER (WHERE src IS NULL) AS missing FROM (SELECT DISTINCT viewer_id, candidate_id FROM keys) k LEFT JOIN gs ON src = viewer_id AND dst = candidate_id"))
+def graph_merge(spark, sf_dir):
+    """The contract of joining graph features to the exposed pairs."""
+    return G.merge_contract(E.exposed_pairs(_events(spark, sf_dir)), _pair_features(spark, sf_dir))
 
 
 @register(O.sql(O.LOG, body="SELECT DISTINCT viewer_id, candidate_id FROM (SELECT actor_id AS viewer_id, target_id AS candidate_id FROM valid WHERE event_type IN ('block', 'report') AND ts < TIMESTAMP '2024-01-23' UNION ALL SELECT target_id, actor_id FROM valid WHERE event_type IN ('block', 'report') AND ts < TIMESTAMP '2024-01-23')"))
@@ -355,9 +457,12 @@ def average_precision(spark, sf_dir):
     return _rounded(EV.average_precision(_marked(spark, sf_dir)))
 
 
-@register(O.sql(*O.P1, O.MARKS, "rk AS (SELECT *, row_number() OVER (PARTITION BY viewer_id ORDER BY score DESC, candidate_id) AS r FROM um WHERE target = 'any_positive')", "per AS (SELECT viewer_id, sum(label) AS p, sum(label) FILTER (WHERE r <= 20) AS hits, count(*) FILTER (WHERE r <= 20) AS shown, sum(label / log2(r + 1)) FILTER (WHERE r <= 20) AS dcg FROM rk GROUP BY 1)", body="SELECT count(*) AS viewers, round(avg(CASE WHEN p > 0 THEN dcg / list_sum(list_transform(range(1, CAST(least(p, 20) AS BIGINT) + 1), lambda i: 1 / log2(i + 1))) END), 6) AS ndcg, round(avg(hits / shown), 6) AS precision, round(avg(CASE WHEN p > 0 THEN hits / p END), 6) AS recall FROM per"))
+@register(O.sql(*O.P1, O.MARKS, "rk AS (SELECT *, CAST(outcome_any_positive AS INT) AS label, row_number() OVER (PARTITION BY viewer_id ORDER BY p_any_positive DESC, candidate_id) AS r FROM marks)",
+    "per AS (SELECT viewer_id, sum(label) AS p, sum(label) FILTER (WHERE r <= 20) AS hits, count(*) FILTER (WHERE r <= 20) AS shown, sum(label / log2(r + 1)) FILTER (WHERE r <= 20) AS dcg, " + ", ".join(f"count(*) FILTER (WHERE r <= 20 AND outcome_{t}) AS n_{t}" for t in EV.TRACKED) + " FROM rk GROUP BY 1)",
+    body="SELECT count(*) AS viewers, round(avg(CASE WHEN p > 0 THEN dcg / list_sum(list_transform(range(1, CAST(least(p, 20) AS BIGINT) + 1), lambda i: 1 / log2(i + 1))) END), 6) AS ndcg, round(avg(hits / shown), 6) AS precision, round(avg(CASE WHEN p > 0 THEN hits / p END), 6) AS recall, " + ", ".join(f"round(sum(n_{t}) / sum(shown), 6) AS {t}_rate" for t in EV.TRACKED) + " FROM per"))
 def ranking_metrics(spark, sf_dir):
-    return _rounded(EV.ranking_metrics(_marked(spark, sf_dir).where("target = 'any_positive'")))
+    rows = R.formula_predictions(_pairs(spark, sf_dir)).withColumns({"label": F.col("outcome_any_positive").cast("int"), "score": F.col("p_any_positive")})
+    return _rounded(EV.ranking_metrics(rows))
 
 
 @register(O.sql(*O.P1, O.MARKS, body="SELECT target, round(avg(-(pw * label * ln(q) + (1 - label) * ln(1 - q))), 6) AS logloss FROM (SELECT *, greatest(1e-7, least(1 - 1e-7, score)) AS q FROM um) JOIN (SELECT target, CASE WHEN sum(label) > 0 AND sum(label) < count(*) THEN least(25.0, greatest(1.0, (count(*) - sum(label)) / sum(label))) ELSE 1.0 END AS pw FROM um GROUP BY 1) USING (target) GROUP BY 1"))
@@ -384,20 +489,37 @@ def entitled_users(spark, sf_dir):
     return P.entitled_users(t["users"].select("id"), t["subscriptions"], t["plus_access_grants"], _NOW)
 
 
-def _viewers(spark, sf_dir):
+def _viewers(spark, sf_dir, entitled=True):
     t = _tables(spark, sf_dir)
-    return P.entitled_users(P.eligible(t["users"]).select("id"), t["subscriptions"], t["plus_access_grants"], _NOW)
+    people = P.eligible(t["users"]).select("id")
+    return P.entitled_users(people, t["subscriptions"], t["plus_access_grants"], _NOW) if entitled else people
+
 
+_MILES = "CASE lower(trim(v.into_proximity)) WHEN 'same neighborhood' THEN 5.0 WHEN 'within 25 miles' THEN 25.0 WHEN 'within 300 mile' THEN 300.0 END"
+_NEAR = f"""AND CASE WHEN lower(trim(v.into_proximity)) = 'same city' THEN lower(trim(v.city)) = lower(trim(c.city))
+  WHEN {_MILES} IS NOT NULL THEN {O.km('v', 'c').replace('coalesce(v.lat, v.hlat)', 'v.lat').replace('coalesce(v.lon, v.hlon)', 'v.lon').replace('coalesce(c.lat, c.hlat)', 'c.lat').replace('coalesce(c.lon, c.hlon)', 'c.lon')} * 1000 <= {_MILES} * 1609.344 ELSE true END"""
 
-_POOL = """blk AS (SELECT DISTINCT x, y FROM (SELECT a AS x, b AS y FROM ev WHERE e = 'error' AND n % 3 = 1 UNION ALL SELECT b, a FROM ev WHERE e = 'error' AND n % 3 = 1)),
+
+def _pool_sql(limit: int = 2000, entitled: bool = True, located: bool = False, skip: bool = False) -> str:
+    join = "JOIN ent ON ent.id = v.id" if entitled else ""
+    live = "AND NOT (v.id % 8 = 4 AND (v.id - 1) % 3 <> 0 AND TIMESTAMP '2024-01-30' + to_days(CAST((v.id - 1) % 5 - 2 AS INT)) > TIMESTAMP '2024-01-30')" if skip else ""
+    return f"""blk AS (SELECT DISTINCT x, y FROM (SELECT a AS x, b AS y FROM ev WHERE e = 'error' AND n % 3 = 1 UNION ALL SELECT b, a FROM ev WHERE e = 'error' AND n % 3 = 1)),
 pool AS (SELECT * FROM (SELECT v.id AS viewer_id, c.id AS candidate_id, row_number() OVER (PARTITION BY v.id ORDER BY c.last_seen_at DESC NULLS LAST, c.id) AS pool_rank
-  FROM people v JOIN ent ON ent.id = v.id CROSS JOIN people c LEFT JOIN settings s ON s.user_id = c.id WHERE v.id <> c.id AND coalesce(s.visible, true) AND NOT EXISTS (SELECT 1 FROM blk WHERE x = v.id AND y = c.id)) WHERE pool_rank <= 300)"""
+  FROM people v {join} CROSS JOIN people c LEFT JOIN settings s ON s.user_id = c.id WHERE v.id <> c.id AND coalesce(s.visible, true) {live} {_NEAR if located else ''}
+  AND NOT EXISTS (SELECT 1 FROM blk WHERE x = v.id AND y = c.id)) WHERE pool_rank <= {limit})"""
 
 
-@register(O.sql(O.LOG, O.USERS, _ENTITLED, _POOL, body="SELECT viewer_id, candidate_id, pool_rank FROM pool"))
+@register(O.sql(O.LOG, O.USERS, _ENTITLED, _pool_sql(), body="SELECT viewer_id, candidate_id, pool_rank FROM pool"))
 def eligible_candidates(spark, sf_dir):
     t = _tables(spark, sf_dir)
-    return P.eligible_candidates(_viewers(spark, sf_dir), t["users"], t["user_settings"], t["user_blocks"], 300).withColumn("pool_rank", F.col("pool_rank").cast("long"))
+    return P.eligible_candidates(_viewers(spark, sf_dir), t["users"], t["user_settings"], t["user_blocks"]).withColumn("pool_rank", F.col("pool_rank").cast("long"))
+
+
+@register(O.sql(O.LOG, O.USERS, _ENTITLED, _pool_sql(located=True), body="SELECT viewer_id, candidate_id, pool_rank FROM pool"))
+def located_candidates(spark, sf_dir):
+    """The pool of viewers who ask for their city or for a radius comes from there."""
+    t = _tables(spark, sf_dir)
+    return P.eligible_candidates(_viewers(spark, sf_dir), t["users"], t["user_settings"], t["user_blocks"], located=True).withColumn("pool_rank", F.col("pool_rank").cast("long"))
 
 
 @register(O.sql(O.USERS, body="SELECT v.id AS viewer_id, c.id AS candidate_id, round(d, 6) AS distance_km FROM (SELECT v, c, " + O.km("v", "c") + " AS d FROM (SELECT * REPLACE (NULL AS hlat, NULL AS hlon) FROM users) v, (SELECT * REPLACE (NULL AS hlat, NULL AS hlon) FROM users) c WHERE v.id % 20 = 0 AND v.id <> c.id) WHERE d * 1000 <= 482803.2"))
@@ -407,7 +529,7 @@ def within_radius(spark, sf_dir):
     return _rounded(P.within_radius(u.where("id % 20 = 0").select("id", "lat", "lon", F.lit(300 * 1609.344).alias("metres")), u.select("id", "lat", "lon")))
 
 
-def _mix_sql(n1: int, n2: int, n3: int, product: str) -> str:
+def _mix_sql(n1: int, n2: int, n3: int, product: str, pool: str, body: str | None = None) -> str:
     u = lambda seed: f"({O.hashed(f'concat({seed}, candidate_id)')} + 1) / 4503599627370497.0"
     seed = f"'{product}:' || viewer_id || ':2024-01-30:v1:'"
     scored = f"sc AS (SELECT viewer_id, candidate_id, round({O.SCORE}, 9) AS score FROM (SELECT viewer_id, candidate_id, {O.PROBS} FROM pool))"
@@ -421,30 +543,40 @@ def _mix_sql(n1: int, n2: int, n3: int, product: str) -> str:
     s7 = f"s7 AS (SELECT *, row_number() OVER (PARTITION BY viewer_id, x ORDER BY round(-ln({u(seed3)}) / (greatest(score, 0.001) / sqrt(greatest(1, rank - bg + 1))), 9), candidate_id) AS r3 FROM s6)"
     s8 = f"s8 AS (SELECT *, CASE WHEN m THEN 1 WHEN d THEN 2 WHEN x AND r3 <= {n3} THEN 3 ELSE 4 END AS st FROM s7)"
     s9 = "s9 AS (SELECT *, row_number() OVER (PARTITION BY viewer_id ORDER BY st, CASE st WHEN 2 THEN r2 WHEN 3 THEN r3 ELSE rank END) AS fr FROM s8)"
-    return O.sql(O.LOG, O.USERS, _ENTITLED, _POOL, scored, rk, s2, s3, s4, s5, s6, s7, s8, s9, body=f"SELECT viewer_id, candidate_id, score, rank AS model_rank, fr AS final_rank, CASE st WHEN 2 THEN 'diversity' WHEN 3 THEN 'exploration' ELSE 'model' END AS selection_type FROM s9 WHERE fr <= {n1 + n2 + n3}")
+    kind = "CASE st WHEN 2 THEN 'diversity' WHEN 3 THEN 'exploration' ELSE 'model' END AS selection_type"
+    mix = f"mix AS (SELECT viewer_id, candidate_id, score, rank AS model_rank, fr AS final_rank, {kind} FROM s9 WHERE fr <= {n1 + n2 + n3})"
+    return O.sql(O.LOG, O.USERS, _ENTITLED, pool, scored, rk, s2, s3, s4, s5, s6, s7, s8, s9, mix, body=body or "SELECT * FROM mix")
 
 
-def _list(spark, sf_dir, product):
-    rows = PD.composed(product, _viewers(spark, sf_dir), _tables(spark, sf_dir), date(2024, 1, 30), "v1", 300)
+def _list(spark, sf_dir, product, entitled=False, located=True, skip=False):
+    t, viewers = _tables(spark, sf_dir), _viewers(spark, sf_dir, entitled)
+    if skip:
+        viewers = PD.without_live_batch(viewers, t["suggestion_batches"], _NOW)
+    rows = PD.composed(product, viewers, t, date(2024, 1, 30), "v1", located=located)
     return rows.withColumns({c: F.col(c).cast("long") for c in ("model_rank", "final_rank")})
 
 
-@register(_mix_sql(12, 3, 0, "suggestions"))
+@register(_mix_sql(12, 3, 0, "suggestions", _pool_sql(located=True, skip=True)))
 def daily_suggestions(spark, sf_dir):
-    return _list(spark, sf_dir, "suggestions")
+    """Entitled viewers without a live batch, near them if they ask for it."""
+    return _list(spark, sf_dir, "suggestions", entitled=True, skip=True)
 
 
-@register(_mix_sql(7, 2, 1, "speed_dating"))
+@register(_mix_sql(7, 2, 1, "speed_dating", _pool_sql(entitled=False, located=True)))
 def speed_dating(spark, sf_dir):
     return _list(spark, sf_dir, "speed_dating")
 
 
-@register(_mix_sql(80, 15, 5, "search_pool"))
+@register(_mix_sql(80, 15, 5, "search_pool", _pool_sql(entitled=False)))
 def search_pool(spark, sf_dir):
-    return _list(spark, sf_dir, "search_pool")
+    """Location-free lists of all eligible viewers."""
+    return _list(spark, sf_dir, "search_pool", located=False)
+
+
+_LIVE = "SELECT sha256('speed_dating|' || viewer_id || '|2024-01-29 18:00:00') AS batch_id, 'speed_dating' AS product, viewer_id, 'v1' AS model_version, 'ready' AS status, TIMESTAMP '2024-01-29 18:00:00' AS generated_at, TIMESTAMP '2024-01-30 18:00:00' AS expires_at, final_rank AS rank, model_rank, candidate_id, score, selection_type FROM mix WHERE final_rank <= 5"
 
 
-@register()
+@register(_mix_sql(7, 2, 1, "speed_dating", _pool_sql(entitled=False, located=True), _LIVE))
 def live_batches(spark, sf_dir):
     """Items of the newest of two published batches of each viewer."""
     rows = _list(spark, sf_dir, "speed_dating")
@@ -453,17 +585,47 @@ def live_batches(spark, sf_dir):
     return PD.live_items(b1.union(b2), i1.union(i2), _NOW)
 
 
-@register()
+def _flights_sql() -> str:
+    age, floor = O.AGE.format(a=_ASOF, b="born"), f"CAST({_SEARCH_IN} AS INT)"
+    clean = lambda x: f"list_filter(list_transform(coalesce({x}, CAST([] AS VARCHAR[])), lambda t: regexp_replace(t, '^\\s+|\\s+$', '', 'g')), lambda t: t IS NOT NULL AND t <> '' AND lower(t) NOT IN ('any', 'none', 'open to any', 'prefer not to say', 'prefer not to say.'))"
+    many = " UNION ALL ".join(f"SELECT id, {i} AS o, '{k}' AS kind, unnest({clean(x)}) AS value, generate_subscripts({clean(x)}, 1) AS at FROM fu" for i, (k, x) in enumerate((("type", "my_types"), ("body_type", "[body_type]"), ("body_hair", "body_hair"))))
+    one = " UNION ALL ".join(f"SELECT id, {i + 3}, '{k}', {O.span(x, r)}, 0 FROM fu" for i, (k, x, r) in enumerate((("age_range", "age", AGE_RANGES), ("height_range", "sin", HEIGHT_RANGES), ("weight_range", "weight", WEIGHT_RANGES))))
+    ctes = [
+        f"fu AS (SELECT c_custkey + 1 AS id, u.my_types, u.body_type, u.body_hair, u.weight, {age} AS age, {floor.replace('c % ', 'c_custkey % ')} AS sin FROM users u JOIN customer ON c_custkey + 1 = u.id)",
+        f"tf AS (SELECT DISTINCT id, kind, lower(value) AS key FROM ({many} UNION ALL {one}) WHERE value IS NOT NULL)",
+        f"sc AS (SELECT viewer_id, candidate_id, round({O.SCORE}, 9) AS score FROM (SELECT viewer_id, candidate_id, {O.PROBS} FROM pool))",
+        "rk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY viewer_id ORDER BY score DESC, candidate_id) AS rank FROM sc) WHERE rank <= 200)",
+        "ef AS (SELECT viewer_id, candidate_id, greatest(score, 0) / sqrt(rank) AS e, kind, key FROM rk JOIN tf ON tf.id = candidate_id)",
+        "sg AS (SELECT viewer_id, kind, key, round(sum(e), 9) AS s FROM ef GROUP BY 1, 2, 3)",
+        "pg AS (SELECT x.viewer_id, x.kind AS kind1, x.key AS key1, y.kind AS kind2, y.key AS key2, round(sum(x.e), 9) AS p FROM ef x JOIN ef y ON x.viewer_id = y.viewer_id AND x.candidate_id = y.candidate_id AND x.kind < y.kind GROUP BY 1, 2, 3, 4, 5)",
+        "tops AS (SELECT viewer_id, max(s) AS ms FROM sg GROUP BY 1)", "topp AS (SELECT viewer_id, max(p) AS mp FROM pg GROUP BY 1)",
+        "rc AS (SELECT viewer_id, kind AS kind1, key AS key1, NULL AS kind2, NULL AS key2, round(s / ms, 9) AS score FROM sg JOIN tops USING (viewer_id) UNION ALL SELECT pg.viewer_id, kind1, key1, kind2, key2, round(0.65 * p / mp + 0.35 * ((a.s + b.s) / 2) / ms, 9) FROM pg JOIN sg a ON a.viewer_id = pg.viewer_id AND a.kind = kind1 AND a.key = key1 JOIN sg b ON b.viewer_id = pg.viewer_id AND b.kind = kind2 AND b.key = key2 JOIN tops ON tops.viewer_id = pg.viewer_id JOIN topp ON topp.viewer_id = pg.viewer_id)",
+        "r0 AS (SELECT *, row_number() OVER (PARTITION BY viewer_id ORDER BY score DESC, kind1, key1, kind2 NULLS FIRST, key2 NULLS FIRST) AS place FROM rc)",
+        "c0 AS (SELECT *, 0 AS slot FROM r0 WHERE false)",
+    ]
+    for i in range(1, 6):
+        u = {n: f"coalesce(f{n}.n, 0)" for n in ("a", "b")} | {n: f"coalesce(k{n}.n, 0)" for n in ("x", "y")}
+        ctes += [
+            f"fu{i} AS (SELECT viewer_id, kind, key, count(*) AS n FROM (SELECT viewer_id, kind1 AS kind, key1 AS key FROM c{i - 1} UNION ALL SELECT viewer_id, kind2, key2 FROM c{i - 1} WHERE kind2 IS NOT NULL) GROUP BY 1, 2, 3)",
+            f"ku{i} AS (SELECT viewer_id, kind, sum(n) AS n FROM fu{i} GROUP BY 1, 2)",
+            f"p{i} AS (SELECT r.*, row_number() OVER (PARTITION BY r.viewer_id ORDER BY round(score - 0.12 * ({u['a']} + {u['b']}) - 0.025 * ({u['x']} + {u['y']}) + CASE WHEN kind2 IS NULL THEN 0.0 ELSE 0.025 END, 9) DESC, r.place) AS best FROM r0 r LEFT JOIN fu{i} fa ON fa.viewer_id = r.viewer_id AND fa.kind = kind1 AND fa.key = key1 LEFT JOIN fu{i} fb ON fb.viewer_id = r.viewer_id AND fb.kind = kind2 AND fb.key = key2 LEFT JOIN ku{i} kx ON kx.viewer_id = r.viewer_id AND kx.kind = kind1 LEFT JOIN ku{i} ky ON ky.viewer_id = r.viewer_id AND ky.kind = kind2 WHERE NOT EXISTS (SELECT 1 FROM c{i - 1} c WHERE c.viewer_id = r.viewer_id AND c.place = r.place))",
+            f"c{i} AS (SELECT * FROM c{i - 1} UNION ALL SELECT viewer_id, kind1, key1, kind2, key2, score, place, {i} FROM p{i} WHERE best = 1)",
+        ]
+    slots = ", ".join(f"'{x}'" for x in PD.SLOTS)
+    return O.sql(O.LOG, O.USERS, _ENTITLED, _pool_sql(1000), *ctes, body=f"SELECT viewer_id, CAST(slot AS INT) AS slot, [{slots}][slot] AS location, kind1, key1, kind2, key2, score FROM c5")
+
+
+@register(_flights_sql())
 def search_flights(spark, sf_dir):
     """Five search recipes for every entitled viewer from its 200 best candidates."""
     t = _tables(spark, sf_dir)
-    pool = P.eligible_candidates(_viewers(spark, sf_dir), t["users"], t["user_settings"], t["user_blocks"], 300)
+    pool = P.eligible_candidates(_viewers(spark, sf_dir), t["users"], t["user_settings"], t["user_blocks"], 1000)
     scored = R.formula_predictions(pool).select("viewer_id", "candidate_id", F.round(R.composite_score(), 9).alias("score"))
     single, pair = PD.filter_scores(R.rank_candidates(scored, 200), PD.trait_filters(t["users"], E.ntz(CUTOFF)))
     return PD.diverse_recipes(PD.recipe_scores(single, pair))
 
 
-@register()
+@register(O.sql(*O.P1, O.MARKS, _RANKED, body="SELECT CAST(viewer_id AS VARCHAR) AS request_id, viewer_id, 'home' AS surface, CAST(NULL AS VARCHAR) AS context_key, candidate_id, CAST(rank AS INT) AS rank, score, CAST(NULL AS VARCHAR) AS reject_reason FROM rkd WHERE rank <= 20"))
 def impressions(spark, sf_dir):
     """Ranked lists as shown requests, validated."""
     ranked = ranked_pairs(spark, sf_dir)

@@ -114,5 +114,6 @@ class Inputs:
             "user_blocks": self._kind("error", "1").selectExpr("a AS blocker_user_id", "b AS blocked_user_id", "ts AS created_at"),
             "support_reports": self._kind("error", "2").selectExpr("a AS reporter_user_id", "IF(n % 10 = 0, NULL, b) AS reported_user_id", "ts AS created_at"),
             "subscriptions": self._read("customer", "c_custkey").withColumnRenamed("c_custkey", "c").where("c % 3 = 0").selectExpr("c + 1 AS user_id", "IF(c % 2 = 0, 'Plus', 'basic') AS plan", "element_at(array('active', 'Trialing', 'canceled', 'past_due'), CAST(c % 4 AS INT) + 1) AS status", "IF(c % 6 = 0, NULL, CAST('2024-01-15' AS TIMESTAMP_NTZ) + make_dt_interval(CAST(c % 40 AS INT))) AS expires_at"),
+            "suggestion_batches": self._read("customer", "c_custkey").withColumnRenamed("c_custkey", "c").where("c % 8 = 3").selectExpr("c + 1 AS viewer_id", "IF(c % 3 = 0, 'building', 'ready') AS status", "CAST('2024-01-30' AS TIMESTAMP_NTZ) + make_dt_interval(CAST(c % 5 AS INT) - 2) AS expires_at"),
             "plus_access_grants": self._read("customer", "c_custkey").withColumnRenamed("c_custkey", "c").where("c % 10 = 1").selectExpr("c + 1 AS user_id", "CAST('2024-01-01' AS TIMESTAMP_NTZ) + make_dt_interval(CAST(c % 45 AS INT)) AS started_at", "IF(c % 30 = 1, CAST('2024-01-20' AS TIMESTAMP_NTZ), NULL) AS revoked_at", "CAST(NULL AS TIMESTAMP_NTZ) AS expires_at"),
         }
