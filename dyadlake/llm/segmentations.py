@@ -37,6 +37,7 @@ BLANK = "▁"
 NODES = 5_000_000  # of word lattices that a worker keeps
 _MARK = BLANK.encode()
 _P = np.uint64(0x9E3779B97F4A7C15)
+_Q = np.uint64(0xD6E8FEB86659FD93)
 _kept: dict = {}
 _STEP_MASK = np.uint64((1 << 53) - 1)
 
@@ -141,7 +142,7 @@ def _edges(words: list[str], v: Vocabulary):
     node, piece, width = (np.concatenate(x) for x in zip(*found, strict=True))
     weight = v.weights[np.maximum(piece, 0)].astype(np.float64)
     weight[len(node) - len(lone) :] = v.byte_weight * (1 + (c > 0x7F).astype(int) + (c > 0x7FF) + (c > 0xFFFF))
-    order = np.lexsort((width, node))
+    order = np.argsort(node * 32 + width, kind="stable")
     node, piece, width, weight = node[order], piece[order], width[order], weight[order]
     count = np.bincount(node, minlength=n)
     begin = np.cumsum(count) - count
@@ -256,7 +257,6 @@ class Lattices:
     def edge(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """The edge of each node that holds u of the probability."""
         e, last = self.first[node].astype(np.int64), self.first[node + 1] - 1
-        u = u.astype(np.float32)
         live = np.flatnonzero((self.cum[e] <= u) & (e < last))
         while len(live):
             e[live] += 1
@@ -293,8 +293,13 @@ def _walk(lat: Lattices, node: np.ndarray, key: np.ndarray, step: int):
     key, salt = key[live], 0
     while len(live):
         salt += 1
-        h = mix(key + np.uint64((salt * 1000 + step) * int(_P) & (1 << 64) - 1))
-        e = lat.edge(at, ((h & _STEP_MASK).astype(np.float64) + 0.5) / 2.0**53)
+        h = (key + np.uint64((salt * 1000 + step) * int(_P) & (1 << 64) - 1)) * _Q
+        h ^= h >> np.uint64(29)
+        h *= _P
+        h >>= np.uint64(40)  # keys are hashes already; 24 bits are what a float holds
+        u = h.astype(np.float32)
+        u *= np.float32(2.0**-24)
+        e = lat.edge(at, u)
         steps.append((live, at, e))
         n[live] += 1
         to = at + lat.width[e]
@@ -472,7 +477,7 @@ def encoded(docs: DataFrame, model: str, k: int = SAMPLES, alpha: float = ALPHA,
             blobs = [b"" if t is None else t for t in batch.column("text").to_pylist()]
             null = batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
             keys = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
-            for lo, hi in pieces(blobs):
+            for lo, hi in pieces(blobs, 1 << 19):
                 got = sample(blobs[lo:hi], keys[lo:hi], lat, k, seed)
                 turn = np.zeros(hi - lo, np.int32)
                 for who, size, ids, lp, score, inclusion in got:
