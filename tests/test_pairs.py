@@ -11,12 +11,16 @@ from pyspark.sql import functions as F
 from dyadlake.functions import scalar as S
 from dyadlake.operators import events as E
 from dyadlake.operators import graph as G
+from dyadlake.operators import pairs as P
+from dyadlake.operators import prepare as PR
 from dyadlake.operators import ranking as R
 from dyadlake.plans import queries as Q
-from dyadlake.streaming.impressions import validated
+from dyadlake.plans import extra  # noqa: F401
+from dyadlake.sources import datasets as D
+from dyadlake.streaming.impressions import refresh_stream, validated
 
 SF = "/root/testdata/sf0.001"
-SOME = ["valid_event_log", "pair_history", "actor_history", "affinity_state", "user_traits", "eligible_candidates", "speed_dating"]
+SOME = ["valid_event_log", "pair_history", "actor_history", "affinity_state", "user_traits", "located_candidates", "daily_suggestions", "search_flights", "graph_candidates", "affinity_import", "encoded_multi", "random_split"]
 
 
 def _norm(df):
@@ -44,6 +48,55 @@ def test_heights(spark):
     assert [r[0] for r in df.select(S.height_inches(F.col("h"))).collect()] == [71.0, None, None, 36.0, None, None, None]
 
 
+def test_bad_heights_do_not_stop_a_job(spark):
+    df = spark.createDataFrame([("999999999'5",), ("1e20",), ("nan",), ("Infinity",), ("-inf",), ("99999999999999999999'1",), ("6'",), ("60.9",)], "h string")
+    assert [tuple(r) for r in df.select(S.height_inches(F.col("h")), S.height_inches_search(F.col("h"))).collect()][1:5] == [(None, None)] * 4
+    assert [r[0] for r in df.select(S.height_inches_search(F.col("h"))).collect()] == [None] * 6 + [72, 60]
+
+
+def test_viewers_with_many_blocks_get_full_pools(spark):
+    n = P.SPARE + 400
+    users = spark.range(1, n + 1).select("id", F.lit(False).alias("is_bot"), F.lit(False).alias("is_banned"), F.lit(None).cast("timestamp_ntz").alias("last_seen_at"), F.lit(None).cast("string").alias("city"), F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"))
+    blocks = spark.range(2, P.SPARE + 302).select(F.lit(1).cast("long").alias("blocker_user_id"), F.col("id").alias("blocked_user_id"))
+    settings = spark.createDataFrame([], "user_id long, visible boolean")
+    got = P.eligible_candidates(users.where("id in (1, 2, 450)").select("id"), users, settings, blocks, 20).groupBy("viewer_id").agg(F.collect_list("candidate_id").alias("c")).collect()
+    got = {r.viewer_id: sorted(r.c) for r in got}
+    first = P.SPARE + 302
+    assert got == {1: list(range(first, first + 20)), 2: list(range(3, 23)), 450: list(range(1, 21))}
+
+
+def test_datasets_and_manifests(spark, tmp_path):
+    rows = spark.sql("SELECT TIMESTAMP_NTZ'2024-01-02' AS cutoff_at, id AS viewer_id, id + 1 AS candidate_id FROM range(3)")
+    D.write_pairs(rows, str(tmp_path / "a"), "json")
+    D.write_pairs(rows, str(tmp_path / "a"), "json")  # replaces
+    back = D.read_pairs_jsonl(spark, str(tmp_path / "a"), rows.schema)
+    assert back.count() == 3 and D.dataset_manifest(back).first().n_rows == 3
+    (tmp_path / "b.json").write_text('{"viewer_id": 1}\n\n{"viewer_id": oops}\n')
+    lax = D.read_pairs_jsonl(spark, str(tmp_path / "b.json"), rows.schema, strict=False).collect()
+    assert sorted(r._corrupt_record is not None for r in lax) == [False, True]
+    with pytest.raises(Exception, match="oops|MALFORMED"):
+        D.read_pairs_jsonl(spark, str(tmp_path / "b.json"), rows.schema).collect()
+
+
+def test_affinities_are_refreshed_by_a_stream(spark, tmp_path):
+    events = spark.sql("SELECT 1L AS actor_id, 2L AS target_id UNION ALL SELECT 1L, 3L UNION ALL SELECT NULL, 3L")
+    events.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    seen = []
+    refresh_stream(stream, lambda ids: ids.withColumn("score", F.lit(0.5)), lambda df: seen.extend(tuple(r) for r in df.collect()), str(tmp_path / "c")).awaitTermination(120)
+    assert seen == [(1, 0.5)]
+
+
+def test_splits(spark):
+    rows = spark.range(1000)
+    parts = {r["split"]: r["count"] for r in PR.random_split(rows, ["id"], "x").groupBy("split").count().collect()}
+    assert parts == {"test": 100, "validation": 200, "train": 700}
+    assert {r["split"] for r in PR.random_split(rows.limit(2), ["id"], "x").collect()} == {"train"}
+    cuts = spark.sql("SELECT TIMESTAMP_NTZ'2024-01-01' + make_dt_interval(CAST(c AS INT)) AS cutoff_at FROM range(5) t(c) LATERAL VIEW explode(sequence(1, IF(c = 4, 1, 10))) x")
+    got = [r["split"] for r in PR.chronological_split(cuts).orderBy("cutoff_at").collect()]
+    assert got == ["train", "train", "validation", "test", "test"] or got == ["train", "validation", "validation", "test", "test"] or got == ["train", "train", "train", "validation", "test"], got
+
+
 def test_overlap_is_null_for_empty_sets(spark):
     df = spark.sql("SELECT array('A', 'b ') AS p, array('a') AS x UNION ALL SELECT array(' '), array('a')")
     assert [tuple(r) for r in df.select(S.overlap_count(F.col("p"), F.col("x")), S.overlap_ratio(F.col("p"), F.col("x"))).collect()] == [(1.0, 0.5), (None, None)]
@@ -88,6 +141,7 @@ def test_hot_targets_keep_all_pairs(spark):
 def test_a_reached_user_is_no_candidate(spark, monkeypatch):
     signals = spark.sql("SELECT 1L AS actor_id, id AS target_id, CAST(1000 - id AS DOUBLE) AS raw, 'long' AS horizon FROM range(2, 110) UNION ALL SELECT 2L, 109L, 5.0D, 'long'")
     monkeypatch.setattr(Q, "_signal", lambda spark, sf_dir: signals)
+    monkeypatch.setattr(Q, "_users", lambda spark, sf_dir: spark.sql("SELECT id, 'Top' AS position FROM range(1, 120)"))
     got = Q.graph_pair_features(spark, "").where("src = 1 AND dst = 109 OR src = 109 AND dst = 1").collect()
     assert len(got) == 2 and {(r.src, r.direct > 0, r.reverse > 0) for r in got} == {(1, True, False), (109, False, True)}
     assert Q.graph_candidates(spark, "").where("src = 1 AND dst = 109").count() == 0
