@@ -420,3 +420,15 @@ def test_pipeline(spark):
     for name, stage in corpus_pipeline.STAGES[1:4]:
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns and 0 < out.count() <= docs.count(), name
+    ids = {r.doc_id for r in corpus_pipeline.run(spark, SF).select("doc_id").distinct().collect()}
+    assert 0 < len(ids) < docs.count() and ids <= {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def test_near_duplicate_stage_keeps_one_row_of_a_group(spark):
+    import corpus_pipeline
+
+    a, b = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(4, a, "p"), (4, a, "p"), (4, b, "q"), (9, a + " more", "r"), (None, a, "s"), (None, a, "s"), (5, None, "t"), (6, "", "u"), (3, b, "v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark string")
+    got = sorted(((r.doc_id, r.mark) for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()), key=str)
+    assert got == sorted([(4, "p"), (None, "s"), (None, "s"), (5, "t"), (6, "u"), (3, "v")], key=str)
