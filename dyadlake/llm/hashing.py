@@ -59,12 +59,6 @@ class Prefixes:
             hi = np.where(open_ & ~same, mid - 1, hi)
         return lo
 
-    def less(self, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-        """Whether suffix a comes before suffix b by their first bytes; ties go to a."""
-        n = self.common(a, b, most)
-        at = np.minimum(n, most - 1)
-        return (n == most) | (self.buf[a + at] < self.buf[b + at])
-
 
 def utf8(text) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")

@@ -6,6 +6,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -347,6 +348,27 @@ def test_repeats(spark):
     assert repeats.without_repeats(odd(spark)).count() == len(ODD) and repeats.without_repeats(empty(spark)).count() == 0
 
 
+def test_repeats_of_hot_anchors(monkeypatch):
+    """Lots that cut an anchor's contexts give the windows that all of them at once give."""
+    rng = np.random.default_rng(8)
+    texts = ["".join(rng.choice(["ab", "ba"], int(rng.integers(6, 9)))) + "one anchor that every context has " + "".join(rng.choice(list("ab"), 4)) for _ in range(400)]
+    rows = [(int(a), i, 7 << 31, t.encode()) for i, (t, a) in enumerate(zip(texts, rng.integers(0, 3, 400) // 2, strict=True)) if len(t) >= 50]
+    pdf = pd.DataFrame(rows, columns=["a", "doc_id", "place", "context"]).sort_values("a", kind="stable", ignore_index=True)
+    first, want = {}, set()
+    for a, key, _, b in rows:
+        for j in range(len(b) - 49):
+            if first.setdefault((a, b[j : j + 50]), key) < key:
+                want.add((key, j))
+    for lot in (20, 90, 1000):
+        monkeypatch.setattr(repeats, "SORTED", lot)
+        out = pd.concat(list(repeats._sorted_windows(pdf.iloc[i : i + 15] for i in range(0, len(pdf), 15))))
+        hot = out[out["window"].notna()].sort_values(["window", "doc_id"], ignore_index=True)
+        assert (len(hot) > 0) == (lot < 1000)
+        more = list(repeats._shared_windows(hot.iloc[i : i + 7] for i in range(0, len(hot), 7)))
+        got = pd.concat([out[out["window"].isna()][["doc_id", "place"]], *more])
+        assert {(int(d), int(p) & 0x7FFFFFFF) for d, p in got.itertuples(index=False)} == want and len(want) > 50
+
+
 def test_quotes(spark):
     rows = [(1, 0, "user", "Hello there.\nHow are you?\nFine day"), (1, 1, "assistant", "> How are you?\nGood."), (1, 2, "user", ">> How are you?\n> Good.\nNice"), (1, 3, None, None), (None, 0, "user", "> x"), (1, 1, "assistant", "> How are you?\nGood.")]
     got = sorted(((r.conv_id, r.turn, r.thread, r.parent, r.depth, r.n_quotes, r.body) for r in quotes.link(spark.createDataFrame([(*r, 0) for r in rows], "conv_id long, turn long, role string, text string, depth int")).collect()), key=str)
