@@ -351,8 +351,11 @@ def test_repeats(spark):
 def test_repeats_of_hot_anchors(monkeypatch):
     """Lots that cut an anchor's contexts give the windows that all of them at once give."""
     rng = np.random.default_rng(8)
-    texts = ["".join(rng.choice(["ab", "ba"], int(rng.integers(6, 9)))) + "one anchor that every context has " + "".join(rng.choice(list("ab"), 4)) for _ in range(400)]
-    rows = [(int(a), i, 7 << 31, t.encode()) for i, (t, a) in enumerate(zip(texts, rng.integers(0, 3, 400) // 2, strict=True)) if len(t) >= 50]
+    rows, side = [], lambda words, n: "".join(rng.choice(words, n))
+    for i, a in enumerate(rng.integers(0, 3, 400) // 2):
+        text = side(["ab", "ba"], int(rng.integers(6, 9))) + f"one anchor {a} for all the contexts  " + side(["a", "b"], 4)
+        if len(text) >= 50:
+            rows.append((int(a), i, 7 << 31, text.encode()))
     pdf = pd.DataFrame(rows, columns=["a", "doc_id", "place", "context"]).sort_values("a", kind="stable", ignore_index=True)
     first, want = {}, set()
     for a, key, _, b in rows:
