@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dyadlake.llm.centroids import ORACLE as CENTROIDS_SQL
+from dyadlake.llm.centroids import op13_centroid_clusters
 from dyadlake.llm.decontaminate import op1_decontaminate
 from dyadlake.llm.language import op7_language_id
 from dyadlake.llm.minhash import ORACLE as MINHASH_SQL
@@ -25,6 +27,10 @@ QUERIES = {
     "op8_token_codes": op8_token_codes,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quote_links": op10_quote_links,
+    "op13_centroid_clusters": op13_centroid_clusters,
 }
 
-ORACLES = {"op3_minhash_near_duplicates": MINHASH_SQL}
+ORACLES = {
+    "op3_minhash_near_duplicates": MINHASH_SQL,
+    "op13_centroid_clusters": CENTROIDS_SQL,
+}
