@@ -5,6 +5,8 @@ from __future__ import annotations
 from dyadlake.llm.centroids import ORACLE as CENTROIDS_SQL
 from dyadlake.llm.centroids import op13_centroid_clusters
 from dyadlake.llm.decontaminate import op1_decontaminate
+from dyadlake.llm.filters import ORACLE as FILTERS_SQL
+from dyadlake.llm.filters import op12_filter_audit
 from dyadlake.llm.language import op7_language_id
 from dyadlake.llm.minhash import ORACLE as MINHASH_SQL
 from dyadlake.llm.minhash import op3_minhash_near_duplicates
@@ -27,10 +29,13 @@ QUERIES = {
     "op8_token_codes": op8_token_codes,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quote_links": op10_quote_links,
+    "op12_filter_audit": op12_filter_audit,
     "op13_centroid_clusters": op13_centroid_clusters,
 }
 
 ORACLES = {
     "op3_minhash_near_duplicates": MINHASH_SQL,
+    "op12_filter_audit": op12_filter_audit,
+    "op12_filter_audit": FILTERS_SQL,
     "op13_centroid_clusters": CENTROIDS_SQL,
 }
