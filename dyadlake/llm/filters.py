@@ -58,7 +58,8 @@ def prefixes(docs: DataFrame, reach: int, heavy: DataFrame | None = None) -> Dat
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(text.alias("text"))
     if heavy is not None:
-        rows = rows.join(heavy, F.substring("text", 1, reach // 4) == F.col("short"), "left_semi")
+        # at most one heavy prefix for each share of all bytes
+        rows = rows.join(F.broadcast(heavy), F.substring("text", 1, reach // 4) == F.col("short"), "left_semi")
     narrow = rows.select(F.substring("text", 1, reach).alias("prefix"), F.xxhash64("text").alias("h"), F.octet_length("text").alias("b"))
     # copies of a text count once, as each task sends it once
     return narrow.groupBy("prefix", "h").agg(F.max("b").alias("b")).groupBy("prefix").agg(F.sum("b").alias("bytes"))

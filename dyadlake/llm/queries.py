@@ -17,6 +17,8 @@ from dyadlake.llm.repeats import op9_suffix_dedup
 from dyadlake.llm.secrets import op2_secret_scan
 from dyadlake.llm.segmentations import op5_sampled_pieces
 from dyadlake.llm.tokens import op8_token_codes
+from dyadlake.llm.vectors import ORACLE as VECTORS_SQL
+from dyadlake.llm.vectors import op11_embedding_near_duplicates
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
@@ -29,13 +31,16 @@ QUERIES = {
     "op8_token_codes": op8_token_codes,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quote_links": op10_quote_links,
+    "op11_embedding_near_duplicates": op11_embedding_near_duplicates,
     "op12_filter_audit": op12_filter_audit,
     "op13_centroid_clusters": op13_centroid_clusters,
 }
 
 ORACLES = {
     "op3_minhash_near_duplicates": MINHASH_SQL,
+    "op11_embedding_near_duplicates": op11_embedding_near_duplicates,
     "op12_filter_audit": op12_filter_audit,
+    "op11_embedding_near_duplicates": VECTORS_SQL,
     "op12_filter_audit": FILTERS_SQL,
     "op13_centroid_clusters": CENTROIDS_SQL,
 }
