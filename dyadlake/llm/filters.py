@@ -32,6 +32,7 @@ from dyadlake.llm import common
 from dyadlake.llm.tries import RadixTrie, common_prefix
 
 FILTERS = "ABCDE"
+FIRST = 4096  # code points of a task's first prefix that may be a start as a whole
 REACH = 64  # code points of a text that the first look at prefixes takes
 RANGE_BYTES = 64 << 20  # of distinct texts in one range at most, but for a single text
 _CAPITALS, _FOLLOWING = bytes(range(65, 91)), bytes(range(0x80, 0xC0))
@@ -66,16 +67,19 @@ def prefixes(docs: DataFrame, reach: int, heavy: DataFrame | None = None) -> Dat
 
 
 def cuts(rows: DataFrame, share: int) -> list[bytes]:
-    """Where ranges of about `share` bytes begin, from (prefix, bytes): at most two for each share and one for each task.
+    """Where ranges of up to `share` bytes begin, from (prefix, bytes): at most two for each share and one for each task.
 
-    Prefixes are dealt to tasks by range and in order; each task cuts its own part of the order.
+    Prefixes are dealt to tasks by range and in order; each task cuts its own part of the order. Its first
+    prefix begins a range too, unless it is very long: then two shares may meet there.
     """
 
     def run(batches):
         total, before, out = 0, None, []
         for batch in batches:
             for now, size in zip(batch.column("prefix").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
-                if before is not None and total and total + size > share:
+                if before is None and len(now) <= 4 * FIRST:
+                    out.append(now)
+                elif before is not None and total and total + size > share:
                     out.append(now[: common_prefix(before, 0, now, 0, min(len(before), len(now))) + 1])
                     total = 0
                 before, total = now, total + size

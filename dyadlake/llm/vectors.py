@@ -3,11 +3,10 @@
 Rows with the same label and the same vector are one class, counted before anything is shuffled. The
 classes of a label are dealt to shards of about SHARD by hash, each with a graph of its own. Every
 shard's vectors are asked of every shard of their label, in tasks of two shards, both ways; what
-either way finds counts. A task's audit compares the answers with all similarities of a sample
-of its queries, and with each other: the links that both ways would miss, as the links found one
-way only tell. It widens the beam and asks again until no link of the sample is missing, nine in ten nearest
-vectors were seen, and less than half a link is expected to be missing; beyond WIDE the beam is the
-whole shard, so the audit always ends. Each link is confirmed by the cosine in double precision. Tasks return
+either way finds counts. A task's audit compares the answers to a sample of its queries with all their
+similarities and widens the beam until no link is missing and nine in ten nearest vectors were seen. When all
+were asked, links found one way only tell how many both ways miss; from half a link on the
+widest beam asks again. Beyond WIDE the beam is the whole shard, so the audit always ends. Each link is confirmed by the cosine in double precision. Tasks return
 a row for each class that has links (how many, and one vector that it is connected with), not pairs; those rows are united
 to components. Work grows with the shards' pairs within a label, as asking every shard does.
 
@@ -67,40 +66,41 @@ class Shard:
             return cls(z["reps"], z["rows"], z["vectors"], world)
 
 
-def asked(queries: World, of: World, least: float, width: int, sample: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(near, seen by the sample) of all queries."""
-    near, seen = np.zeros((len(queries.x), len(of.x)), bool), np.zeros((len(sample), len(of.x)), bool)
-    for lo in range(0, len(queries.x), ASKED):
-        part = slice(lo, lo + ASKED)
-        near[part], met = of.within(queries.x[part], least, width)
-        mine = (sample >= lo) & (sample < lo + ASKED)
-        seen[mine] = met[sample[mine] - lo]
-    return near, seen
+def asked(queries: World, of: World, least: float, width: int) -> np.ndarray:
+    """Whether each query (row) found each node (column) near."""
+    parts = [of.within(queries.x[lo : lo + ASKED], least, width)[0] for lo in range(0, len(queries.x), ASKED)]
+    return np.concatenate(parts) if parts else np.zeros((0, len(of.x)), bool)
 
 
-def linked(a: World, b: World | None, least: float, width: int = BEAM) -> tuple[np.ndarray, int]:
-    """(links between a and b as a matrix, the beam that passed the audit); b is None for the links within a."""
+def linked(a: World, b: World | None, least: float, beam: int = BEAM) -> tuple[np.ndarray, int]:
+    """(links between a and b as a matrix, the beam that passed the audit); b is None for the links within a.
+
+    The sample alone is asked with wider and wider beams until it passes; then all are asked, both ways, and if what
+    the two ways tell of each other is too little, once more with the widest.
+    """
     alone, b = b is None, b or a
-    pick = lambda n: np.random.default_rng(n).permutation(n)[:SAMPLE]
-    ways = [(a, b, pick(len(a.x)))] if alone else [(a, b, pick(len(a.x))), (b, a, pick(len(b.x)))]
-    while True:
-        answers = [asked(q, of, least, width, sample) for q, of, sample in ways]
-        one, two = answers[0][0], answers[-1][0].T
-        both = one | two
-        if width >= max(len(a.x), len(b.x)):
-            break
-        missed, met, nearest = 0, 0, 0
-        for (q, of, sample), (_, seen), found in zip(ways, answers, (both, both.T), strict=False):
+    whole = max(len(a.x), len(b.x))
+    ways = [(a, b)] if alone else [(a, b), (b, a)]
+    missed, width = True, beam
+    while missed and width < whole:
+        missed = False
+        for q, of in ways:
+            sample = np.random.default_rng(len(q.x)).permutation(len(q.x))[:SAMPLE]
             sims = q.x[sample] @ of.x.T
+            near, seen = of.within(q.x[sample], least, width)
             if alone:
                 sims[np.arange(len(sample)), sample] = -np.inf
-            missed += int(((sims >= least) & ~found[sample]).sum())
-            met += int(seen[np.arange(len(sample)), sims.argmax(axis=1)].sum())
-            nearest += len(sample)
-        twice, once = int((one & two).sum()), (int((one & ~two).sum()), int((two & ~one).sum()))
-        if not missed and met >= 0.9 * nearest and once[0] * once[1] < 0.5 * max(1, twice):
+            met = seen[np.arange(len(sample)), sims.argmax(axis=1)].mean()
+            missed |= bool(((sims >= least) & ~near).any()) or met < 0.9
+        if missed:
+            width = 2 * width if width < WIDE else whole
+    while True:
+        one = asked(a, b, least, width)
+        two = one.T if alone else asked(b, a, least, width).T
+        both, twice, once = one | two, int((one & two).sum()), int((one & ~two).sum()) * int((two & ~one).sum())
+        if width >= whole or once < 0.5 * max(1, twice):
             break
-        width = 2 * width if width < WIDE else max(len(a.x), len(b.x))
+        width = whole
     if alone:
         np.fill_diagonal(both, False)
     return both, width
