@@ -1,25 +1,20 @@
-"""Pairs of users: assembly of features and targets, eligibility, candidate pools."""
+"""Pairs of users: assembly of features and targets, entitlement; candidate pools are in pools and geo."""
 
 from __future__ import annotations
 
 from datetime import datetime
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dyadlake.functions import scalar as S
 from dyadlake.operators import events as E
 from dyadlake.operators import stats as A
-from dyadlake.schema import EVENT_TYPES
+from dyadlake.operators.geo import within_radius
+from dyadlake.operators.pools import POOL, eligible, eligible_candidates, symmetric_blocks
+from dyadlake.sources.shared import cut
 
-POOL = 2000
-SPARE, STEP = 100, 1000
-
-
-def eligible(users: DataFrame) -> DataFrame:
-    """Users that are known to be neither a bot nor banned."""
-    return users.where("is_bot = false AND is_banned = false")
+__all__ = ["POOL", "assemble", "eligible", "eligible_candidates", "entitled_users", "labels", "symmetric_blocks", "within_radius"]
 
 
 def labels() -> list[F.Column]:
@@ -49,8 +44,8 @@ def assemble(t: dict[str, DataFrame], windows: DataFrame) -> DataFrame:
     Every side table is aggregated to its key before it is joined, so all joins are equi-joins that keep
     the number of rows; counts that are missing are 0.
     """
-    # the log is aggregated once; all side tables come from these pair rows, which Spark keeps (and recomputes if they are lost)
-    stats = A.pair_stats(E.windowed_log(t, windows)).persist()
+    # the log is aggregated once; all side tables come from these pair rows, written to the shared folder
+    stats = cut(A.pair_stats(E.windowed_log(t, windows)))
     history, outcome = A.part(stats, "h_"), A.part(stats, "o_")
     keys = stats.where("o_profile_view_count > 0").select("cutoff_at", F.col("actor_id").alias("viewer_id"), F.col("target_id").alias("candidate_id"))
     people = eligible(t["users"]).drop("is_bot", "is_banned")
@@ -78,73 +73,6 @@ def assemble(t: dict[str, DataFrame], windows: DataFrame) -> DataFrame:
     return rows.withColumns(extra).select("*", *labels())
 
 
-def symmetric_blocks(blocks: DataFrame) -> DataFrame:
-    """(viewer_id, candidate_id) in both directions of every block."""
-    one, two = F.col("blocker_user_id"), F.col("blocked_user_id")
-    both = F.array(F.struct(one.alias("viewer_id"), two.alias("candidate_id")), F.struct(two.alias("viewer_id"), one.alias("candidate_id")))
-    return blocks.select(F.explode(both).alias("p")).select("p.*").distinct()
-
-
-def eligible_candidates(viewers: DataFrame, users: DataFrame, settings: DataFrame, blocks: DataFrame, limit: int = POOL, located: bool = False) -> DataFrame:
-    """(viewer_id, candidate_id, pool_rank): the most recently seen candidates of each viewer.
-
-    Everyone shares one order of recency, so a viewer without more than SPARE blocks needs none beyond its first
-    limit + SPARE + 1 rows: that prefix, whose size the parameters fix, is broadcast. Viewers with more blocks meet
-    as many blocks of STEP rows of the order as their own number of blocks asks for. With located, viewers
-    that ask for their city or for a radius get candidates from there, by joins on city or grid cell, and the limit comes after.
-    """
-    hidden = settings.where("visible = false").select(F.col("user_id").alias("id"))
-    pool = eligible(users).join(hidden, "id", "left_anti").select(F.col("id").alias("candidate_id"), "last_seen_at", "city", "lat", "lon")
-    shut = symmetric_blocks(blocks)
-    newest = [F.desc_nulls_last("last_seen_at"), "candidate_id"]
-    who = viewers.select(F.col("id").alias("viewer_id"))
-    parts = []
-    if located:
-        asks = users.select(F.col("id").alias("viewer_id"), S.proximity_mode(F.col("into_proximity")).alias("mode"), S.proximity_metres(F.col("into_proximity")).alias("metres"), F.lower(F.trim("city")).alias("place"), "lat", "lon")
-        asks = who.join(asks, "viewer_id")
-        near = within_radius(asks.where("mode = 'radius'").select(F.col("viewer_id").alias("id"), "lat", "lon", "metres"), pool.withColumnRenamed("candidate_id", "id"))
-        parts.append(near.join(pool.select("candidate_id", "last_seen_at"), "candidate_id").select("viewer_id", "candidate_id", "last_seen_at"))
-        # of each city as many as the viewer with most blocks may need
-        most = shut.groupBy("viewer_id").count().agg(F.max("count")).first()[0] or 0
-        city = pool.withColumn("place", F.lower(F.trim("city"))).where("place <> ''")
-        city = E.first_by(city, ["place"], newest, limit + most + 1)
-        parts.append(asks.where("mode = 'city' AND place <> ''").join(city, "place").select("viewer_id", "candidate_id", "last_seen_at"))
-        who = asks.where("mode = 'any'").select("viewer_id")
-    own = shut.groupBy("viewer_id").agg(F.count("*").alias("shut_n")).where(F.col("shut_n") > SPARE)
-    prefix = pool.orderBy(*newest).limit(limit + SPARE + 1).select("candidate_id", "last_seen_at")
-    parts.append(who.join(own, "viewer_id", "left_anti").crossJoin(F.broadcast(prefix)))
-    deep = own.agg(F.max("shut_n")).first()[0]
-    if deep:
-        order = pool.orderBy(*newest).limit(limit + deep + 1).withColumn("at", F.row_number().over(W.orderBy(*newest)) - 1)
-        order = order.select("candidate_id", "last_seen_at", F.floor(F.col("at") / STEP).alias("step"))
-        asked = who.join(own, "viewer_id").select("viewer_id", F.explode(F.sequence(F.lit(0), F.floor((F.col("shut_n") + limit + 1) / STEP))).alias("step"))
-        parts.append(asked.join(order, "step").select("viewer_id", "candidate_id", "last_seen_at"))
-    pairs = parts[0]
-    for p in parts[1:]:
-        pairs = pairs.unionByName(p)
-    pairs = pairs.where("viewer_id <> candidate_id").join(shut, ["viewer_id", "candidate_id"], "left_anti")
-    ranked = pairs.withColumn("pool_rank", F.row_number().over(W.partitionBy("viewer_id").orderBy(*newest)))
-    return ranked.where(F.col("pool_rank") <= limit).select("viewer_id", "candidate_id", "pool_rank")
-
-
-def within_radius(viewers: DataFrame, others: DataFrame, cell_degrees: float = 5.0) -> DataFrame:
-    """Pairs of viewers (id, lat, lon, metres) and others (id, lat, lon) within each viewer's radius.
-
-    Viewers are sent to the grid cells that their radius touches (more columns of cells near the poles), so
-    the join is on cells and the exact distance only filters.
-    """
-    v = viewers.where("lat IS NOT NULL AND lon IS NOT NULL AND metres IS NOT NULL").withColumn("reach", F.col("metres") / 111_000.0 + 0.01)
-    wide = F.when(F.abs("lat") + F.col("reach") >= 89, 180.0).otherwise(F.least(F.lit(180.0), F.col("reach") / F.cos(F.radians(F.abs("lat") + F.col("reach")))))
-    row = lambda x: F.floor(x / cell_degrees)
-    columns = int(360 / cell_degrees)
-    v = v.withColumn("wide", wide).withColumn("cy", F.explode(F.sequence(row(F.col("lat") - F.col("reach")), row(F.col("lat") + F.col("reach")))))
-    v = v.withColumn("cx", F.explode(F.array_distinct(F.transform(F.sequence(row(F.col("lon") - F.col("wide")), row(F.col("lon") + F.col("wide"))), lambda x: F.pmod(x, F.lit(columns))))))
-    o = others.where("lat IS NOT NULL AND lon IS NOT NULL").select(F.col("id").alias("candidate_id"), F.col("lat").alias("olat"), F.col("lon").alias("olon"), row(F.col("lat")).alias("cy"), F.pmod(row(F.col("lon")), F.lit(columns)).alias("cx"))
-    km = S.distance_km(F.col("lat"), F.col("lon"), F.col("olat"), F.col("olon"))
-    near = v.join(o, ["cy", "cx"]).withColumn("distance_km", km)
-    return near.where((F.col("id") != F.col("candidate_id")) & (F.col("distance_km") * 1000 <= F.col("metres"))).select(F.col("id").alias("viewer_id"), "candidate_id", "distance_km")
-
-
 def entitled_users(users: DataFrame, subscriptions: DataFrame, grants: DataFrame, now: datetime) -> DataFrame:
     """Users with an active plus subscription or a running grant."""
     t = E.ntz(now)
