@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from dyadlake.operators.order import running_sums
 
-BINS = 1024
 #: Targets whose rates among the shown rows are reported.
 TRACKED = ["favorite", "message_started", "reciprocal_message", "block", "report"]
 
@@ -26,32 +26,23 @@ def binary_metrics(rows: DataFrame) -> DataFrame:
     return rows.groupBy("target").agg(n.alias("n_rows"), p.alias("positives"), (p / n).alias("positive_rate"), (F.count_if(hit == pos) / n).alias("accuracy"), part(tp, F.count_if(hit)).alias("precision"), part(tp, p).alias("recall"))
 
 
-def _binned(rows: DataFrame, sums: dict[str, F.Column]) -> DataFrame:
-    """rows with the score's bin and what lies in higher bins; sums before a bin come from at most BINS rows a target, so no task orders a whole target."""
-    bin_ = F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor(F.col("score") * BINS))).cast("int")
-    rows = rows.withColumn("bin", F.coalesce(bin_, F.lit(-1)))
-    per = rows.groupBy("target", "bin").agg(*(F.sum(v).alias(k) for k, v in sums.items()))
-    above = W.partitionBy("target").orderBy(F.desc("bin")).rowsBetween(W.unboundedPreceding, -1)
-    return rows.join(per.select("target", "bin", *(F.coalesce(F.sum(k).over(above), F.lit(0)).alias(f"{k}_above") for k in sums)), ["target", "bin"])
-
-
 def roc_auc(rows: DataFrame) -> DataFrame:
-    """Rank-sum AUC with mean ranks for ties: rows are folded to distinct scores before they are ordered, bin by bin."""
+    """Rank-sum AUC with mean ranks for ties: rows are folded to distinct scores, which are ranked over range partitions."""
     fold = rows.groupBy("target", "score").agg(F.count("*").alias("n"), F.sum("label").alias("p"))
-    own = F.sum("n").over(W.partitionBy("target", "bin").orderBy(F.desc("score"))) - F.col("n")
-    ranked = _binned(fold, {"n": F.col("n")}).withColumn("worse", F.col("n_above") + own + (F.col("n") + 1) / 2)  # mean rank from the top
-    out = ranked.groupBy("target").agg(F.sum(F.col("p") * F.col("worse")).alias("s"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    ranked = running_sums(fold, ["target"], [F.desc("score")], ["n"])
+    worse = F.col("n_upto") - F.col("n") + (F.col("n") + 1) / 2  # mean rank from the top
+    out = ranked.groupBy("target").agg(F.sum(F.col("p") * worse).alias("s"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     total = F.col("p") * (F.col("n") + 1) - F.col("s")
     auc = (total - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * (F.col("n") - F.col("p")))
     return out.select("target", F.when((F.col("p") > 0) & (F.col("p") < F.col("n")), auc).alias("auc"))
 
 
 def average_precision(rows: DataFrame) -> DataFrame:
-    """Mean precision at the positives; ties in order of viewer and candidate."""
-    w = W.partitionBy("target", "bin").orderBy(F.desc("score"), "viewer_id", "candidate_id")
-    run = _binned(rows, {"n": F.lit(1), "p": F.col("label")})
-    run = run.select("target", "label", (F.col("n_above") + F.row_number().over(w)).alias("k"), (F.col("p_above") + F.sum("label").over(w.rowsBetween(W.unboundedPreceding, 0))).alias("hits"))
-    return run.groupBy("target").agg((F.sum(F.when(F.col("label") == 1, F.col("hits") / F.col("k"))) / F.when(F.sum("label") > 0, F.sum("label"))).alias("average_precision"))
+    """Mean precision at the positives; ties in order of viewer and candidate. Rows are ranked over range partitions."""
+    rows = rows.select("target", "viewer_id", "candidate_id", "score", "label", F.lit(1).alias("n"))
+    run = running_sums(rows, ["target"], [F.desc("score"), F.col("viewer_id"), F.col("candidate_id")], ["n", "label"])
+    precision = F.sum(F.when(F.col("label") == 1, F.col("label_upto") / F.col("n_upto")))
+    return run.groupBy("target").agg((precision / F.when(F.sum("label") > 0, F.sum("label"))).alias("average_precision"))
 
 
 def ranking_metrics(rows: DataFrame, k: int = 20) -> DataFrame:

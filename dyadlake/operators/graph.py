@@ -7,57 +7,38 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dyadlake.functions import scalar as S
+from dyadlake.operators import events as E
+from dyadlake.operators.order import running_sums
+from dyadlake.operators.peers import shared_of, similarity_of, top_peers
+from dyadlake.sources.shared import cut
 
 MOST_EDGES, MOST_PEERS = 100, 50
+#: What each feature adds to the retrieval score.
+RETRIEVAL = {"direct": 0.3, "reverse": 0.15, "two_hop": 0.15, "shared": 0.1, "similarity": 0.1, "collaborative": 0.1, "community": 0.05, "novelty": 0.05}
 
 
-def build_edges(signals: DataFrame, most: int | None = MOST_EDGES) -> DataFrame:
-    """(src, dst, w, d): the heaviest edges of each user; d = 1 - exp(-w / 5).
-
-    The limit on out-edges is part of the definition: it bounds every two-hop join. None keeps all edges.
-    """
-    w = W.partitionBy("actor_id").orderBy(F.desc("raw"), "target_id")
+def build_edges(signals: DataFrame) -> DataFrame:
+    """(src, dst, w, d): all edges; d = 1 - exp(-w / 5)."""
     top = signals.where("horizon = 'long'")
-    if most is not None:
-        top = top.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most)
     return top.select(F.col("actor_id").alias("src"), F.col("target_id").alias("dst"), F.col("raw").alias("w"), (1 - F.exp(-F.col("raw") / 5)).alias("d"))
 
 
+def heaviest(edges: DataFrame, most: int = MOST_EDGES) -> DataFrame:
+    """The heaviest edges of each user, ties by target: what two-hop paths go along, by their definition."""
+    return E.first_by(edges, ["src"], [F.desc("w"), "dst"], most)
+
+
 def two_hop(edges: DataFrame) -> DataFrame:
-    """(src, dst, two_hop, paths) over one user in between."""
+    """(src, dst, two_hop, paths) over one user in between, along the heaviest edges of each."""
+    edges = heaviest(edges)
     a, b = edges.select("src", F.col("dst").alias("m"), F.col("d").alias("d1")), edges.select(F.col("src").alias("m"), "dst", F.col("d").alias("d2"))
     x = F.sum(F.col("d1") * F.col("d2"))
     return a.join(b, "m").where("src <> dst AND m <> src AND m <> dst").groupBy("src", "dst").agg((x / (1 + x)).alias("two_hop"), F.count("*").alias("paths"))
 
 
-def _peers(edges: DataFrame, block: int = 1000) -> DataFrame:
-    """Pairs of users with a common target, by target; a target with more than block in-edges is joined in several parts."""
-    blocks = edges.groupBy("dst").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    rows = edges.join(blocks, "dst")
-    a = rows.select(F.col("src").alias("u"), "dst", F.col("w").alias("wu"), F.pmod(F.xxhash64("src"), "blocks").cast("int").alias("part"))
-    b = rows.select(F.col("src").alias("v"), "dst", F.col("w").alias("wv"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
-    return a.join(b, ["dst", "part"]).where("u <> v").drop("part")
-
-
-def shared_neighbours(edges: DataFrame) -> DataFrame:
-    """(src, dst, shared): Adamic-Adar over common targets."""
-    indegree = edges.groupBy("dst").agg(F.count("*").alias("n"))
-    x = F.sum(1 / F.log(1 + F.col("n")))
-    return _peers(edges).join(indegree, "dst").groupBy(F.col("u").alias("src"), F.col("v").alias("dst")).agg((x / (1 + x)).alias("shared"))
-
-
-def similarity(edges: DataFrame) -> DataFrame:
-    """(src, dst, similarity): cosine of out-edge weights."""
-    norm = edges.groupBy("src").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = _peers(edges).groupBy("u", "v").agg(F.sum(F.col("wu") * F.col("wv")).alias("dot"))
-    both = dots.join(norm.select(F.col("src").alias("u"), F.col("norm").alias("nu")), "u").join(norm.select(F.col("src").alias("v"), F.col("norm").alias("nv")), "v")
-    return both.select(F.col("u").alias("src"), F.col("v").alias("dst"), F.least(F.lit(1.0), F.col("dot") / (F.col("nu") * F.col("nv"))).alias("similarity"))
-
-
-def collaborative(edges: DataFrame, similar: DataFrame, most: int = MOST_PEERS) -> DataFrame:
-    """(src, dst, collaborative, support) from each user's most similar peers."""
-    order = W.partitionBy("src").orderBy(F.desc(F.round("similarity", 9)), "dst")
-    peers = similar.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).select("src", F.col("dst").alias("peer"), "similarity")
+def collaborative(edges: DataFrame, peers: DataFrame) -> DataFrame:
+    """(src, dst, collaborative, support) from each user's most similar peers (src, dst, similarity)."""
+    peers = peers.select("src", F.col("dst").alias("peer"), "similarity")
     total = peers.groupBy("src").agg(F.sum("similarity").alias("total"))
     reached = peers.join(edges.select(F.col("src").alias("peer"), "dst", "d"), "peer").where("src <> dst")
     sums = reached.groupBy("src", "dst").agg(F.sum(F.col("similarity") * F.col("d")).alias("x"), F.count("*").alias("support"))
@@ -81,14 +62,22 @@ def community(whole: DataFrame, users: DataFrame) -> DataFrame:
 def novelty(whole: DataFrame) -> DataFrame:
     """(dst, novelty): one minus the percent rank of in-weights, ranked over their distinct values (whole hundredths)."""
     weight = whole.groupBy("dst").agg(F.sum(F.round(F.col("w") * 100).cast("long")).alias("inw"))
-    fold = weight.groupBy("inw").agg(F.count("*").alias("n"))
-    fold = fold.select("inw", (F.sum("n").over(W.orderBy("inw")) - F.col("n")).alias("below"), F.sum("n").over(W.partitionBy()).alias("all"))
+    fold = running_sums(weight.groupBy("inw").agg(F.count("*").alias("n")), [], [F.col("inw")], ["n"])
+    fold = fold.select("inw", (F.col("n_upto") - F.col("n")).alias("below")).crossJoin(F.broadcast(weight.agg(F.count("*").alias("all"))))
     return weight.join(fold, "inw").select("dst", F.when(F.col("all") > 1, 1 - F.col("below") / (F.col("all") - 1)).otherwise(1.0).alias("novelty"))
 
 
 def merged(rows: DataFrame, features: DataFrame) -> DataFrame:
-    """rows (viewer_id, candidate_id) with the features of their pairs; a pair without features has nulls."""
-    return rows.join(features.withColumnsRenamed({"src": "viewer_id", "dst": "candidate_id"}), ["viewer_id", "candidate_id"], "left")
+    """rows (viewer_id, candidate_id) with the features of their pairs, one to one.
+
+    A pair that features hold twice is an error, raised by the task that meets it; a pair without features has nulls.
+    """
+    pair = ["viewer_id", "candidate_id"]
+    named = features.withColumnsRenamed({"src": "viewer_id", "dst": "candidate_id"})
+    values = [c for c in named.columns if c not in pair]
+    one = named.groupBy(*pair).agg(F.count("*").alias("_n"), F.first(F.struct(*values)).alias("_f"))
+    once = F.when(F.col("_n") > 1, F.raise_error(F.format_string("features of the pair (%s, %s) are there %s times", *pair, "_n"))).otherwise(F.col("_f"))
+    return rows.join(one, pair, "left").withColumn("_f", once).select(*rows.columns, *(F.col(f"_f.{c}").alias(c) for c in values))
 
 
 def merge_contract(rows: DataFrame, features: DataFrame) -> DataFrame:
@@ -98,29 +87,33 @@ def merge_contract(rows: DataFrame, features: DataFrame) -> DataFrame:
     return both.agg(F.count("*").alias("pairs"), F.count_if(F.col("n") > 1).alias("repeated"), F.count_if(F.col("n").isNull()).alias("missing"))
 
 
-def pair_features(edges: DataFrame, whole: DataFrame | None = None, users: DataFrame | None = None) -> DataFrame:
-    """Features of every pair that any of them reaches, with the retrieval score; direct and reverse are read from whole, all edges.
+def pair_features(edges: DataFrame, users: DataFrame | None = None) -> DataFrame:
+    """Features and retrieval score of every pair with an edge either way, a two-hop path, a close peer or one that a peer leads to.
 
-    Without users there is no position, and the community share is 0.
+    Shared neighbours and similarity are exact for these pairs; pairs that only share a target, without being among the
+    MOST_PEERS closest, are not made. Without users there is no position, and the community share is 0.
     """
-    whole = edges if whole is None else whole
-    similar = similarity(edges)
-    direct = whole.select("src", "dst", F.col("d").alias("direct"))
-    parts = [direct, direct.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("direct").alias("reverse")), two_hop(edges), shared_neighbours(edges), similar, collaborative(edges, similar)]
-    # one shuffle on the pair instead of five outer joins
-    names = ["direct", "reverse", "two_hop", "paths", "shared", "similarity", "collaborative", "support"]
+    peers = cut(top_peers(edges, MOST_PEERS))
+    direct = edges.select("src", "dst", F.col("d").alias("direct"))
+    swapped = direct.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("direct").alias("reverse"))
+    parts = [direct, swapped, two_hop(edges), collaborative(edges, peers), peers.select("src", "dst")]
+    # one shuffle on the pair instead of outer joins
+    names = ["direct", "reverse", "two_hop", "paths", "collaborative", "support"]
     rows = None
     for p in parts:
         p = p.select("src", "dst", *((F.col(n) if n in p.columns else F.lit(None)).cast("double").alias(n) for n in names))
         rows = p if rows is None else rows.unionByName(p)
     wide = rows.groupBy("src", "dst").agg(*(F.coalesce(F.max(n), F.lit(0.0)).alias(n) for n in names))
-    wide = wide.join(novelty(whole), "dst", "left").withColumn("novelty", F.coalesce("novelty", F.lit(1.0)))
+    wide = cut(wide)
+    for of in (shared_of(wide, edges), similarity_of(wide, edges)):
+        wide = wide.join(of, ["src", "dst"], "left").fillna(0.0, [of.columns[-1]])
+    wide = wide.join(novelty(edges), "dst", "left").withColumn("novelty", F.coalesce("novelty", F.lit(1.0)))
     if users is None:
         wide = wide.withColumn("community", F.lit(0.0))
     else:
         wide = wide.join(users.select(F.col("id").alias("dst"), S.token(F.col("position")).alias("position")), "dst", "left")
-        wide = wide.join(community(whole, users), ["src", "position"], "left").drop("position").withColumn("community", F.coalesce("community", F.lit(0.0)))
-    score = 0.3 * F.col("direct") + 0.15 * F.col("reverse") + 0.15 * F.col("two_hop") + 0.1 * F.col("shared") + 0.1 * F.col("similarity") + 0.1 * F.col("collaborative") + 0.05 * F.col("community") + 0.05 * F.col("novelty")
+        wide = wide.join(community(edges, users), ["src", "position"], "left").drop("position").withColumn("community", F.coalesce("community", F.lit(0.0)))
+    score = sum((x * F.col(c) for c, x in RETRIEVAL.items()), F.lit(0.0))
     return wide.withColumn("paths", F.col("paths").cast("long")).withColumn("support", F.col("support").cast("long")).withColumn("retrieval", score)
 
 

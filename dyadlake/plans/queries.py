@@ -17,6 +17,7 @@ from dyadlake.operators import prepare as PR
 from dyadlake.operators import products as PD
 from dyadlake.operators import ranking as R
 from dyadlake.operators import stats as A
+from dyadlake.operators.peers import shared_of, similarity_of, top_peers
 from dyadlake.plans import oracle as O
 from dyadlake.schema import AGE_BANDS, AGE_RANGES, HEIGHT_BANDS, HEIGHT_RANGES, TARGETS, WEIGHT_BANDS, WEIGHT_RANGES
 from dyadlake.sources.datasets import dataset_manifest
@@ -309,9 +310,17 @@ def affinity_contract(spark, sf_dir):
     return AF.contract(_both(spark, sf_dir), _FIELDS)
 
 
-_EDGES = "edges AS (SELECT actor_id AS src, target_id AS dst, raw AS w, 1 - exp(-raw / 5) AS d FROM (SELECT *, row_number() OVER (PARTITION BY actor_id ORDER BY raw DESC, target_id) AS r FROM signal WHERE horizon = 'long') WHERE r <= 100)"
+_EDGES = "edges AS (SELECT actor_id AS src, target_id AS dst, raw AS w, 1 - exp(-raw / 5) AS d FROM signal WHERE horizon = 'long')"
+_TWO = """th AS (SELECT src, dst, x / (1 + x) AS two_hop, paths FROM (
+  SELECT a.src, b.dst, sum(a.d * b.d) AS x, count(*) AS paths FROM top a JOIN top b ON a.dst = b.src WHERE a.src <> b.dst GROUP BY 1, 2))"""
+_TOP = "top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS r FROM edges) WHERE r <= 100)"
 _G = (O.LOG, O.ONE, O.SIGNAL, _EDGES)
-_PEER = "peers AS (SELECT x.src AS u, y.src AS v, x.dst, x.w AS wu, y.w AS wv FROM edges x JOIN edges y ON x.dst = y.dst AND x.src <> y.src)"
+_PEER = """vec AS (SELECT e.src, e.dst, CAST(round(w / n * 1000000) AS BIGINT) AS x FROM edges e JOIN (SELECT src, sqrt(sum(w * w)) AS n FROM edges GROUP BY 1) USING (src)),
+peers AS (SELECT x.src AS u, y.src AS v, x.dst, x.x AS xu, y.x AS xv FROM vec x JOIN vec y ON x.dst = y.dst AND x.src <> y.src)"""
+_SHARED = """sn AS (SELECT u AS src, v AS dst, x / (1 + x) AS shared FROM (
+  SELECT u, v, sum(1 / ln(1 + n)) AS x FROM peers JOIN (SELECT dst, count(*) AS n FROM edges GROUP BY 1) USING (dst) GROUP BY 1, 2))"""
+_SIMILAR = """si AS (SELECT u AS src, v AS dst, dot, least(1.0, dot / 1000000000000.0) AS similarity FROM (SELECT u, v, sum(xu * xv) AS dot FROM peers GROUP BY 1, 2)),
+cp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dot DESC, dst) AS r FROM si WHERE dot > 0) WHERE r <= 50)"""
 
 
 @register(O.sql(*_G, body="SELECT src, dst, round(w, 6) AS w, round(d, 6) AS d FROM edges"))
@@ -319,40 +328,49 @@ def graph_edges(spark, sf_dir):
     return _rounded(G.build_edges(_signal(spark, sf_dir)))
 
 
-@register(O.sql(*_G, body="SELECT src, dst, round(x / (1 + x), 6) AS two_hop, paths FROM (SELECT a.src, b.dst, sum(a.d * b.d) AS x, count(*) AS paths FROM edges a JOIN edges b ON a.dst = b.src WHERE a.src <> b.dst GROUP BY 1, 2)"))
+@register(O.sql(*_G, _TOP, _TWO, body="SELECT src, dst, round(two_hop, 6) AS two_hop, paths FROM th"))
 def graph_two_hop(spark, sf_dir):
     return _rounded(G.two_hop(G.build_edges(_signal(spark, sf_dir))))
 
 
-@register(O.sql(*_G, _PEER, body="SELECT u AS src, v AS dst, round(x / (1 + x), 6) AS shared FROM (SELECT u, v, sum(1 / ln(1 + n)) AS x FROM peers JOIN (SELECT dst, count(*) AS n FROM edges GROUP BY 1) USING (dst) GROUP BY 1, 2)"))
+def _exposed(spark, sf_dir):
+    return E.exposed_pairs(_events(spark, sf_dir)).select(F.col("viewer_id").alias("src"), F.col("candidate_id").alias("dst"))
+
+
+_OF_EXPOSED = "JOIN (SELECT DISTINCT viewer_id AS src, candidate_id AS dst FROM keys) USING (src, dst)"
+
+
+@register(O.sql(*_G, _PEER, _SHARED, O.STATS, body=f"SELECT src, dst, round(shared, 6) AS shared FROM sn {_OF_EXPOSED}"))
 def graph_shared_neighbours(spark, sf_dir):
-    return _rounded(G.shared_neighbours(G.build_edges(_signal(spark, sf_dir))))
+    """Of the exposed pairs, over all edges."""
+    return _rounded(shared_of(_exposed(spark, sf_dir), G.build_edges(_signal(spark, sf_dir))))
 
 
-@register(O.sql(*_G, _PEER, "nrm AS (SELECT src, sqrt(sum(w * w)) AS n FROM edges GROUP BY 1)", body="SELECT u AS src, v AS dst, round(least(1.0, dot / (a.n * b.n)), 6) AS similarity FROM (SELECT u, v, sum(wu * wv) AS dot FROM peers GROUP BY 1, 2) JOIN nrm a ON a.src = u JOIN nrm b ON b.src = v"))
+@register(O.sql(*_G, _PEER, _SIMILAR, O.STATS, body=f"SELECT src, dst, round(similarity, 6) AS similarity FROM si {_OF_EXPOSED}"))
 def graph_similarity(spark, sf_dir):
-    return _rounded(G.similarity(G.build_edges(_signal(spark, sf_dir))))
+    """Of the exposed pairs, over all edges."""
+    return _rounded(similarity_of(_exposed(spark, sf_dir), G.build_edges(_signal(spark, sf_dir))))
+
+
+@register(O.sql(*_G, _PEER, _SIMILAR, body="SELECT src, dst, round(similarity, 6) AS similarity FROM cp"))
+def graph_peers(spark, sf_dir):
+    """The 50 most similar users of each, over all edges."""
+    return _rounded(top_peers(G.build_edges(_signal(spark, sf_dir))))
 
 
 def _pair_features(spark, sf_dir):
-    signals = _signal(spark, sf_dir)
-    return G.pair_features(G.build_edges(signals), G.build_edges(signals, None), _users(spark, sf_dir))
+    return G.pair_features(G.build_edges(_signal(spark, sf_dir)), _users(spark, sf_dir))
 
 
 def _users(spark, sf_dir):
     return Inputs(spark, sf_dir).users
 
 
-_WHOLE = "whole AS (SELECT actor_id AS src, target_id AS dst, raw AS w, 1 - exp(-raw / 5) AS d FROM signal WHERE horizon = 'long')"
+_WHOLE = "whole AS (SELECT * FROM edges)"
 _FEATURES = (
-    O.LOG, O.USERS, O.ONE, O.SIGNAL, _EDGES, _WHOLE, _PEER,
-    "th AS (SELECT src, dst, x / (1 + x) AS two_hop, paths FROM (SELECT a.src, b.dst, sum(a.d * b.d) AS x, count(*) AS paths FROM edges a JOIN edges b ON a.dst = b.src WHERE a.src <> b.dst GROUP BY 1, 2))",
-    "sn AS (SELECT u AS src, v AS dst, x / (1 + x) AS shared FROM (SELECT u, v, sum(1 / ln(1 + n)) AS x FROM peers JOIN (SELECT dst, count(*) AS n FROM edges GROUP BY 1) USING (dst) GROUP BY 1, 2))",
-    "nrm AS (SELECT src, sqrt(sum(w * w)) AS n FROM edges GROUP BY 1)",
-    "si AS (SELECT u AS src, v AS dst, least(1.0, dot / (a.n * b.n)) AS similarity FROM (SELECT u, v, sum(wu * wv) AS dot FROM peers GROUP BY 1, 2) JOIN nrm a ON a.src = u JOIN nrm b ON b.src = v)",
-    "cp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(similarity, 9) DESC, dst) AS r FROM si) WHERE r <= 50)",
+    O.LOG, O.USERS, O.ONE, O.SIGNAL, _EDGES, _WHOLE, _TOP, _TWO, _PEER, _SHARED, _SIMILAR,
     "co AS (SELECT p.src, e.dst, sum(p.similarity * e.d) / any_value(t.total) AS collaborative, count(*) AS support FROM cp p JOIN edges e ON e.src = p.dst JOIN (SELECT src, sum(similarity) AS total FROM cp GROUP BY 1) t ON t.src = p.src WHERE p.src <> e.dst GROUP BY 1, 2)",
-    "every AS (SELECT src, dst FROM whole UNION SELECT dst, src FROM whole UNION SELECT src, dst FROM th UNION SELECT src, dst FROM sn UNION SELECT src, dst FROM si UNION SELECT src, dst FROM co)",
+    "every AS (SELECT src, dst FROM whole UNION SELECT dst, src FROM whole UNION SELECT src, dst FROM th UNION SELECT src, dst FROM cp UNION SELECT src, dst FROM co)",
     f"pos AS (SELECT id, {O.tok('position')} AS position FROM users)",
     "cm AS (SELECT w.src, p.position, sum(w.w) / any_value(t.total) AS community FROM whole w JOIN pos p ON p.id = w.dst JOIN (SELECT src, sum(w) AS total FROM whole GROUP BY 1) t ON t.src = w.src WHERE p.position IS NOT NULL GROUP BY 1, 2)",
     "nv AS (SELECT dst, 1 - percent_rank() OVER (ORDER BY round(inw * 100)) AS novelty FROM (SELECT dst, sum(w) AS inw FROM whole GROUP BY 1))",
@@ -377,7 +395,7 @@ def graph_candidates(spark, sf_dir):
 
 @register(O.sql(*_FEATURES, body="SELECT count(DISTINCT n) AS nodes, count(*) // 2 AS edges FROM (SELECT src AS n FROM whole UNION ALL SELECT dst FROM whole)"))
 def graph_summary(spark, sf_dir):
-    return G.summary(G.build_edges(_signal(spark, sf_dir), None))
+    return G.summary(G.build_edges(_signal(spark, sf_dir)))
 
 
 @register(O.sql(*_FEATURES, O.STATS, body="SELECT count(*) AS pairs, 0 AS repeated, count(*) FILTER (WHERE src IS NULL) AS missing FROM (SELECT DISTINCT viewer_id, candidate_id FROM keys) k LEFT JOIN gs ON src = viewer_id AND dst = candidate_id"))

@@ -1,6 +1,7 @@
 """Queries against their SQL at the smallest size, and micro-fixtures for edge cases."""
 
 import math
+import random
 from datetime import datetime
 from pathlib import Path
 
@@ -12,11 +13,14 @@ from dyadlake.functions import scalar as S
 from dyadlake.operators import events as E
 from dyadlake.operators import graph as G
 from dyadlake.operators import pairs as P
+from dyadlake.operators import peers
 from dyadlake.operators import prepare as PR
 from dyadlake.operators import ranking as R
+from dyadlake.operators.peers import shared_of, similarity_of, top_peers
 from dyadlake.plans import queries as Q
 from dyadlake.plans import extra  # noqa: F401
 from dyadlake.sources import datasets as D
+from dyadlake.sources.shared import cut
 from dyadlake.streaming.impressions import refresh_stream, validated
 
 SF = "/root/testdata/sf0.001"
@@ -131,13 +135,63 @@ def test_impressions_reject(spark):
 def test_hot_targets_keep_all_pairs(spark):
     n = 1100
     edges = spark.range(1, n + 1).select(F.col("id").alias("src"), F.lit(0).cast("long").alias("dst"), F.col("id").cast("double").alias("w"), F.lit(0.5).alias("d"))
+    pairs = edges.select("src").crossJoin(edges.select(F.col("src").alias("dst")))
     x = 1 / math.log(1 + n)
-    got = G.shared_neighbours(edges).agg(F.count("*"), F.countDistinct("src"), F.min("shared"), F.max("shared")).first()
+    got = shared_of(pairs, edges).agg(F.count("*"), F.countDistinct("src"), F.min("shared"), F.max("shared")).first()
     assert tuple(got) == (n * (n - 1), n, pytest.approx(x / (1 + x)), pytest.approx(x / (1 + x)))
-    got = G.similarity(edges).agg(F.count("*"), F.min("similarity")).first()
+    got = similarity_of(pairs, edges).agg(F.count("*"), F.min("similarity")).first()
     assert tuple(got) == (n * (n - 1), pytest.approx(1.0))
 
 
+def test_a_hot_target_is_read_to_the_depth_of_the_bound(spark, monkeypatch):
+    n, read = 3000, []
+    edges = spark.range(1, n + 1).select(F.col("id").alias("src"), F.lit(0).cast("long").alias("dst"), F.lit(2.0).alias("w"))
+    monkeypatch.setattr(peers, "cut", lambda df: read.append(keep := cut(df)) or keep)
+    got = top_peers(edges, 50).groupBy("src").agg(F.count("*").alias("n"), F.max("dst").alias("last"), F.min("similarity").alias("s")).collect()
+    assert len(got) == n and {(r.n, r.last, r.s) for r in got if r.src > 51} == {(50, 50, 1.0)}
+    assert max(df.count() for df in read) <= 400 * n  # not n * n
+
+
+@pytest.mark.parametrize("first", [2, 16])
+def test_peers_equal_all_pairs(spark, monkeypatch, first):
+    monkeypatch.setattr(peers, "FIRST_RANKS", first)
+    rng = random.Random(first)
+    edges = {(u, 0): float(rng.randint(1, 3)) for u in range(1, 300)}  # many have the hot target alone
+    edges |= {(u, rng.randrange(60)): round(rng.expovariate(1), 1) + 0.1 for u in range(150, 400) for _ in range(rng.randint(1, 12))}
+    edges |= {(999, 1000 + t): 1.0 for t in range(200)} | {(998, 1000 + t): 2.0 for t in range(0, 200, 3)}
+    got = {}
+    for r in top_peers(spark.createDataFrame([(u, t, w) for (u, t), w in edges.items()], "src long, dst long, w double"), 7).collect():
+        got.setdefault(r.src, set()).add(r.dst)
+    norm = {}
+    for (u, _), w in edges.items():
+        norm[u] = norm.get(u, 0) + w * w
+    vectors = {}
+    for (u, t), w in edges.items():
+        vectors.setdefault(u, {})[t] = round(w / math.sqrt(norm[u]) * 1e6)
+    for u, x in vectors.items():
+        near = sorted((-sum(a * y.get(t, 0) for t, a in x.items()), v) for v, y in vectors.items() if v != u)
+        assert {v for d, v in near[:7] if d < 0} == got.get(u, set())
+
+
+def test_no_edges_no_peers(spark):
+    assert top_peers(spark.createDataFrame([], "src long, dst long, w double")).count() == 0
+
+
+def test_two_hop_keeps_its_own_limit_and_edges_do_not(spark):
+    signals = spark.sql("SELECT 1L AS actor_id, id AS target_id, CAST(1000 - id AS DOUBLE) AS raw, 'long' AS horizon FROM range(2, 302) UNION ALL SELECT id, 999L, 1.0D, 'long' FROM range(2, 302)")
+    edges = G.build_edges(signals)
+    assert edges.where("src = 1").count() == 300
+    assert G.two_hop(edges).where("src = 1 AND dst = 999").first().paths == 100
+
+
+def test_a_repeated_pair_is_an_error(spark):
+    rows = spark.sql("SELECT id AS viewer_id, id + 1 AS candidate_id FROM range(3)")
+    one = spark.sql("SELECT 0L AS src, 1L AS dst, 0.5D AS direct UNION ALL SELECT 7L, 8L, 0.5D")
+    assert {(r.viewer_id, r.direct) for r in G.merged(rows, one).collect()} == {(0, 0.5), (1, None), (2, None)}
+    with pytest.raises(Exception, match=r"the pair \(0, 1\) are there 2 times"):
+        G.merged(rows, one.union(one)).collect()
+
+
 def test_a_reached_user_is_no_candidate(spark, monkeypatch):
     signals = spark.sql("SELECT 1L AS actor_id, id AS target_id, CAST(1000 - id AS DOUBLE) AS raw, 'long' AS horizon FROM range(2, 110) UNION ALL SELECT 2L, 109L, 5.0D, 'long'")
     monkeypatch.setattr(Q, "_signal", lambda spark, sf_dir: signals)
