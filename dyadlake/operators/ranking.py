@@ -15,10 +15,18 @@ def hashed_uniform(*parts: Column) -> Column:
     return (h + 1) / float(2**52 + 1)
 
 
+#: Hex digits of a probability in the digest of a pair; three make a number that a long holds.
+DIGITS, A_LONG = 5, 3
+
+
 def formula_predictions(pairs: DataFrame) -> DataFrame:
-    """A fixed stand-in for a model: a hashed probability of each target, in p_ columns."""
-    one = lambda t: F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(t), F.col("viewer_id").cast("string"), F.col("candidate_id").cast("string")), 256), 1, 13), 16, 10).cast("double") / float(2**52)
-    return pairs.select("*", *(one(t).alias(f"p_{t}") for t in TARGETS))
+    """A fixed stand-in for a model: a probability of each target, in p_ columns, from one digest of the pair."""
+    digest = F.sha2(F.concat_ws(":", F.col("viewer_id").cast("string"), F.col("candidate_id").cast("string")), 256)
+    rows, width = pairs.withColumn("_digest", digest), DIGITS * A_LONG
+    words = {f"_w{i}": F.conv(F.substring("_digest", 1 + i * width, width), 16, 10).cast("long") for i in range(-(-len(TARGETS) // A_LONG))}
+    rows = rows.withColumns(words)
+    part = lambda i: F.shiftright(f"_w{i // A_LONG}", 4 * DIGITS * (A_LONG - 1 - i % A_LONG)).bitwiseAND((1 << 4 * DIGITS) - 1)
+    return rows.select(*pairs.columns, *((part(i) / float(1 << 4 * DIGITS)).alias(f"p_{t}") for i, t in enumerate(TARGETS)))
 
 
 def composite_score(available: list[str] | None = None) -> Column:
@@ -58,31 +66,67 @@ def sampling_weight(window_start: Column | int) -> Column:
 
 def weighted_order(seed: Column, start: Column | int) -> Column:
     """Exponential race: the n smallest values are a weighted draw of n without replacement."""
-    return F.round(-F.ln(hashed_uniform(seed, F.col("candidate_id").cast("string"))) / sampling_weight(start), 9)
+    return _race(seed, F.col("candidate_id"), sampling_weight(start))
+
+
+def _race(seed: Column, candidate: Column, weight: Column) -> Column:
+    return F.round(-F.ln(hashed_uniform(seed, candidate.cast("string"))) / weight, 9)
+
+
+def ranked_lists(scored: DataFrame) -> DataFrame:
+    """(viewer_id, list): the rows of each viewer, best score first, ties by candidate, as one array of (rank, candidate_id, score).
+
+    Meant for pools, whose limit bounds the arrays.
+    """
+    of = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), "candidate_id")))
+    each = F.transform(of, lambda x, i: F.struct((i + 1).alias("rank"), x["candidate_id"].alias("candidate_id"), (-x["neg"]).alias("score")))
+    return scored.groupBy("viewer_id").agg(each.alias("list"))
 
 
 def select_mix(ranked: DataFrame, n_model: int, n_sampled: int, n_explore: int, seed: Column, sampled_max: int = 250, explore_start: int = 251) -> DataFrame:
     """A list for each viewer: the best, a weighted draw of the next ranks, a weighted draw of deep ranks.
 
-    Stages are set-based. If there are no deep ranks but exploration is asked for, it draws from the deeper half
-    of what the first two stages left. Free places go to the best unused. final_rank is the order of selection.
+    ranked has rows (viewer_id, candidate_id, score, rank) or, from ranked_lists, (viewer_id, list). The stages are slices and
+    sorts of one array for each viewer: rows meet in one aggregate, and nothing is sorted between tasks. If there are no deep
+    ranks but exploration is asked for, it draws from the deeper half of what the first two stages left.
+    Free places go to the best unused. final_rank is the order of selection.
     """
     if min(n_model, n_sampled, n_explore) < 0 or sampled_max >= explore_start:
         raise ValueError("negative counts, or overlapping windows")
     total = n_model + n_sampled + n_explore
-    viewer = W.partitionBy("viewer_id")
-    rows = ranked.withColumn("seed", seed).withColumn("w2", weighted_order(F.col("seed"), n_model + 1))
-    rows = rows.withColumn("in2", (F.col("rank") > n_model) & (F.col("rank") <= sampled_max))
-    rows = rows.withColumn("r2", F.when(F.col("in2"), F.row_number().over(W.partitionBy("viewer_id", "in2").orderBy("w2", "candidate_id"))))
-    rows = rows.withColumn("stage", F.when(F.col("rank") <= n_model, 1).when(F.col("r2") <= n_sampled, 2))
-    rows = rows.withColumn("deep", F.max((F.col("rank") >= explore_start).cast("int")).over(viewer) == 1)
-    rows = rows.withColumn("open", F.col("stage").isNull()).withColumn("left", F.count_if("open").over(viewer)).withColumn("place", F.when(F.col("open"), F.row_number().over(W.partitionBy("viewer_id", "open").orderBy("rank"))))
-    rows = rows.withColumn("in3", F.col("open") & F.when(F.col("deep"), F.col("rank") >= explore_start).otherwise(F.col("place") > F.floor(F.col("left") / 2)))
-    begin = F.when(F.col("deep"), F.lit(explore_start)).otherwise(F.min(F.when(F.col("in3"), F.col("rank"))).over(viewer))
-    rows = rows.withColumn("begin", begin).withColumn("w3", weighted_order(F.concat(F.col("seed"), F.lit(":explore")), F.col("begin")))
-    rows = rows.withColumn("r3", F.when(F.col("in3"), F.row_number().over(W.partitionBy("viewer_id", "in3").orderBy("w3", "candidate_id"))))
-    rows = rows.withColumn("stage", F.coalesce("stage", F.when(F.col("r3") <= n_explore, 3), F.lit(4)))
-    inner = F.when(F.col("stage") == 2, F.col("r2")).when(F.col("stage") == 3, F.col("r3")).otherwise(F.col("rank"))
-    rows = rows.withColumn("final_rank", F.row_number().over(viewer.orderBy("stage", inner))).where(F.col("final_rank") <= total)
-    kind = F.when(F.col("stage") == 2, "diversity").when(F.col("stage") == 3, "exploration").otherwise("model")
-    return rows.select("viewer_id", "candidate_id", "score", F.col("rank").alias("model_rank"), "final_rank", kind.alias("selection_type"))
+    if "list" not in ranked.columns:
+        of = F.array_sort(F.collect_list(F.struct(F.col("rank").cast("int").alias("rank"), "candidate_id", "score")))
+        ranked = ranked.groupBy("viewer_id").agg(of.alias("list"))
+    rows = ranked.withColumn("seed", seed)
+
+    def drawn(items: Column, seed: Column, start: Column, n: int) -> Column:
+        def entry(x: Column) -> Column:
+            weight = F.greatest(x["score"], F.lit(0.001)) / F.sqrt(F.greatest(F.lit(1), x["rank"] - start + 1))
+            return F.struct(_race(seed, x["candidate_id"], weight).alias("w"), x["candidate_id"].alias("candidate_id"), x["rank"].alias("rank"), x["score"].alias("score"))
+
+        return F.transform(F.slice(F.array_sort(F.transform(items, entry)), 1, n), lambda x: F.struct(x["rank"].alias("rank"), x["candidate_id"].alias("candidate_id"), x["score"].alias("score")))
+
+    def without(items: Column, used: str) -> Column:
+        return F.filter(items, lambda x: ~F.array_contains(F.transform(used, lambda y: y["rank"]), x["rank"]))
+
+    rows = rows.withColumn("model", F.slice("list", 1, n_model))
+    rows = rows.withColumn("second", drawn(F.slice("list", n_model + 1, max(0, sampled_max - n_model)), F.col("seed"), F.lit(n_model + 1), n_sampled))
+    rows = rows.withColumn("open", without(F.slice("list", F.lit(n_model + 1), F.size("list")), "second"))
+    if n_explore:
+        deep = F.size("list") >= explore_start
+        half = F.floor(F.size("open") / 2).cast("int")
+        rows = rows.withColumn("far", F.when(deep, F.slice("list", F.lit(explore_start), F.size("list"))).otherwise(F.slice("open", half + 1, F.size("list"))))
+        begin = F.when(deep, explore_start).otherwise(F.try_element_at("far", F.lit(1))["rank"])
+        rows = rows.withColumn("third", drawn(F.col("far"), F.concat(F.col("seed"), F.lit(":explore")), begin, n_explore))
+        rows = rows.withColumn("open", without(F.col("open"), "third"))
+    else:
+        rows = rows.withColumn("third", F.slice("list", 1, 0))
+    free = F.greatest(F.lit(0), total - F.size("model") - F.size("second") - F.size("third"))
+    kinds = (("model", F.col("model")), ("diversity", F.col("second")), ("exploration", F.col("third")), ("model", F.slice("open", F.lit(1), free)))
+    named = [F.transform(items, _named(kind)) for kind, items in kinds]
+    each = rows.select("viewer_id", F.posexplode(F.concat(*named)).alias("at", "x"))
+    return each.select("viewer_id", "x.candidate_id", "x.score", F.col("x.rank").alias("model_rank"), (F.col("at") + 1).alias("final_rank"), F.col("x.kind").alias("selection_type"))
+
+
+def _named(kind: str):
+    return lambda x: F.struct(x["candidate_id"].alias("candidate_id"), x["score"].alias("score"), x["rank"].alias("rank"), F.lit(kind).alias("kind"))

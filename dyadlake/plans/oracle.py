@@ -159,8 +159,9 @@ def hashed(parts: str) -> str:
     return f"CAST(CAST('0x' || substr(sha256({parts}), 1, 13) AS BIGINT) AS DOUBLE)"
 
 
-def prob(t: str, v: str = "viewer_id", c: str = "candidate_id") -> str:
-    return f"{hashed(f'''concat('{t}:', {v}, ':', {c})''')} / 4503599627370496.0"
+def prob(i: int, v: str = "viewer_id", c: str = "candidate_id") -> str:
+    """Five hex digits of the pair's digest for the target in place i."""
+    return f"CAST(CAST('0x' || substr(sha256(concat({v}, ':', {c})), {1 + 5 * i}, 5) AS BIGINT) AS DOUBLE) / 1048576.0"
 
 
 def _mean(w: dict) -> str:
@@ -168,7 +169,7 @@ def _mean(w: dict) -> str:
 
 
 SCORE = f"greatest(0.0, least(1.0, {_mean(SCORE_WEIGHTS)} * (1 - {_mean(RISK_WEIGHTS)})))"
-PROBS = ", ".join(f"{prob(t)} AS p_{t}" for t in TARGETS)
+PROBS = ", ".join(f"{prob(i)} AS p_{t}" for i, t in enumerate(TARGETS))
 MARKS = f"marks AS (SELECT cutoff_at, viewer_id, candidate_id, {', '.join(f'outcome_{t}' for t in TARGETS)}, {PROBS} FROM pairs), um AS (" + " UNION ALL ".join(f"SELECT cutoff_at, viewer_id, candidate_id, '{t}' AS target, CAST(outcome_{t} AS INT) AS label, p_{t} AS score FROM marks" for t in TARGETS) + ")"
 HISTORY_SUM = " + ".join(f"history_{t}_count" for t in HISTORY_TYPES)
 
