@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from dyadlake.functions import scalar as S
 from dyadlake.operators.pairs import eligible
-from dyadlake.schema import AGE_BANDS, DISTANCE_BANDS, HEIGHT_BANDS, MULTI_KINDS, POSITIVE_WEIGHTS, PRIOR_WEIGHT, SATURATION, SINGLE_KINDS, WEIGHT_BANDS
+from dyadlake.schema import AGE_BANDS, DISTANCE_BANDS, HEIGHT_BANDS, MULTI_KINDS, POSITIVE_WEIGHTS, PRIOR_WEIGHT, RECENT_DAYS, SATURATION, SINGLE_KINDS, WEIGHT_BANDS
+
+LONG_DAYS = 90
 
 
 def preference_signal(type_counts: DataFrame) -> DataFrame:
@@ -89,6 +91,23 @@ def exported(state: DataFrame, strength: DataFrame) -> DataFrame:
     return rows.union(meta)
 
 
+#: Columns of the stored form.
+STORED = "model_version string, user_id long, affinity_kind string, affinity_key string, score double, evidence_count long, window_start_at timestamp_ntz, window_end_at timestamp_ntz"
+
+
+def affinity_job(type_counts: DataFrame, users: DataFrame, version: str) -> DataFrame:
+    """The whole job from pair counts to the stored form: state and meta rows of both horizons with their version and window.
+
+    For some users only, type_counts are restricted to their rows as actors.
+    """
+    seen = observations(preference_signal(type_counts), users)
+    rows = exported(affinity_state(seen), all_strengths(type_counts, users, affinity_strength(seen)))
+    recent = F.col("affinity_kind").startswith("recent_") | (F.col("affinity_kind") == "__recent_meta__")
+    days = F.when(recent, RECENT_DAYS).otherwise(LONG_DAYS)
+    start = (F.col("cutoff_at") - F.make_dt_interval(days)).alias("window_start_at")
+    return rows.select(F.lit(version).alias("model_version"), "user_id", "affinity_kind", "affinity_key", "score", F.col("evidence_count").cast("long").alias("evidence_count"), start, F.col("cutoff_at").alias("window_end_at"))
+
+
 def imported(rows: DataFrame) -> DataFrame:
     """Back to (cutoff_at, user_id, horizon, kind, key, score, evidence_count, evidence_weight): unknown kinds are left out, a meta row's weight is recovered from its strength."""
     recent = F.col("affinity_kind").startswith("recent_") | (F.col("affinity_kind") == "__recent_meta__")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dyadlake.functions.scalar import strip
+from dyadlake.sources.shared import cut
 
 PAD, UNKNOWN = 0, 1
 
@@ -79,12 +82,52 @@ def class_weights(rows: DataFrame, targets: list[str], cap: float = 25.0) -> Dat
     return s.select("target", w.alias("pos_weight"))
 
 
+def _ordered(value: Column) -> Column:
+    """A double as a long with the same order, from its bits."""
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value + 0.0).cast("long")
+    return F.when(bits >= 0, bits).otherwise(bits.bitwiseXOR(F.lit((1 << 63) - 1)))
+
+
+def _value(ordered: int) -> float:
+    """The double that _ordered made a long of."""
+    bits = ordered if ordered >= 0 else ordered ^ ((1 << 63) - 1)
+    return struct.unpack(">d", struct.pack(">q", bits))[0]
+
+
+def medians(values: DataFrame, bits: int = 16) -> DataFrame:
+    """(field, median) of (field, value), exactly: the mean of the two middle values; null without one.
+
+    Both middles are found by histograms over the ordered bits of a double, `bits` at a time: each round counts the rows that
+    share the bits found so far by their next ones. A round holds at most 2**bits counts for each field and middle,
+    however many distinct values there are.
+    """
+    spark = values.sparkSession
+    rows = cut(values.where("value IS NOT NULL").select("field", _ordered(F.col("value")).alias("o")))
+    counts = rows.groupBy("field").agg(F.count("*").alias("n")).collect()  # a row for each field
+    state = [(r.field, w, None, (r.n - 1 + w) // 2) for r in counts for w in (0, 1)]
+    schema = "field string, which int, prefix long, k long"
+    for shift in range(64 - bits, -1, -bits):
+        asked = spark.createDataFrame(state, schema)
+        near = rows.join(F.broadcast(asked), "field")  # two rows for each field
+        if shift + bits < 64:
+            near = near.where(F.shiftright("o", shift + bits) == F.col("prefix"))
+        held = near.groupBy("field", "which", "k", F.shiftright("o", shift).alias("bin")).agg(F.count("*").alias("n"))
+        upto = F.sum("n").over(W.partitionBy("field", "which").orderBy("bin"))
+        found = held.withColumn("upto", upto).where("k < upto").groupBy("field", "which", "k").agg(F.min(F.struct("bin", "upto", "n")).alias("m"))
+        state = [(r.field, r.which, r.m.bin, r.k - (r.m.upto - r.m.n)) for r in found.collect()]  # two rows for each field
+    ends = {}
+    for field, _, ordered, _ in state:
+        ends.setdefault(field, []).append(_value(ordered))
+    return spark.createDataFrame([(f, sum(x) / 2) for f, x in ends.items()], "field string, median double")
+
+
 def impute_stats(rows: DataFrame, fields: list[str]) -> DataFrame:
     """(field, fill, mean, std): exact median, then mean and population deviation after filling."""
-    v = _long(rows, fields).withColumn("value", F.when(F.isnan("value") | (F.abs("value") == float("inf")), None).otherwise(F.col("value")))
-    # an exact median over (value, count) pairs merges in each task before it is shuffled
-    fill = v.groupBy("field").agg(F.coalesce(F.percentile("value", 0.5), F.lit(0.0)).alias("fill"))
-    filled = v.join(F.broadcast(fill), "field").withColumn("x", F.coalesce("value", "fill"))
+    base = cut(rows.select(*(F.col(f).cast("double").alias(f) for f in fields)))
+    v = _long(base, fields).withColumn("value", F.when(F.isnan("value") | (F.abs("value") == float("inf")), None).otherwise(F.col("value")))
+    names = rows.sparkSession.createDataFrame([(f,) for f in fields], "field string")
+    fill = names.join(medians(v), "field", "left").select("field", F.coalesce("median", F.lit(0.0)).alias("fill"))
+    filled = v.join(F.broadcast(fill), "field").withColumn("x", F.coalesce("value", "fill"))  # a row for each field
     std = F.stddev_pop("x")
     return filled.groupBy("field", "fill").agg(F.avg("x").alias("mean"), F.when(std < 1e-6, 1.0).otherwise(std).alias("std"))
 
@@ -97,17 +140,33 @@ def normalize_numeric(rows: DataFrame, fields: list[str], stats: dict[str, tuple
 
 
 def chronological_split(rows: DataFrame, validation: float = 0.2, test: float = 0.1) -> DataFrame:
-    """(cutoff_at, n, split): whole cutoffs, newest to test, then validation, always one left to train."""
-    per = rows.groupBy("cutoff_at").agg(F.count("*").alias("n"))
+    """(cutoff_at, n, split): whole cutoffs, newest first, go to test until it has its share, then to validation, which leaves one to train.
+
+    If test takes all of them, nothing is left to train: an error.
+    """
     # one row for each cutoff
+    per = rows.where("cutoff_at IS NOT NULL").groupBy("cutoff_at").agg(F.count("*").alias("n"))
     newest = W.orderBy(F.desc("cutoff_at"))
     before = lambda c: F.coalesce(F.sum(c).over(newest.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     whole = W.partitionBy()
-    d = per.withColumn("total", F.sum("n").over(whole)).withColumn("cuts", F.count("*").over(whole)).withColumn("k", F.row_number().over(newest)).withColumn("seen", before("n"))
-    d = d.withColumn("is_test", (F.col("seen") < F.col("total") * test) & (F.col("k") <= F.col("cuts") - 2))
-    d = d.withColumn("m", F.when(~F.col("is_test"), F.col("n")).otherwise(0)).withColumn("seen_v", before("m"))
-    d = d.withColumn("is_val", ~F.col("is_test") & (F.col("seen_v") < F.col("total") * validation) & (F.col("k") <= F.col("cuts") - 1))
-    return d.select("cutoff_at", "n", F.when(F.col("is_test"), "test").when(F.col("is_val"), "validation").otherwise("train").alias("split"))
+    d = per.withColumn("total", F.sum("n").over(whole)).withColumn("k", F.row_number().over(newest)).withColumn("cuts", F.count("*").over(whole))
+    d = d.withColumn("is_test", before("n") < F.col("total") * test)
+    d = d.withColumn("m", F.when(F.col("is_test"), 0).otherwise(F.col("n")))
+    d = d.withColumn("is_val", ~F.col("is_test") & (before("m") < F.col("total") * validation) & (F.col("k") <= F.col("cuts") - 1))
+    d = d.withColumn("left", F.count_if(~F.col("is_test")).over(whole))
+    split = F.when(F.col("left") == 0, F.raise_error("no cutoff is left to train on")).when(F.col("is_test"), "test").when(F.col("is_val"), "validation").otherwise("train")
+    return d.select("cutoff_at", "n", split.alias("split"))
+
+
+def split_rows(rows: DataFrame, key: list[str], seed: str, validation: float = 0.2, test: float = 0.1) -> tuple[DataFrame, str]:
+    """(rows with split, how): chronological with at least three cutoffs, all of them timestamps; random otherwise."""
+    at = F.col("cutoff_at").try_cast("timestamp_ntz")
+    # two numbers
+    n, unknown = rows.agg(F.count_distinct(at), F.count_if(at.isNull())).first()
+    if n < 3 or unknown:
+        return random_split(rows, key, seed, validation, test), "random"
+    of = chronological_split(rows.select(at.alias("cutoff_at")), validation, test).select(F.col("cutoff_at").alias("_at"), "split")
+    return rows.join(F.broadcast(of), at == F.col("_at")).drop("_at"), "chronological"  # a row for each cutoff
 
 
 def random_split(rows: DataFrame, key: list[str], seed: str, validation: float = 0.2, test: float = 0.1) -> DataFrame:
@@ -149,9 +208,9 @@ def prepare_rows(rows: DataFrame, sections: dict[str, list[str]], vocab: DataFra
         "numeric_missing": [x for f in sections.get("numeric", []) for x in missing_flags([f])],
         "compatibility_missing": [x for f in sections.get("compatibility", []) for x in missing_flags([f])],
     }
-    struct = lambda name: F.struct(*built.get(name, [F.col(f) for f in sections.get(name, [])])).alias(name)
+    section = lambda name: F.struct(*built.get(name, [F.col(f) for f in sections.get(name, [])])).alias(name)
     named = lambda name: bool(built.get(name) or sections.get(name))
-    return each.select(*(struct(n) if named(n) else F.lit(None).cast("string").alias(n) for n in SECTIONS))
+    return each.select(*(section(n) if named(n) else F.lit(None).cast("string").alias(n) for n in SECTIONS))
 
 
 def row_contract(rows: DataFrame, required: list[str], finite: list[str], unit: tuple[str, ...] = (), flag: str | None = None) -> DataFrame:

@@ -115,6 +115,15 @@ def random_split(spark, sf_dir):
     return PR.random_split(rows, ["viewer_id", "candidate_id"], "s1")
 
 
+@register(O.sql(*O.P1, "hs AS (SELECT viewer_id, candidate_id, sha256('s2:' || viewer_id || ':' || candidate_id) AS h, count(*) OVER () AS n FROM pairs)",
+    "nr AS (SELECT *, row_number() OVER (ORDER BY h) AS k, greatest(1, CAST(round_even(n * 0.1, 0) AS BIGINT)) AS t, greatest(1, CAST(round_even(n * 0.2, 0) AS BIGINT)) AS v FROM hs)",
+    body="SELECT viewer_id, candidate_id, 'random' AS how, CASE WHEN n < 3 THEN 'train' WHEN k <= t THEN 'test' WHEN k <= t + v THEN 'validation' ELSE 'train' END AS split FROM nr"))
+def split_of_one_cutoff(spark, sf_dir):
+    """One cutoff can't be split by time, so its rows are split at random."""
+    rows, how = PR.split_rows(Q._pairs(spark, sf_dir).select("cutoff_at", "viewer_id", "candidate_id"), ["viewer_id", "candidate_id"], "s2")
+    return rows.select("viewer_id", "candidate_id", "split", F.lit(how).alias("how"))
+
+
 @register(O.sql(*O.P1, body="SELECT viewer_id, candidate_id FROM pairs WHERE EXISTS (SELECT 1 FROM valid x WHERE x.event_type IN ('block', 'report') AND x.ts < TIMESTAMP '2024-01-23' AND ((x.actor_id = viewer_id AND x.target_id = candidate_id) OR (x.actor_id = candidate_id AND x.target_id = viewer_id)))"))
 def excluded_candidates(spark, sf_dir):
     """Pairs that a hard exclusion takes out of the ranking."""

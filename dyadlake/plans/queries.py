@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,8 @@ from dyadlake.plans import oracle as O
 from dyadlake.schema import AGE_BANDS, AGE_RANGES, HEIGHT_BANDS, HEIGHT_RANGES, TARGETS, WEIGHT_BANDS, WEIGHT_RANGES
 from dyadlake.sources.datasets import dataset_manifest
 from dyadlake.sources.inputs import Inputs
+from dyadlake.sources.shared import cut, shared_dir
+from dyadlake.sources.stored import Batches, Merged
 from dyadlake.streaming.impressions import validated
 
 CUTOFF, END = datetime(2024, 1, 23), datetime(2024, 1, 30)
@@ -234,6 +237,18 @@ def _exported(spark, sf_dir, windows=None):
     return AF.exported(AF.affinity_state(seen), AF.all_strengths(counts, users, AF.affinity_strength(seen)))
 
 
+@register(O.sql(*O.A1, _MET, _ALL, f"ex AS ({_EXPORT})", body="SELECT 'v7' AS model_version, user_id, affinity_kind, affinity_key, score, evidence_count, cutoff_at - to_days(CASE WHEN affinity_kind LIKE 'recent%' OR affinity_kind LIKE '__recent_meta%' THEN 30 ELSE 90 END) AS window_start_at, cutoff_at AS window_end_at FROM ex WHERE user_id % 5 <> 2"))
+def stored_affinities(spark, sf_dir):
+    """The job's rows merged into a stored table with their version and windows, after which every fifth user is deleted."""
+    store = Merged(spark, f"{shared_dir(spark)}/affinities-{uuid.uuid4().hex}", AF.STORED)
+    counts, users = A.event_type_counts(_events(spark, sf_dir)), _users(spark, sf_dir)
+    for batch in ("b1", "b1"):  # a replay changes nothing
+        store.merge(batch, AF.affinity_job(counts, users, "v7"))
+    gone = users.where("id % 5 = 2").select(F.lit("v7").alias("model_version"), F.col("id").alias("user_id"))
+    store.merge("b2", spark.createDataFrame([], AF.STORED), gone)
+    return _rounded(store.current())
+
+
 @register(O.sql(*O.A1, _MET, _ALL, body=_EXPORT))
 def affinity_export(spark, sf_dir):
     """The persisted form, with a meta row for every user with any event."""
@@ -451,7 +466,16 @@ def vocabulary(spark, sf_dir):
     return PR.build_vocab(Inputs(spark, sf_dir).users, _VOC_SINGLE, _VOC_MULTI, [F.col("id")])
 
 
-@register(O.sql(*O.P3, "per AS (SELECT cutoff_at, count(*) AS n FROM pairs GROUP BY 1)", body="SELECT cutoff_at, n, CASE row_number() OVER (ORDER BY cutoff_at DESC) WHEN 1 THEN 'test' WHEN 2 THEN 'validation' ELSE 'train' END AS split FROM per"))
+#: The walk from the newest cutoff to the oldest, one step a row.
+_WALK = """o AS (SELECT cutoff_at, n, row_number() OVER (ORDER BY cutoff_at DESC) AS k, sum(n) OVER () AS total, count(*) OVER () AS cuts
+  FROM (SELECT cutoff_at, count(*) AS n FROM pairs GROUP BY 1)),
+walk(k, t, nt, v, nv, split) AS (
+  SELECT CAST(0 AS BIGINT), CAST(0 AS HUGEINT), 0, CAST(0 AS HUGEINT), 0, ''
+  UNION ALL SELECT o.k, t + CASE WHEN x = 'test' THEN w.n ELSE 0 END, nt + CAST(x = 'test' AS INT), v + CASE WHEN x = 'validation' THEN w.n ELSE 0 END, nv + CAST(x = 'validation' AS INT), x
+  FROM (SELECT walk.*, o.n, o.k AS ok, CASE WHEN t < total * 0.1 THEN 'test' WHEN v < total * 0.2 AND cuts - nt - nv > 1 THEN 'validation' ELSE 'train' END AS x FROM walk JOIN o ON o.k = walk.k + 1) w JOIN o ON o.k = w.ok)"""
+
+
+@register(O.sql(*O.P3, _WALK, body="SELECT cutoff_at, n, split FROM o JOIN walk USING (k)").replace("WITH ", "WITH RECURSIVE ", 1))
 def chronological_split(spark, sf_dir):
     return PR.chronological_split(P.assemble(_tables(spark, sf_dir), E.snapshot_windows(spark, END, 3)).select("cutoff_at"))
 
@@ -598,9 +622,12 @@ _LIVE = "SELECT sha256('speed_dating|' || viewer_id || '|2024-01-29 18:00:00') A
 def live_batches(spark, sf_dir):
     """Items of the newest of two published batches of each viewer."""
     rows = _list(spark, sf_dir, "speed_dating")
-    b1, i1 = PD.published(rows, "speed_dating", "v1", datetime(2024, 1, 29, 6))
-    b2, i2 = PD.published(rows.where("final_rank <= 5"), "speed_dating", "v1", datetime(2024, 1, 29, 18))
-    return PD.live_items(b1.union(b2), i1.union(i2), _NOW)
+    rows = cut(rows)
+    store = Batches(spark, f"{shared_dir(spark)}/batches-{uuid.uuid4().hex}")
+    runs = {"r1": PD.published(rows, "speed_dating", "v1", datetime(2024, 1, 29, 6)), "r2": PD.published(rows.where("final_rank <= 5"), "speed_dating", "v1", datetime(2024, 1, 29, 18))}
+    for run in ("r1", "r2", "r1"):  # a run that is published again changes nothing
+        store.publish(*runs[run], run)
+    return PD.live_items(store.headers(), store.items(), _NOW)
 
 
 def _flights_sql() -> str:
