@@ -27,12 +27,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dyadlake.llm import common
-from dyadlake.llm.hashing import mix, shingle_sets, utf8
+from dyadlake.llm.hashing import mix, shingle_sets
 
 HASHES, ROWS = 80, 4
 BITS = 8
@@ -52,35 +54,57 @@ def minima(shingles: np.ndarray) -> np.ndarray:
     return mix(best * _A + _B)
 
 
+def _slices(batch: pa.RecordBatch, rows: int = 2000, size: int = 8 << 20):
+    """Parts of a batch with few rows and little text, so that no task holds the words of a whole batch."""
+    lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+    lo, held = 0, 0
+    for i, n in enumerate(lengths):
+        held += n
+        if held >= size or i + 1 - lo == rows:
+            yield batch.slice(lo, i + 1 - lo)
+            lo, held = i + 1, 0
+    if lo < len(lengths):
+        yield batch.slice(lo)
+
+
+def _lowered(part: pa.RecordBatch) -> list[bytes]:
+    return [(t or b"").lower() for t in part.column("text").to_pylist()]
+
+
 def sketches(n: int):
-    """mapInPandas: (doc_id, mark, text) to the size, two hashes of the set, band keys and the packed signature."""
+    """mapInArrow: (doc_id, mark, text) to the size, two hashes of the set, band keys and the packed signature."""
+
+    def row(s: np.ndarray) -> tuple:
+        if not len(s):
+            return 0, None, None, None, None
+        low = minima(s)
+        keys = np.zeros(HASHES // ROWS, np.uint64)
+        for part in low.reshape(-1, ROWS).T:
+            keys = keys * np.uint64(0xD6E8FEB86659FD93) + part
+        a, b = np.bitwise_xor.reduce(mix(s)), np.add.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D)))
+        return len(s), int(a.astype(np.int64)), int(b.astype(np.int64)), mix(keys + _SALT).astype(np.int64), low.astype(np.uint8).tobytes()
+
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
 
     def run(batches):
-        for pdf in batches:
-            rows = []
-            for doc, mark, s in zip(pdf["doc_id"], pdf["mark"], shingle_sets([utf8(t).lower() for t in pdf["text"]], n), strict=True):
-                if not len(s):
-                    rows.append((doc, mark, 0, None, None, None, None))
-                    continue
-                low = minima(s)
-                keys = np.zeros(HASHES // ROWS, np.uint64)
-                for part in low.reshape(-1, ROWS).T:
-                    keys = keys * np.uint64(0xD6E8FEB86659FD93) + part
-                a, b = np.bitwise_xor.reduce(mix(s)), np.add.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D)))
-                rows.append((doc, mark, len(s), a.astype(np.int64), b.astype(np.int64), mix(keys + _SALT).astype(np.int64), low.astype(np.uint8).tobytes()))
-            columns = ["doc_id", "mark", "n_shingles", "set_a", "set_b", "bands", "packed"]
-            yield pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64", "set_a": "Int64", "set_b": "Int64"})
+        for batch in batches:
+            for part in _slices(batch):
+                rows = [row(s) for s in shingle_sets(_lowered(part), n)]
+                made = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(types)]
+                keys = [part.column("doc_id").cast(pa.int64()), part.column("mark")]
+                yield pa.RecordBatch.from_arrays([*keys, *made], names=["doc_id", "mark", "n_shingles", "set_a", "set_b", "bands", "packed"])
 
     return run
 
 
 def full_sets(n: int):
-    """mapInPandas: (rep, text) to the sorted shingles of the text, packed."""
+    """mapInArrow: (rep, text) to the sorted shingles of the text, packed."""
 
     def run(batches):
-        for pdf in batches:
-            sets = shingle_sets([utf8(t).lower() for t in pdf["text"]], n)
-            yield pd.DataFrame({"rep": pdf["rep"], "shingles": [s.tobytes() for s in sets]})
+        for batch in batches:
+            for part in _slices(batch):
+                sets = [s.tobytes() for s in shingle_sets(_lowered(part), n)]
+                yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array(sets, pa.binary())], names=["rep", "shingles"])
 
     return run
 
@@ -233,9 +257,9 @@ def near_duplicates(docs: DataFrame, n: int = 3, num: int = 85, den: int = 100)
 
     mark is a hash of the text, group tells components apart; both are null where component_id is, but for mark.
     """
-    docs = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), F.col("text").cast("binary").alias("text"))
     schema = "doc_id long, mark long, n_shingles long, set_a long, set_b long, bands array<long>, packed binary"
-    every = common.cut(docs.mapInPandas(sketches(n), schema))
+    every = common.cut(docs.mapInArrow(sketches(n), schema))
     # rows with equal sets are one class; its number is fixed once it is written
     key = ["n_shingles", "set_a", "set_b"]
     linkable = every.where("doc_id is not null and n_shingles > 0")
@@ -247,7 +271,7 @@ def near_duplicates(docs: DataFrame, n: int = 3, num: int = 85, den: int = 100)
     groups = None
     if buckets.limit(1).count():
         wanted = reps.join(buckets.select("rep").distinct(), "rep", "left_semi").select("doc_id", "mark", "rep")
-        sets = common.cut(docs.join(wanted, ["doc_id", "mark"]).select("rep", "text").mapInPandas(full_sets(n), "rep long, shingles binary"))
+        sets = common.cut(docs.join(wanted, ["doc_id", "mark"]).select("rep", "text").mapInArrow(full_sets(n), "rep long, shingles binary"))
         sketch = reps.select("rep", "n_shingles", "packed")
         one, two = (sketch.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("packed").alias(f"p{x}")) for x in ("a", "b"))
         near = hub_pairs(buckets).join(one, "a").join(two, "b").where(den * F.least("na", "nb") >= num * F.greatest("na", "nb"))
