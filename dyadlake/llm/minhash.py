@@ -25,6 +25,8 @@ give no rows; other columns are not read. Texts are processed whole.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -252,11 +254,28 @@ def rest_links(buckets: DataFrame, comp: DataFrame, reps: DataFrame, sets: DataF
     return common.cut(rows.mapInPandas(compared(num, den), "a long, b long"))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Arrow batches of few rows for the jobs that run meanwhile: ten thousand texts or sets at once are too much for a worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def near_duplicates(docs: DataFrame, n: int = 3, num: int = 85, den: int = 100) -> DataFrame:
     """(doc_id, mark, n_shingles, component_id, group) of every row; docs are linked at a Jaccard of num/den or more.
 
     mark is a hash of the text, group tells components apart; both are null where component_id is, but for mark.
     """
+    with small_batches(docs.sparkSession):  # all jobs with Python workers run here; what is returned joins written tables
+        return _near_duplicates(docs, n, num, den)
+
+
+def _near_duplicates(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), F.col("text").cast("binary").alias("text"))
     schema = "doc_id long, mark long, n_shingles long, set_a long, set_b long, bands array<long>, packed binary"
     every = common.cut(docs.mapInArrow(sketches(n), schema))
