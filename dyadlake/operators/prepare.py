@@ -53,6 +53,24 @@ def encode_multi(field: str, vocab_map: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(kept, lambda x: F.coalesce(F.try_element_at(vocab_map, x), F.lit(UNKNOWN)))))
 
 
+def encoded_arrays(rows: DataFrame, fields: list[str], vocab: DataFrame) -> DataFrame:
+    """rows with ids_<field>: sorted distinct ids of arrays, as encode_multi makes them, by a join instead of a map.
+
+    A vocabulary of any size is a table here: tokens are exploded, joined by field and token and gathered by row.
+    """
+    rows = cut(rows.withColumn("_row", F.monotonically_increasing_id()))
+    kept = lambda f: F.filter(F.transform(F.coalesce(F.col(f), F.array().cast("array<string>")), strip), lambda x: x.isNotNull() & (x != ""))
+    each = F.flatten(F.array(*(F.transform(F.array_distinct(kept(f)), _struct_of(f)) for f in fields)))
+    met = rows.select("_row", F.explode(each).alias("t")).select("_row", "t.*").join(vocab.select("field", "token", "id"), ["field", "token"], "left")
+    ids = met.groupBy("_row").pivot("field", fields).agg(F.array_sort(F.collect_set(F.coalesce("id", F.lit(UNKNOWN)))))
+    out = rows.join(ids.withColumnsRenamed({f: f"ids_{f}" for f in fields}), "_row", "left").drop("_row")
+    return out.withColumns({f"ids_{f}": F.coalesce(f"ids_{f}", F.array().cast("array<int>")) for f in fields})
+
+
+def _struct_of(field: str):
+    return lambda x: F.struct(F.lit(field).alias("field"), x.alias("token"))
+
+
 def missing_flags(fields: list[str]) -> list[Column]:
     value = lambda f: F.col(f).try_cast("double")
     return [(value(f).isNull() | F.isnan(value(f))).cast("double").alias(f"{f}_missing") for f in fields]
@@ -195,16 +213,17 @@ SECTIONS = ["metadata", "categorical", "multi_categorical", "numeric", "numeric_
 
 
 def prepare_rows(rows: DataFrame, sections: dict[str, list[str]], vocab: DataFrame) -> DataFrame:
-    """rows as 13 nested sections of the named columns: tokens as ids, numbers with flags of what is missing; an unnamed section is null."""
+    """rows as 13 nested sections of the named columns: tokens as ids, numbers with flags of what is missing; an unnamed section is null.
+
+    Ids come from joins with the vocabulary's rows of a field, so it may have any size.
+    """
     single, multi = sections.get("categorical", []), sections.get("multi_categorical", [])
-    maps = vocab.groupBy("field").agg(F.map_from_entries(F.collect_list(F.struct("token", "id"))).alias("m"))
-    maps = maps.agg(F.map_from_entries(F.collect_list(F.struct("field", "m"))).alias("vocabulary"))  # one row, as large as the vocabulary
-    each = rows.crossJoin(maps)
-    of = lambda f: F.coalesce(F.try_element_at("vocabulary", F.lit(f)), F.create_map().cast("map<string,int>"))
-    one = {f: F.when(F.coalesce(strip(F.col(f)), F.lit("")) == "", PAD).otherwise(F.coalesce(F.try_element_at(of(f), strip(F.col(f))), F.lit(UNKNOWN))) for f in single}
+    each = encoded_arrays(rows, multi, vocab) if multi else rows
+    for f in single:
+        each = encode_single(each, f, vocab)
     built = {
-        "categorical": [v.alias(f) for f, v in one.items()],
-        "multi_categorical": [encode_multi(f, of(f)).alias(f) for f in multi],
+        "categorical": [F.col(f"id_{f}").alias(f) for f in single],
+        "multi_categorical": [F.col(f"ids_{f}").alias(f) for f in multi],
         "numeric_missing": [x for f in sections.get("numeric", []) for x in missing_flags([f])],
         "compatibility_missing": [x for f in sections.get("compatibility", []) for x in missing_flags([f])],
     }

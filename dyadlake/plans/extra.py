@@ -15,6 +15,7 @@ from dyadlake.plans import queries as Q
 from dyadlake.plans.queries import register
 from dyadlake.schema import TARGETS
 from dyadlake.sources.inputs import Inputs
+from dyadlake.sources.shared import cut
 
 _ASKED = "asked AS (SELECT viewer_id, candidate_id, min(pos) AS position FROM (SELECT id AS viewer_id, unnest([id - 1, id, id + 5, id - 1, -3, id + 5, id + 2000]) AS candidate_id, unnest(range(0, 7)) AS pos FROM users) WHERE candidate_id > 0 AND candidate_id <> viewer_id GROUP BY 1, 2)"
 
@@ -155,14 +156,15 @@ def prepared_rows(spark, sf_dir):
 
 @register()
 def propensity_scores(spark, sf_dir):
-    """Chances of three targets by logistic models fitted on the pairs, with flags of missing features."""
-    rows = Q._pairs(spark, sf_dir)
-    flags = PR.missing_flags(Q._NUM)
-    rows = rows.select("viewer_id", "candidate_id", *Q._NUM, *flags, *(f"outcome_{t}" for t in TARGETS))
-    features, targets = [*Q._NUM, *(f"{f}_missing" for f in Q._NUM)], ["favorite", "message_started", "any_positive"]
-    weights = {r.target: r.pos_weight for r in PR.class_weights(rows, targets).collect()}  # a row for each target
-    models = ML.fit_propensities(rows, features, targets, weights)
-    return ML.predict_propensities(rows, models, features).select("viewer_id", "candidate_id", *(f"p_{t}" for t in models))
+    """Chances of all targets by logistic models fitted on the pairs: numbers with flags of what is missing, and the candidate's types as ids."""
+    users = Inputs(spark, sf_dir).users
+    voc = PR.build_vocab(users.select("id", F.col("my_types").alias("candidate_my_types")), [], ["candidate_my_types"], [F.col("id")])
+    size = voc.agg(F.coalesce(F.max("id"), F.lit(1))).first()[0] + 1
+    rows = Q._pairs(spark, sf_dir).select("viewer_id", "candidate_id", *Q._NUM, "candidate_my_types", *(f"outcome_{t}" for t in TARGETS))
+    rows = cut(PR.encoded_arrays(rows, ["candidate_my_types"], voc))
+    weights = {r.target: r.pos_weight for r in PR.class_weights(rows, TARGETS).collect()}  # a row for each target
+    models = ML.fit_propensities(rows, Q._NUM, TARGETS, weights, {"ids_candidate_my_types": size})
+    return ML.predict_propensities(rows, models).select("viewer_id", "candidate_id", *(f"p_{t}" for t in models.targets))
 
 
 @register(O.sql(*O.P3, O.MARKS, "r AS (SELECT cutoff_at, count(*) AS n, row_number() OVER (ORDER BY cutoff_at DESC) AS k FROM pairs GROUP BY 1)", body="SELECT target, count(*) AS n_rows, count(*) FILTER (WHERE label = 1) AS positives FROM um JOIN r USING (cutoff_at) WHERE k = 1 GROUP BY 1"))
