@@ -127,3 +127,9 @@ def excluded_pairs(log: DataFrame, cutoff: F.Column) -> DataFrame:
     """Pairs with a block or report in either direction before the cutoff: never an input of a model."""
     bad = log.where(F.col("event_type").isin("block", "report") & (F.col("ts") < cutoff))
     return bad.select(F.explode(F.array(F.struct(F.col("actor_id").alias("viewer_id"), F.col("target_id").alias("candidate_id")), F.struct(F.col("target_id").alias("viewer_id"), F.col("actor_id").alias("candidate_id")))).alias("p")).select("p.*").distinct()
+
+
+def flagged(rows: DataFrame, excluded: DataFrame) -> DataFrame:
+    """rows with hard_exclusion: whether their pair is among excluded (viewer_id, candidate_id)."""
+    mark = excluded.select("viewer_id", "candidate_id").distinct().withColumn("hard_exclusion", F.lit(True))
+    return rows.join(mark, ["viewer_id", "candidate_id"], "left").withColumn("hard_exclusion", F.coalesce("hard_exclusion", F.lit(False)))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from dyadlake.operators import evaluate as EV
 from dyadlake.operators import events as E
+from dyadlake.operators import graph as G
 from dyadlake.operators import pairs as P
 from dyadlake.operators import prepare as PR
 from dyadlake.operators import propensity as ML
@@ -103,9 +104,19 @@ def normalized_numeric(spark, sf_dir):
 _REQUIRED, _FINITE = ["viewer_age", "candidate_age", "viewer_min_age"], ["distance_km", "viewer_account_age_days"]
 
 
-@register(O.sql(*O.P1, body=" UNION ALL ".join(f"SELECT '{k}:{f}' AS rule, count(*) FILTER (WHERE {f} IS NULL) AS violations FROM pairs" for k, fs in (("required", _REQUIRED), ("finite", _FINITE), ("flag", ["outcome_block"])) for f in fs)))
+_UNIT = ["overall_affinity", "evidence_strength"]
+_RULES = [("required", f, f"{f} IS NULL") for f in _REQUIRED] + [("finite", f, f"{f} IS NULL") for f in _FINITE]
+_RULES += [("unit", f, f"{f} IS NULL OR NOT {f} BETWEEN 0 AND 1") for f in _UNIT] + [("flag", "hard_exclusion", "false")]
+
+
+@register(O.sql(*dict.fromkeys([*O.P1, *Q._BOTH]), "dv AS (SELECT * FROM pairs LEFT JOIN (SELECT cutoff_at, viewer_id, candidate_id, overall_affinity, evidence_strength FROM dirs WHERE side = 'viewer' AND horizon = 'long') USING (cutoff_at, viewer_id, candidate_id))",
+    body=" UNION ALL ".join(f"SELECT '{k}:{f}' AS rule, count(*) FILTER (WHERE {bad}) AS violations FROM dv" for k, f, bad in _RULES)))
 def row_contract(spark, sf_dir):
-    return PR.row_contract(Q._pairs(spark, sf_dir), _REQUIRED, _FINITE, flag="outcome_block")
+    """Rules over pairs with the viewer's affinities and the flag of a hard exclusion."""
+    on = ["cutoff_at", "viewer_id", "candidate_id"]
+    sides = Q._both(spark, sf_dir).where("side = 'viewer' AND horizon = 'long'").select(*on, *_UNIT)
+    rows = G.flagged(Q._pairs(spark, sf_dir).select(*on, *_REQUIRED, *_FINITE), Q.excluded_pairs(spark, sf_dir)).join(sides, on, "left")
+    return PR.row_contract(rows, _REQUIRED, _FINITE, tuple(_UNIT), "hard_exclusion")
 
 
 @register(O.sql(*O.P1, "hs AS (SELECT viewer_id, candidate_id, sha256('s1:' || viewer_id || ':' || candidate_id) AS h, count(*) OVER () AS n FROM pairs)", "nr AS (SELECT *, row_number() OVER (ORDER BY h) AS k, greatest(1, CAST(round_even(n * 0.1, 0) AS BIGINT)) AS t, greatest(1, CAST(round_even(n * 0.2, 0) AS BIGINT)) AS v FROM hs)",

@@ -139,9 +139,14 @@ def recent_pair_counts(spark, sf_dir):
     return A.recent_pair_counts(_events(spark, sf_dir))
 
 
-@register(O.sql(*O.P1, body=f"SELECT count(*) AS n_rows, count(*) FILTER (WHERE {O.HISTORY_SUM} > 0) AS pairs_with_history, " + ", ".join(f"CAST(coalesce(sum(outcome_{t}_count), 0) AS BIGINT) AS total_{t}" for t in O.EVENT_TYPES) + ", count(*) FILTER (WHERE outcome_reciprocal_message) AS reciprocal_pairs, count(*) FILTER (WHERE outcome_any_positive) AS positive_pairs FROM pairs"))
+_HARD = """hx AS (SELECT DISTINCT viewer_id, candidate_id, true AS x FROM (
+  SELECT actor_id AS viewer_id, target_id AS candidate_id FROM valid WHERE event_type IN ('block', 'report') AND ts < TIMESTAMP '2024-01-23'
+  UNION ALL SELECT target_id, actor_id FROM valid WHERE event_type IN ('block', 'report') AND ts < TIMESTAMP '2024-01-23'))"""
+
+
+@register(O.sql(*O.P1, _HARD, body=f"SELECT count(*) AS n_rows, count(*) FILTER (WHERE {O.HISTORY_SUM} > 0) AS pairs_with_history, count(*) FILTER (WHERE hx.x) AS hard_excluded, " + ", ".join(f"CAST(coalesce(sum(outcome_{t}_count), 0) AS BIGINT) AS total_{t}" for t in O.EVENT_TYPES) + ", count(*) FILTER (WHERE outcome_reciprocal_message) AS reciprocal_pairs, count(*) FILTER (WHERE outcome_any_positive) AS positive_pairs FROM pairs LEFT JOIN hx USING (viewer_id, candidate_id)"))
 def dataset_totals(spark, sf_dir):
-    return A.dataset_totals(_pairs(spark, sf_dir))
+    return A.dataset_totals(G.flagged(_pairs(spark, sf_dir), excluded_pairs(spark, sf_dir)))
 
 
 @register(O.sql(*O.P3, body="SELECT cutoff_at, count(*) AS n_rows, count(DISTINCT viewer_id) AS viewers, count(DISTINCT candidate_id) AS candidates, count(*) FILTER (WHERE outcome_any_positive) AS positive_pairs FROM pairs GROUP BY 1"))
@@ -315,6 +320,19 @@ def affinity_evidence(spark, sf_dir):
     return A.evidence_counts(_both(spark, sf_dir), ["cutoff_at"])
 
 
+_SIDES = [(s, h, n) for s in ("viewer", "candidate") for h, n in (("long", ""), ("recent", "recent_"))]
+
+
+@register(O.sql(*dict.fromkeys([*O.P1, *_BOTH]), _HARD, body=f"""SELECT m.*, {', '.join(f"(SELECT count(*) FILTER (WHERE side = '{s}' AND horizon = '{h}' AND evidence_strength > 0) FROM dirs SEMI JOIN pairs USING (cutoff_at, viewer_id, candidate_id)) AS {s}_rows_with_{n}evidence" for s, h, n in _SIDES)}
+  FROM (SELECT count(*) AS n_rows, string_agg(DISTINCT strftime(cutoff_at, '%Y-%m-%d %H:%M:%S'), ',') AS cutoffs, count(DISTINCT viewer_id) AS viewers, count(DISTINCT candidate_id) AS candidates,
+    count(*) FILTER (WHERE hx.x) AS hard_excluded FROM pairs LEFT JOIN hx USING (viewer_id, candidate_id)) m"""))
+def full_manifest(spark, sf_dir):
+    """The manifest with hard exclusions and the rows with evidence on each side, as one row."""
+    rows = cut(G.flagged(_pairs(spark, sf_dir).select("cutoff_at", "viewer_id", "candidate_id"), excluded_pairs(spark, sf_dir)))
+    sides = _both(spark, sf_dir).join(rows.select("cutoff_at", "viewer_id", "candidate_id"), ["cutoff_at", "viewer_id", "candidate_id"], "left_semi")
+    return dataset_manifest(rows, A.evidence_counts(sides, []))
+
+
 @register(O.sql(O.LOG, O.USERS, O.THREE, O.SIGNAL, O.STATE, body="SELECT cutoff_at, count(*) FILTER (WHERE horizon = 'long' AND evidence_weight > 0) AS users_with_history, count(*) FILTER (WHERE horizon = 'recent' AND evidence_weight > 0) AS users_with_recent FROM strength GROUP BY 1"))
 def affinity_users(spark, sf_dir):
     return A.affinity_users(AF.affinity_strength(_seen(spark, sf_dir, E.snapshot_windows(spark, END, 3))))
@@ -408,6 +426,12 @@ def graph_candidates(spark, sf_dir):
     return _rounded(G.candidates(_pair_features(spark, sf_dir), 50), 5).withColumn("rank", F.col("rank").cast("long"))
 
 
+@register(O.sql(*_FEATURES, body=" UNION ALL ".join(f"SELECT '{c}' AS field, count({c}) AS present, count(*) FILTER (WHERE {c} <> 0) AS non_zero, round(min({c}), 6) AS least, round(avg({c}), 6) AS mean, round(max({c}), 6) AS most FROM gs" for c in _GRAPH)))
+def graph_profile(spark, sf_dir):
+    """Presence and range of each graph field over the pairs that have any."""
+    return _rounded(PR.feature_profile(_pair_features(spark, sf_dir), _GRAPH))
+
+
 @register(O.sql(*_FEATURES, body="SELECT count(DISTINCT n) AS nodes, count(*) // 2 AS edges FROM (SELECT src AS n FROM whole UNION ALL SELECT dst FROM whole)"))
 def graph_summary(spark, sf_dir):
     return G.summary(G.build_edges(_signal(spark, sf_dir)))

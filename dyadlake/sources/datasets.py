@@ -48,6 +48,9 @@ def write_pairs(rows: DataFrame, path: str, form: str = "parquet") -> None:
     rows.withColumn("cutoff", F.date_format("cutoff_at", "yyyy-MM-dd")).write.mode("overwrite").partitionBy("cutoff").format(form).save(path)
 
 
-def dataset_manifest(rows: DataFrame) -> DataFrame:
-    """One row: rows, sorted distinct cutoffs, viewers and candidates."""
-    return rows.agg(F.count("*").alias("n_rows"), F.array_join(F.array_sort(F.transform(F.collect_set("cutoff_at"), lambda x: x.cast("string"))), ",").alias("cutoffs"), F.count_distinct("viewer_id").alias("viewers"), F.count_distinct("candidate_id").alias("candidates"))
+def dataset_manifest(rows: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
+    """One row: rows, sorted distinct cutoffs, viewers, candidates, hard exclusions if rows have them, and the counts of evidence (one row) if given."""
+    cutoffs = F.array_join(F.array_sort(F.transform(F.collect_set("cutoff_at"), lambda x: x.cast("string"))), ",")  # dozens of values
+    hard = [F.count_if("hard_exclusion").alias("hard_excluded")] if "hard_exclusion" in rows.columns else []
+    one = rows.agg(F.count("*").alias("n_rows"), cutoffs.alias("cutoffs"), F.count_distinct("viewer_id").alias("viewers"), F.count_distinct("candidate_id").alias("candidates"), *hard)
+    return one if evidence is None else one.crossJoin(evidence)
