@@ -34,7 +34,7 @@ from dyadlake.llm.hashing import Prefixes, mix, pieces
 
 SAMPLES, ALPHA, SEED, LONGEST = 2, 1.0, 17, 16
 BLANK = "▁"
-NODES = 5_000_000  # of word lattices that a worker keeps
+NODES = 1_500_000  # of word lattices that a worker keeps: 150 MB
 _MARK = BLANK.encode()
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xD6E8FEB86659FD93)
