@@ -421,7 +421,7 @@ def graph_pair_features(spark, sf_dir):
     return _rounded(_pair_features(spark, sf_dir))
 
 
-@register(O.sql(*_FEATURES, body="SELECT src, dst, round(retrieval, 5) AS retrieval, rank FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(retrieval, 9) DESC, dst) AS rank FROM gs WHERE direct = 0 AND (reverse > 0 OR two_hop > 0 OR shared > 0 OR collaborative > 0)) WHERE rank <= 50"))
+@register(O.sql(*_FEATURES, body="SELECT src, dst, round(round(retrieval, 9), 5) AS retrieval, rank FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(retrieval, 9) DESC, dst) AS rank FROM gs WHERE direct = 0 AND (reverse > 0 OR two_hop > 0 OR shared > 0 OR collaborative > 0)) WHERE rank <= 50"))
 def graph_candidates(spark, sf_dir):
     return _rounded(G.candidates(_pair_features(spark, sf_dir), 50), 5).withColumn("rank", F.col("rank").cast("long"))
 
