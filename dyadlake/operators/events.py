@@ -76,14 +76,12 @@ def valid_events(log: DataFrame) -> DataFrame:
 
 def restrict_events(log: DataFrame, viewers: DataFrame, candidates: DataFrame) -> DataFrame:
     """Events by a viewer or onto a candidate; a candidate's events onto a viewer are among the former's reverse."""
-    v, c = viewers.select(F.col("id").alias("_v")).distinct(), candidates.select(F.col("id").alias("_c")).distinct()
-    flags = (
-        log.join(v, F.col("actor_id") == F.col("_v"), "left").withColumn("by_viewer", F.col("_v").isNotNull()).drop("_v")
-        .join(c, F.col("target_id") == F.col("_c"), "left").withColumn("onto_candidate", F.col("_c").isNotNull()).drop("_c")
-        .join(c, F.col("actor_id") == F.col("_c"), "left").withColumn("by_candidate", F.col("_c").isNotNull()).drop("_c")
-        .join(v, F.col("target_id") == F.col("_v"), "left").withColumn("onto_viewer", F.col("_v").isNotNull()).drop("_v")
-    )
-    return flags.where("by_viewer OR onto_candidate OR (by_candidate AND onto_viewer)").select(log.columns)
+    who = viewers.select("id", F.lit(1).alias("role")).unionByName(candidates.select("id", F.lit(2).alias("role")))
+    roles = who.where("id IS NOT NULL").groupBy("id").agg(F.bit_or("role").alias("role"))
+    as_ = lambda end: roles.select(F.col("id").alias(f"_{end}"), F.col("role").alias(f"_{end}_role"))
+    both = log.join(as_("actor"), F.col("actor_id") == F.col("_actor"), "left").join(as_("target"), F.col("target_id") == F.col("_target"), "left")
+    has = lambda end, role: F.coalesce(F.col(f"_{end}_role").bitwiseAND(role) != 0, F.lit(False))
+    return both.where(has("actor", 1) | has("target", 2) | (has("actor", 2) & has("target", 1))).select(log.columns)
 
 
 def ntz(t: datetime) -> F.Column:
