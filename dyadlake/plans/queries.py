@@ -646,12 +646,30 @@ _LIVE = "SELECT sha256('speed_dating|' || viewer_id || '|2024-01-29 18:00:00') A
 def live_batches(spark, sf_dir):
     """Items of the newest of two published batches of each viewer."""
     rows = _list(spark, sf_dir, "speed_dating")
-    rows = cut(rows)
+    rows = cut(PD.with_predictions(rows))
     store = Batches(spark, f"{shared_dir(spark)}/batches-{uuid.uuid4().hex}")
     runs = {"r1": PD.published(rows, "speed_dating", "v1", datetime(2024, 1, 29, 6)), "r2": PD.published(rows.where("final_rank <= 5"), "speed_dating", "v1", datetime(2024, 1, 29, 18))}
     for run in ("r1", "r2", "r1"):  # a run that is published again changes nothing
         store.publish(*runs[run], run)
-    return PD.live_items(store.headers(), store.items(), _NOW)
+    return PD.live_items(store.headers(), store.items(), _NOW).drop("predictions")
+
+
+_DECIDED = """SELECT sha256('speed_dating|' || viewer_id || '|2024-01-20 00:00:00') AS batch_id, viewer_id, candidate_id, final_rank AS rank, d.decision, d.ts AS decided_at
+FROM mix LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY ts DESC, decision DESC) AS r FROM (
+  SELECT a, b, 'like' AS decision, ts FROM ev WHERE e = 'click' AND n % 3 = 0 UNION ALL SELECT a, b, 'pass', ts FROM ev WHERE e = 'error' AND n % 3 = 1
+) WHERE ts >= TIMESTAMP '2024-01-20') d ON d.a = viewer_id AND d.b = candidate_id AND r = 1"""
+
+
+@register(_mix_sql(7, 2, 1, "speed_dating", _pool_sql(entitled=False, located=True), _DECIDED))
+def decided_items(spark, sf_dir):
+    """Items of a list with the newest decision on each: a favourite is a like, a block a pass."""
+    t = _tables(spark, sf_dir)
+    headers, items = PD.published(cut(_list(spark, sf_dir, "speed_dating")), "speed_dating", "v1", datetime(2024, 1, 20))
+    who = headers.select("batch_id", "viewer_id")
+    said = t["user_favorites"].select(F.col("from_user_id").alias("viewer_id"), F.col("to_user_id").alias("candidate_id"), F.lit("like").alias("decision"), F.col("created_at").alias("decided_at"))
+    said = said.unionByName(t["user_blocks"].select(F.col("blocker_user_id").alias("viewer_id"), F.col("blocked_user_id").alias("candidate_id"), F.lit("pass").alias("decision"), F.col("created_at").alias("decided_at")))
+    said = said.where("decided_at >= TIMESTAMP_NTZ '2024-01-20 00:00:00'").join(who, "viewer_id")
+    return PD.decided(items, said).join(who, "batch_id").select("batch_id", "viewer_id", "candidate_id", F.col("rank").cast("long").alias("rank"), "decision", "decided_at")
 
 
 def _flights_sql() -> str:
