@@ -106,19 +106,17 @@ def select_mix(ranked: DataFrame, n_model: int, n_sampled: int, n_explore: int,
 
         return F.transform(F.slice(F.array_sort(F.transform(items, entry)), 1, n), lambda x: F.struct(x["rank"].alias("rank"), x["candidate_id"].alias("candidate_id"), x["score"].alias("score")))
 
-    def without(items: Column, used: str) -> Column:
-        return F.filter(items, lambda x: ~F.array_contains(F.transform(used, lambda y: y["rank"]), x["rank"]))
-
     rows = rows.withColumn("model", F.slice("list", 1, n_model))
+    # as far as a list without deep ranks, or the free places of another, reach
     rows = rows.withColumn("second", drawn(F.slice("list", n_model + 1, max(0, sampled_max - n_model)), F.col("seed"), F.lit(n_model + 1), n_sampled))
-    rows = rows.withColumn("open", without(F.slice("list", F.lit(n_model + 1), F.size("list")), "second"))
+    rows = rows.withColumn("open", F.array_except(F.slice("list", n_model + 1, explore_start + total), "second"))
     if n_explore:
         deep = F.size("list") >= explore_start
         half = F.floor(F.size("open") / 2).cast("int")
         rows = rows.withColumn("far", F.when(deep, F.slice("list", F.lit(explore_start), F.size("list"))).otherwise(F.slice("open", half + 1, F.size("list"))))
         begin = F.when(deep, explore_start).otherwise(F.try_element_at("far", F.lit(1))["rank"])
         rows = rows.withColumn("third", drawn(F.col("far"), F.concat(F.col("seed"), F.lit(":explore")), begin, n_explore))
-        rows = rows.withColumn("open", without(F.col("open"), "third"))
+        rows = rows.withColumn("open", F.array_except("open", "third"))
     else:
         rows = rows.withColumn("third", F.slice("list", 1, 0))
     free = F.greatest(F.lit(0), total - F.size("model") - F.size("second") - F.size("third"))
