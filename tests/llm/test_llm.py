@@ -255,8 +255,8 @@ def test_language_model_is_kneser_ney_of_each_language(spark):
         want |= {i: np.exp(-np.mean([np.log(low[g]) for g in grams(t)])) for i, (x, t) in enumerate(texts) if x == lang}
     got = {r.doc_id: r.perplexity for r in perplexity.judged(docs).collect()}
     assert got == pytest.approx(want, rel=1e-5)
-    # a model sent in many parts gives the same
-    assert {r.doc_id: r.perplexity for r in perplexity.judged(docs, piece=30).collect()} == pytest.approx(want, rel=1e-5)
+    # many lots give the same
+    assert {r.doc_id: r.perplexity for r in perplexity.judged(docs, lot=30).collect()} == pytest.approx(want, rel=1e-5)
 
 
 def test_band_rejects_planted_noise(spark):
