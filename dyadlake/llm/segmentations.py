@@ -264,14 +264,17 @@ class Lattices:
             live = live[(self.cum[x] <= u[live]) & (x < last[live])]
         return e
 
-    def others(self, node: np.ndarray, banned: np.ndarray) -> np.ndarray:
-        """The probability of each node's edges whose bit in banned is 0, in LONGEST + 1 columns."""
+    def others(self, node: np.ndarray, banned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The log mass of each node's edges whose bit in banned is 0 (-inf for none), and their shares of it in LONGEST + 1 columns."""
         k = np.arange(LONGEST + 1)
         first, n = self.first[node].astype(np.int64), self.first[node + 1] - self.first[node]
-        e = np.minimum(first[:, None] + k, self.n_edges - 1)
-        p = np.exp(self.logp[e].astype(np.float64))
-        p[(k >= n[:, None]) | ((banned[:, None] >> k) & 1 == 1)] = 0
-        return p
+        p = self.logp[np.minimum(first[:, None] + k, self.n_edges - 1)].astype(np.float64)
+        p[(k >= n[:, None]) | ((banned[:, None] >> k) & 1 == 1)] = -np.inf
+        peak = p.max(axis=1, initial=-np.inf)
+        p = np.exp(p - np.where(np.isfinite(peak), peak, 0.0)[:, None])  # shifted, so that no mass is too small
+        total = p.sum(axis=1)
+        with np.errstate(divide="ignore"):
+            return peak + np.log(total), p / np.maximum(total, 1e-300)[:, None]
 
 
 def _uniform(*keys) -> np.ndarray:
@@ -338,9 +341,15 @@ def sample(blobs: list[bytes], keys: np.ndarray, lat: Lattices, k: int, seed: in
         before = np.cumsum(logp) - logp
         before -= np.append(before, 0.0)[np.minimum(first, len(before))][doc]
         bound = np.full(len(doc), -np.inf)
-        split = np.flatnonzero((at > since[doc]) & (logp < 0) & (lat.first[node + 1] - lat.first[node] > 1))  # steps with another edge
+        split = np.flatnonzero((at > since[doc]) & (lat.first[node + 1] - lat.first[node] > 1))  # steps with another edge
+        with np.errstate(divide="ignore"):
+            left = np.log(-np.expm1(logp[split]))
+        small = np.flatnonzero(logp[split] > -1e-4)  # what a likely edge leaves is lost in its own rounding
+        if len(small):
+            x = split[small]
+            left[small] = lat.others(node[x], np.int64(1) << (edge[x] - lat.first[node[x]]))[0]
         h = mix(mix(own[doc[split]] + np.uint64(len(paths) * 16 + 5)) + at[split].astype(np.uint64) * _P)
-        bound[split] = before[split] + np.log(-np.expm1(logp[split])) + _gumbel(((h & _STEP_MASK).astype(np.float64) + 0.5) / 2.0**53)
+        bound[split] = before[split] + left + _gumbel(((h & _STEP_MASK).astype(np.float64) + 0.5) / 2.0**53)
         heap.append({"doc": doc, "bound": bound, "top": top, "path": np.full(len(doc), len(paths), np.int8), "at": np.arange(len(doc)), "mu": before, "banned": np.int64(1) << (edge - lat.first[node])})
         paths.append((doc, node, edge, wordat, first, n, logp))
 
@@ -395,15 +404,13 @@ def sample(blobs: list[bytes], keys: np.ndarray, lat: Lattices, k: int, seed: in
             pre_node.append(pn[x])
             pre_edge.append(pe[x])
             pre_word.append(pw[x])
-        c = np.cumsum(lat.others(base_node, banned), axis=1)
+        share = lat.others(base_node, banned)[1]
+        c = np.cumsum(share, axis=1)
         which_edge = (c <= (_uniform(own[d], turn, 0, 7) * c[:, -1])[:, None]).sum(axis=1)
         edge = lat.first[base_node] + np.minimum(which_edge, lat.first[base_node + 1] - lat.first[base_node] - 1)
         # what is left of the part: the same start with one edge more banned
         more = banned | (np.int64(1) << (edge - lat.first[base_node]))
-        rest = lat.others(base_node, more).sum(axis=1)
-        with np.errstate(divide="ignore"):
-            left = np.where(rest > 1e-9, mu + np.log(rest), -np.inf)
-        heap.append({"doc": d, "bound": left + _gumbel(_uniform(own[d], turn, 1, 9)), "top": peak, "path": path, "at": at, "mu": mu, "banned": more})
+        heap.append({"doc": d, "bound": mu + lat.others(base_node, more)[0] + _gumbel(_uniform(own[d], turn, 1, 9)), "top": peak, "path": path, "at": at, "mu": mu, "banned": more})
         # free steps: the rest of this word, then all later words
         ends = start[d] + count[d]
         lens = ends - base_word

@@ -255,8 +255,8 @@ def test_language_model_is_kneser_ney_of_each_language(spark):
         want |= {i: np.exp(-np.mean([np.log(low[g]) for g in grams(t)])) for i, (x, t) in enumerate(texts) if x == lang}
     got = {r.doc_id: r.perplexity for r in perplexity.judged(docs).collect()}
     assert got == pytest.approx(want, rel=1e-5)
-    # many lots give the same
-    assert {r.doc_id: r.perplexity for r in perplexity.judged(docs, lot=30).collect()} == pytest.approx(want, rel=1e-5)
+    # a model sent in many parts gives the same
+    assert {r.doc_id: r.perplexity for r in perplexity.judged(docs, piece=30).collect()} == pytest.approx(want, rel=1e-5)
 
 
 def test_band_rejects_planted_noise(spark):
@@ -418,6 +418,15 @@ def test_sampled_segmentations(spark):
     assert rows.join(odd(spark).dropDuplicates(["doc_id"]), "doc_id").where("decoded <> text").count() == 0 and segmentations.encoded(empty(spark), segmentations.model_path()).count() == 0
 
 
+def test_all_segmentations_come_out():
+    """As many distinct samples as a text has segmentations, however unlikely some are."""
+    lat = segmentations.Lattices(segmentations.Vocabulary(segmentations.model_path()))
+    for text in ("the", "cat", "hello", "on it"):
+        want = _paths(text, lat.v)
+        for got in _samples([text] * 40, np.arange(40), lat, 100, 3):
+            assert len(got) == len(want) and {tuple(lat.v.pieces[i] for i in s[0]) for s in got} == set(want)
+
+
 def test_sampling_probabilities():
     """First samples and ordered pairs of samples against the law of drawing without replacement."""
     lat = segmentations.Lattices(segmentations.Vocabulary(segmentations.model_path()))
