@@ -4,14 +4,9 @@ The language model is a modified Kneser-Ney model of five code points in a row,
 language itself. A sequence's count is the number of other documents that hold it (documents that hold it, less one),
 so that no document vouches for itself, however often it repeats a phrase. Spark counts sequences, and
 computes every order by aggregates and joins; the tables grow with the corpus. Every sequence
-of every document has a row with its finished log probability. Nothing of the model passes through the driver:
-
-1. One pass over the texts packs them into lots of about LOT bytes and at most some KEYS distinct sequences, and writes a table
-   bucketed by lot with each lot's texts, compressed, and its sequences' 64-bit hashes (of language and sequence) and counts.
-2. The sequences are summed over all lots and smoothed; each lot's are joined with their probabilities by hash and go to its bucket.
-3. There a task sorts them into an array, in which it looks up the lot's texts; rules are measured in the same pass.
-
-So the texts are read once, written once and never shuffled; what a task holds is bounded by a lot, whatever the corpus.
+of every document has a row with its finished log probability. Tasks look them up by 64-bit hashes of
+language and sequence, in sorted arrays sent PIECE keys at a time: a larger model takes more passes over the documents,
+not more memory, and a document's sums over the passes are added up. The first pass also measures the rules.
 
 A document is compared with its language twice, by its mean log probability of a character and of a word
 (all characters of the text over its words): symbols strung to words are cheap for each character but not for each
@@ -28,9 +23,9 @@ not read. Texts are counted and scored whole.
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +33,7 @@ from pyspark.sql import functions as F
 from dyadlake.llm import common
 from dyadlake.llm.hashing import mix, pieces, utf8, word_hashes
 
-ORDER, LOT, KEYS = 5, 32 << 20, 1_500_000
+ORDER, PIECE = 5, 2_000_000
 FENCE, SLACK = 1.5, {"logp": (1.0, "n_chars"), "word_logp": (8.0, "n_words")}
 SYMBOLS = "#*$%&|<>"
 _BLANKS = " \t\n\x0b\x0c\r"
@@ -69,41 +64,25 @@ def _merged(parts: list[tuple]) -> tuple:
     return key, lang[first], gram[first], np.bincount(back, weights=n, minlength=len(key)).astype(np.int64)
 
 
-def _packed(batch: pa.RecordBatch) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_batch(batch)
-    return sink.getvalue().to_pybytes()
-
-
-def lots(docs: DataFrame, size: int = LOT) -> DataFrame:
-    """docs (doc_id, lang, text) in lots: rows with texts, packed, and rows (h, lang, gram, n), the lot's documents that hold each sequence.
+def counted(docs: DataFrame) -> DataFrame:
+    """(h, lang, gram, n): the documents that hold each sequence, summed in tasks before they are shuffled."""
 
-    A lot's id is drawn at random, so its rows have to be written before they are read twice.
-    """
-    schema = pa.schema([("lot", pa.int64()), ("h", pa.int64()), ("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64()), ("texts", pa.binary())])
-
-    def batch_of(lot: int, many: int, **columns) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(many, lot)), *(pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(many, f.type) for f in list(schema)[1:])], schema=schema)
-
-    def rows(lot, total, names):
+    def rows(total, names):
         h, lang, gram, n = total
         for lo in range(0, len(h), 200_000):
             at = slice(lo, lo + 200_000)
             text = np.ascontiguousarray(gram[at]).view(f"<U{ORDER}").reshape(-1)
             # numpy drops trailing U+0000, which a sequence may end with
-            yield batch_of(lot, len(text), h=h[at].view(np.int64), lang=[names[i] for i in lang[at]], gram=[g.ljust(ORDER, "\0") for g in text.tolist()], n=n[at])
+            yield pd.DataFrame({"h": h[at].view(np.int64), "lang": [names[i] for i in lang[at]], "gram": [g.ljust(ORDER, "\0") for g in text.tolist()], "n": n[at]})
 
     def run(batches):
         names: dict[str, int] = {}
-        lot, parts, waiting, held = uuid.uuid4().int >> 65, [], 0, 0
-        for batch in batches:
-            texts, langs = [t or "" for t in batch.column("text").to_pylist()], batch.column("lang").to_pylist()
-            for lo, hi in pieces(texts, min(size, 1 << 20)):
-                yield batch_of(lot, 1, texts=[_packed(batch.slice(lo, hi - lo))])
+        parts, size = [], 0
+        for pdf in batches:
+            texts, langs = [t or "" for t in pdf["text"]], list(pdf["lang"])
+            for lo, hi in pieces(texts):
                 h, end, c = grams(texts[lo:hi], langs[lo:hi])
                 bound = np.cumsum([0, *map(len, texts[lo:hi])])
-                held += int(bound[-1])
                 once = []
                 for k in range(hi - lo):
                     x = np.sort(h[bound[k] : bound[k + 1]])
@@ -115,17 +94,17 @@ def lots(docs: DataFrame, size: int = LOT) -> DataFrame:
                 lang = number[np.searchsorted(bound, first, "right") - 1]
                 gram = c[end[first][:, None] - np.arange(ORDER, 0, -1)]
                 parts.append((key, lang, gram, n))
-                waiting += len(key)
-                if waiting > KEYS:
+                size += len(key)
+                if size > 2_000_000:
                     parts = [_merged(parts)]
-                    waiting = 0
-                if held >= size or len(parts[0][0]) > KEYS:
-                    yield from rows(lot, _merged(parts), list(names))
-                    lot, parts, waiting, held = uuid.uuid4().int >> 65, [], 0, 0
+                    if len(parts[0][0]) > 1_500_000:
+                        yield from rows(parts.pop(), list(names))
+                    size = sum(len(p[0]) for p in parts)
         if parts:
-            yield from rows(lot, _merged(parts), list(names))
+            yield from rows(_merged(parts), list(names))
 
-    return docs.select("doc_id", "lang", "text").mapInArrow(run, "lot long, h long, lang string, gram string, n long, texts binary")
+    found = docs.select(key_of(F.col("lang")).alias("lang"), "text").mapInPandas(run, "h long, lang string, gram string, n long")
+    return found.groupBy("h").agg(F.first("lang").alias("lang"), F.first("gram").alias("gram"), F.sum("n").alias("n"))
 
 
 def smoothed(found: DataFrame) -> DataFrame:
@@ -188,55 +167,77 @@ def repeated_lines(text: str) -> int:
     return n
 
 
-_ROWS = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), *((c, pa.int64()) for c in ("n_words", "n_repeat_words", "word_chars", "n_symbols", "n_dup_lines", "n_chars")), ("total", pa.float64())])
+_ROWS = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), *((c, pa.int64()) for c in ("a", "b", "n_words", "n_repeat_words", "word_chars", "n_symbols", "n_dup_lines", "n_chars")), ("total", pa.float64())])
+_TYPES = {"int64": "long", "string": "string", "double": "double"}
 
 
-def measured(batch: pa.RecordBatch, keys: np.ndarray, logp: np.ndarray) -> pa.RecordBatch:
-    """A row of statistics for each document, total being the sum of its sequences' logp; keys are sorted and have them all."""
-    texts, langs = [t or "" for t in batch.column("text").to_pylist()], batch.column("lang").to_pylist()
-    words, repeats = repeated_words([utf8(t) for t in texts])
+def totals(texts: list[str], langs: list[str], keys: np.ndarray, logp: np.ndarray) -> np.ndarray:
+    """The sum of each text's sequences' log probabilities, as far as the sorted keys have them."""
+    if not len(keys):
+        return np.zeros(len(texts))
     h = grams(texts, langs)[0].view(np.int64)
-    order = np.argsort(h)
-    at = np.searchsorted(keys, h[order])
-    if len(h) and (at[-1] >= len(keys) or (keys[at] != h[order]).any()):
-        raise RuntimeError("a lot's texts hold a sequence that its keys lack")
     owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    total = np.bincount(owner[order], weights=logp[at] if len(h) else None, minlength=len(texts)).astype(float)
+    order = np.argsort(h)
+    at = np.minimum(np.searchsorted(keys, h[order]), len(keys) - 1)
+    return np.bincount(owner[order], weights=np.where(keys[at] == h[order], logp[at], 0.0), minlength=len(texts))
+
+
+def measured(batch: pa.RecordBatch, texts: list[str], langs: list[str], total: np.ndarray) -> pa.RecordBatch:
+    """A row of statistics for each document."""
+    words, repeats = repeated_words([utf8(t) for t in texts])
     columns = {
-        "doc_id": batch.column("doc_id"), "lang": batch.column("lang"), "n_words": words, "n_repeat_words": repeats,
+        **{c: batch.column(c) for c in ("doc_id", "lang", "a", "b")}, "n_words": words, "n_repeat_words": repeats,
         "word_chars": [len(t) - sum(map(t.count, _BLANKS)) for t in texts], "n_symbols": [sum(map(t.count, SYMBOLS)) for t in texts], "n_dup_lines": [repeated_lines(t) for t in texts],
         "n_chars": [len(t) for t in texts], "total": total,
     }
     return pa.RecordBatch.from_pydict(columns, schema=_ROWS)
 
 
-def scored(held: DataFrame, model: DataFrame) -> DataFrame:
-    """The statistics of every document of the lots, each lot looked up in its own part of the model (h, logp)."""
-
-    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
-        keys, logp = found["h"].to_numpy(), found["logp"].to_numpy()
-        order = np.argsort(keys)
-        keys, logp = keys[order], logp[order]
-        return pa.Table.from_batches([measured(b, keys, logp) for x in texts["texts"] for b in pa.ipc.open_stream(x.as_buffer())], schema=_ROWS)
-
-    found = held.where("h is not null").select("lot", "h").join(model, "h").select(F.col("lot").alias("of"), "h", "logp")
-    schema = ", ".join(f"{f.name} {({'int64': 'long', 'string': 'string', 'double': 'double'})[str(f.type)]}" for f in _ROWS)
-    return held.where("texts is not null").select("lot", "texts").groupBy("lot").cogroup(found.groupBy("of")).applyInArrow(run, schema)
-
-
-def judged(docs: DataFrame, fence: float = FENCE, lot: int = LOT) -> DataFrame:
+def scored(docs: DataFrame, model: DataFrame, piece: int = PIECE) -> DataFrame:
+    """Statistics of each row of docs (doc_id, lang, text, a, b), total being its log probability; a and b are hashes of language and text."""
+    spark = docs.sparkSession
+    passes = max(1, -(-model.count() // piece))
+    edges = [-(2**63) + (2**64 * i) // passes for i in range(passes + 1)]
+    rows, more = None, None
+    for i in range(passes):
+        parts = []
+        for lo in range(edges[i], edges[i + 1], step := -(-(edges[i + 1] - edges[i]) // 8)):
+            got = model.where((F.col("h") >= lo) & (F.col("h") <= min(lo + step, edges[i + 1]) - 1)).toArrow()  # about piece / 8 rows
+            h, logp = got["h"].to_numpy(), got["logp"].to_numpy()
+            order = np.argsort(h)
+            parts.append((h[order], logp[order]))
+        del got, h, logp, order
+        sent = spark.sparkContext.broadcast(tuple(np.concatenate(x) for x in zip(*parts, strict=True)))
+        del parts
+
+        def run(batches, sent=sent, whole=i == 0):
+            for batch in batches:
+                texts, langs = [t or "" for t in batch.column("text").to_pylist()], batch.column("lang").to_pylist()
+                for lo, hi in pieces(texts):
+                    total = totals(texts[lo:hi], langs[lo:hi], *sent.value)
+                    part = batch.slice(lo, hi - lo)
+                    yield measured(part, texts[lo:hi], langs[lo:hi], total) if whole else pa.RecordBatch.from_pydict({"a": part.column("a"), "b": part.column("b"), "total": total})
+
+        if rows is None:
+            rows = common.cut(docs.select("doc_id", "lang", "text", "a", "b").mapInArrow(run, ", ".join(f"{f.name} {_TYPES[str(f.type)]}" for f in _ROWS)))
+        else:
+            now = common.cut(docs.select("lang", "text", "a", "b").mapInArrow(run, "a long, b long, total double").groupBy("a", "b").agg(F.max("total").alias("more")))
+            more = now if more is None else more.unionByName(now)
+        sent.destroy()
+    if more is None:
+        return rows
+    return rows.join(more.groupBy("a", "b").agg(F.sum("more").alias("more")), ["a", "b"], "left").withColumn("total", F.col("total") + F.col("more"))
+
+
+def judged(docs: DataFrame, fence: float = FENCE, piece: int = PIECE) -> DataFrame:
     """Statistics and verdicts of docs (doc_id, text, lang), with each one's perplexity and band."""
-    spark, name = docs.sparkSession, f"lots_{uuid.uuid4().hex}"
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key_of(F.col("lang")).alias("lang"), "text")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lots(keyed, lot).write.bucketBy(buckets, "lot").option("path", f"{common.shared_dir(spark)}/{name}").saveAsTable(name)
-    held = spark.table(name)
-    counts = held.where("h is not null").groupBy("h").agg(F.first("lang").alias("lang"), F.first("gram").alias("gram"), F.sum("n").alias("n"))
-    rows = scored(held, smoothed(common.cut(counts)))
+    lang = key_of(F.col("lang"))
+    hashes = F.xxhash64(lang, "text").alias("a"), F.xxhash64(F.lit("b"), "text", lang).alias("b")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), "text", *hashes)
+    rows = scored(keyed, common.cut(smoothed(common.cut(counted(docs)))), piece)
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     means = {"base_failed": base, "logp": F.when(F.col("n_chars") > 0, F.col("total") / F.col("n_chars")), "word_logp": F.when(F.col("n_words") > 0, F.col("total") / F.col("n_words"))}
     rows = common.cut(rows.withColumns(means))
-    spark.sql(f"DROP TABLE {name}")  # of the catalog only
     of = [F.percentile_approx(c, [0.25, 0.75], 10000).alias(c) for c in SLACK]
     q = rows.where("not base_failed").groupBy("lang").agg(*of)
     wide = {c: fence * (F.col(c)[1] - F.col(c)[0]) for c in SLACK}
