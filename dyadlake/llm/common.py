@@ -19,10 +19,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; one of our own only where none is named, as in tests."""
+    """The folder that the cluster shares; one of our own only where none is named and Spark is one process, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="dyadlake-"))
     return _own[0]

@@ -12,7 +12,7 @@ table gives an empty table; other columns are not read. Texts are scored whole.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -64,15 +64,16 @@ def predicted(docs: DataFrame, model) -> DataFrame:
     langs, table, bias, heat, least = model
 
     def run(batches):
-        for pdf in batches:
-            texts = [t or "" for t in pdf["text"]]
+        for batch in batches:
+            texts = [t or "" for t in batch.column("text").to_pylist()]
             ok = np.array([bool(langs) and bool(_LETTER.search(t)) for t in texts], bool)
             p = subword.softmax(subword.scores([t.lower() for t in texts], table, bias) / heat) if langs and texts else np.zeros((len(texts), 1))
             score = np.where(ok, p.max(axis=1), 0.0)
             best = [langs[k] if o else "und" for o, k in zip(ok, p.argmax(axis=1), strict=True)]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": best, "score": score, "accepted": ok & (score >= least)}).astype({"doc_id": "Int64"})
+            columns = [batch.column("doc_id").cast(pa.int64()), pa.array(best, pa.string()), pa.array(score, pa.float64()), pa.array(ok & (score >= least), pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score", "accepted"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, lang_pred string, score double, accepted boolean")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, accepted boolean")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,11 +46,11 @@ def scored(docs: DataFrame, model) -> DataFrame:
     table, bias = model
 
     def run(batches):
-        for pdf in batches:
-            z = subword.scores([t or "" for t in pdf["text"]], table, bias)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": subword.softmax(z)[:, 1] if len(z) else []}).astype({"doc_id": "Int64"})
+        for batch in batches:
+            z = subword.scores([t or "" for t in batch.column("text").to_pylist()], table, bias)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(subword.softmax(z)[:, 1] if len(z) else [], pa.float64())], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
 def op4_quality_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

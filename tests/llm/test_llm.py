@@ -206,6 +206,19 @@ def test_classifiers_on_odd_rows(spark):
     assert {r.lang_pred for r in language.predicted(docs, language.fit(docs)).collect()} == {"und"}
 
 
+def test_long_keys_keep_their_digits(spark):
+    """Keys above 2^53 beside null ones."""
+    keys = [None, 2**53 + 1, 2**62 + 7, None]
+    docs = spark.createDataFrame([(k, f"some words {i}", "en") for i, k in enumerate(keys)], "doc_id long, text string, lang string").coalesce(1)
+    found = [
+        quality.scored(docs, quality.fit(docs, spark.createDataFrame([], "doc_id long, quality int"))),
+        language.predicted(docs, language.fit(docs)),
+        perplexity.judged(docs),
+    ]
+    for rows in found:
+        assert sorted(r.doc_id or 0 for r in rows.select("doc_id").collect()) == [0, 0, 2**53 + 1, 2**62 + 7]
+
+
 @needs
 def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
