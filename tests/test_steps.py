@@ -29,6 +29,16 @@ def _rows(df, *digits):
     return sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
 
 
+@pytest.mark.parametrize("cells", [0, tiles.CELLS])
+def test_other_pairs_meet_the_common_ones_in_their_tile(spark, monkeypatch, cells):
+    monkeypatch.setattr(tiles, "EDGES", 40)
+    monkeypatch.setattr(tiles, "CELLS", cells)  # none: products are listed
+    edges = _edges(spark)
+    others = spark.createDataFrame([(a, b, float(a), None if b % 3 == 0 else float(b)) for a in range(1, 90, 2) for b in range(70, 130)], "src long, dst long, p double, q double")
+    plain = tiles.common_pairs(edges).join(others, ["src", "dst"], "full").fillna(0).select("src", "dst", "x", "dot", "p", "q")
+    assert _rows(tiles.common_pairs(edges, others=others)) == _rows(plain)
+
+
 def test_two_hop_paths_are_summed_where_they_are_made(spark):
     edges = _edges(spark)
     plan = _plan(G.two_hop(edges))
