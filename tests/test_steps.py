@@ -39,6 +39,14 @@ def test_other_pairs_meet_the_common_ones_in_their_tile(spark, monkeypatch, cell
     assert _rows(tiles.common_pairs(edges, others=others)) == _rows(plain)
 
 
+def test_features_of_given_pairs_equal_those_of_all(spark):
+    edges = _edges(spark)
+    wanted = spark.createDataFrame([(a, b) for a in range(1, 80, 3) for b in (2, 7, 60, a + 1, 500)], "src long, dst long")
+    some, whole = G.pair_features(edges, None, wanted), G.pair_features(edges)
+    assert some.count() > 60
+    assert _rows(some) == _rows(whole.join(wanted.distinct(), ["src", "dst"], "left_semi"))
+
+
 def test_two_hop_paths_are_summed_where_they_are_made(spark):
     edges = _edges(spark)
     plan = _plan(G.two_hop(edges))
