@@ -56,3 +56,15 @@ def test_two_hop_paths_are_summed_where_they_are_made(spark):
     assert _rows(G.two_hop(edges).select("src", "dst", "paths")) == _rows(paths)
 
 
+def test_distances_are_made_for_places(spark):
+    others = spark.range(1, 700).select("id", (F.col("id") % 3 * 0.5).alias("lat"), F.lit(10.0).alias("lon"))
+    viewers = others.where("id % 4 = 0").withColumn("metres", F.lit(60_000.0))
+    got = geo.within_radius(viewers, others, 50, digits=3)
+    plan = _plan(got)
+    assert plan.rindex("Generate explode(others") < plan.index("ASIN")  # the distance is made below, before ids follow
+    want = {(v, c) for v in range(4, 700, 4) for c in range(1, 700) if v != c and abs(v % 3 - c % 3) < 2}
+    rows = got.collect()
+    assert len(rows) == len(want) and {(r.viewer_id, r.candidate_id) for r in rows} == want
+    assert all(r.distance_km == round(r.distance_km, 3) for r in rows)
+
+
