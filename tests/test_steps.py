@@ -68,3 +68,11 @@ def test_distances_are_made_for_places(spark):
     assert all(r.distance_km == round(r.distance_km, 3) for r in rows)
 
 
+def test_traits_are_made_once_and_summed_without_a_shuffle(spark):
+    users = Inputs(spark, "/root/testdata/sf0.001").users
+    signals = spark.sql("SELECT TIMESTAMP_NTZ'2024-01-23' AS cutoff_at, 1 + id % 40 AS actor_id, 1 + id % 9 AS target_id, 'long' AS horizon, 1.0D AS raw, 0.6D AS score, 1.0D AS evidence FROM range(400)")
+    plan = _plan(AF.affinity_state(AF.observations(signals, users)))
+    above = plan[: plan.index("Generate")]
+    assert "Exchange" not in above and "regexp" not in above.lower() and "regexp" not in plan[plan.index("Generate") :].split("Scan")[0].lower()
+
+
