@@ -76,3 +76,12 @@ def test_traits_are_made_once_and_summed_without_a_shuffle(spark):
     assert "Exchange" not in above and "regexp" not in above.lower() and "regexp" not in plan[plan.index("Generate") :].split("Scan")[0].lower()
 
 
+def test_merged_rows_are_made_once(spark):
+    store = Merged(spark, f"{shared_dir(spark)}/once-{random.random()}", AF.STORED)
+    user = (F.rand() * 1e15).cast("long").alias("user_id")  # other users if rows are made again
+    at = F.lit("2024-01-01").cast("timestamp_ntz")
+    rows = spark.range(50).select(F.lit("v").alias("model_version"), user, F.lit("k").alias("affinity_kind"), F.lit("x").alias("affinity_key"), F.lit(0.5).alias("score"), F.lit(1).cast("long").alias("evidence_count"), at.alias("window_start_at"), at.alias("window_end_at"))
+    store.merge("b1", rows)
+    assert store.current().count() == 50
+
+
