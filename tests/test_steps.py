@@ -85,3 +85,11 @@ def test_merged_rows_are_made_once(spark):
     assert store.current().count() == 50
 
 
+def test_prepared_rows_write_only_named_columns(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(PR, "cut", lambda df, keep=PR.cut: written.append(df.columns) or keep(df))
+    rows = spark.sql("SELECT 1L AS id, array('a', 'b') AS tags, 2.0D AS size, 'junk' AS junk")
+    voc = spark.sql("SELECT 'tags' AS field, 'a' AS token, 2 AS id")
+    out = PR.prepare_rows(rows, {"metadata": ["id"], "multi_categorical": ["tags"], "numeric": ["size"]}, voc)
+    assert out.select("multi_categorical.tags").first()[0] == [1, 2]
+    assert written and all("junk" not in c for c in written)
