@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dyadlake.operators import lists
 from dyadlake.operators import ranking as R
+from dyadlake.plans import queries as Q
 from dyadlake.schema import TARGETS
 
 
@@ -55,3 +56,9 @@ def test_pools_are_scored_in_batches_not_by_expressions(spark):
     pools = spark.range(1, 4).select(F.col("id").alias("viewer_id"), F.expr("sequence(100L, 160L)").alias("ids"))
     plan = R.mixed_lists(pools, 7, 2, 1, "p", "d", "v")._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "sha2" not in plan and "Exchange" not in plan
+
+
+def test_lists_behind_batches_and_decisions_are_scored_in_batches(spark):
+    # live_batches and decided_items start from this list
+    plan = Q._list(spark, "/root/testdata/sf0.001", "speed_dating", located=False)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "sha2" not in plan
